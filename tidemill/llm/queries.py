@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemill.llm import mixing, token_counts, url_filter, winnowing
+from tidemill.llm import mixing, token_counts, toxicity, url_filter, winnowing
 
 QUERIES = {
     f.__name__: f
-    for f in (winnowing.op1_fingerprints, token_counts.op3_token_counts, mixing.op5_mixing, url_filter.op10_url_filter)
+    for f in (winnowing.op1_fingerprints, token_counts.op3_token_counts, mixing.op5_mixing, toxicity.op8_toxicity, url_filter.op10_url_filter)
 }
 ORACLES = {"op10_url_filter": url_filter.ORACLE}
