@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemill.llm import minhash, mixing, token_counts, toxicity, url_filter, winnowing
+from tidemill.llm import minhash, mixing, substrings, token_counts, toxicity, url_filter, winnowing
 
 QUERIES = {
     f.__name__: f
-    for f in (winnowing.op1_fingerprints, minhash.op2_near_duplicates, token_counts.op3_token_counts, mixing.op5_mixing, toxicity.op8_toxicity, url_filter.op10_url_filter)
+    for f in (winnowing.op1_fingerprints, minhash.op2_near_duplicates, token_counts.op3_token_counts, substrings.op4_substring_dedup, mixing.op5_mixing, toxicity.op8_toxicity, url_filter.op10_url_filter)
 }
-ORACLES = {"op2_near_duplicates": minhash.ORACLE, "op10_url_filter": url_filter.ORACLE}
+ORACLES = {"op2_near_duplicates": minhash.ORACLE, "op4_substring_dedup": substrings.ORACLE, "op10_url_filter": url_filter.ORACLE}
