@@ -1 +1,206 @@
-"""Queries."""
+"""Queries over operators.corpus and the text functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemill.functions import text as tx
+from tidemill.operators import corpus as c
+from tidemill.plans.registry import query
+
+FOLD = "replace(strip_accents(lower({0})), 'đ', 'd')"
+KEY = f"trim(regexp_replace({FOLD.format('text')}, '[^\\p{{L}}\\p{{N}}\\p{{Mn}}_]+', ' ', 'g'))"
+LINES = r"array_to_string(list_filter(regexp_split_to_array(text, '\r?\n'), lambda x: NOT regexp_full_match(x, '[\s|+:=_-]*')), chr(10))"
+QUESTIONS = """questions AS (SELECT query_id, expected AS chunk_id, style, CAST((query_id * 37) % 101 AS DOUBLE) / 101 AS score FROM v_queries)"""
+
+
+def questions(t):
+    score = ((F.col("query_id") * 37) % 101).cast("double") / 101
+    return t.v_queries.select("query_id", F.col("expected").alias("chunk_id"), "style", score.alias("score"))
+
+
+def texts(t):
+    return t.documents.select("doc_id", "text")
+
+
+@query("c1_clean_lines", f"SELECT doc_id, {LINES} AS text FROM documents")
+def c1(t):
+    return t.documents.select("doc_id", tx.clean_lines(F.col("text")).alias("text"))
+
+
+@query("c2_fold_text", f"SELECT doc_id, {FOLD.format('text')} AS folded FROM documents")
+def c2(t):
+    return t.documents.select("doc_id", tx.fold(F.col("text")).alias("folded"))
+
+
+@query("c3_search_tokens", f"SELECT doc_id, {KEY} AS tokens FROM documents")
+def c3(t):
+    return t.documents.select("doc_id", F.array_join(tx.search_tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query("c4_normalize_chat")
+def c4(t):
+    return t.conversations.select("conv_id", "turn", tx.normalize_chat(F.col("text")).alias("text"))
+
+
+@query("c5_expand_shorthands")
+def c5(t):
+    return t.conversations.select("conv_id", "turn", tx.expand_shorthands(F.col("text")).alias("text"))
+
+
+@query("c6_flag_unaccented", r"""SELECT conv_id, turn, NOT regexp_matches(text, '[^\x00-\x7F]') AND
+  len(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w IN ('the', 'of', 'and', 'to', 'in', 'de', 'la'))) >= 3 AS flag FROM conversations""")
+def c6(t):
+    return t.conversations.select("conv_id", "turn", tx.unaccented(F.col("text"), ["the", "of", "and", "to", "in", "de", "la"]).alias("flag"))
+
+
+@query("c7_symbol_share", r"""SELECT doc_id, CASE WHEN v > 0 THEN s / v ELSE 1.0 END AS share FROM (SELECT doc_id,
+  len(regexp_extract_all(text, '[^\s]')) AS v, len(regexp_extract_all(regexp_replace(text, '\s', '', 'g'), '[\p{C}\p{S}]')) AS s FROM documents)""")
+def c7(t):
+    return t.documents.select("doc_id", tx.symbol_share(F.col("text")).alias("share"))
+
+
+@query("c8_content_profile", r"""SELECT doc_id, length(text) AS chars, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, contains(text, '|') AS has_tables,
+  contains(text, '![') AS has_images, regexp_matches(text, 'https?://') AS has_links FROM documents""")
+def c8(t):
+    return c.content_profile(t.documents)
+
+
+@query("c9_chunk_by_size")
+def c9(t):
+    return c.chunk_by_size(texts(t))
+
+
+@query("c10_chunk_by_heading")
+def c10(t):
+    return c.chunk_by_heading(texts(t))
+
+
+@query("c11_chunk_by_legal_article")
+def c11(t):
+    return c.chunk_by_legal_article(texts(t))
+
+
+@query("c12_chunk_qa_pairs", "SELECT conv_id AS doc_id, turn - 1 AS position, question, answer FROM v_qa WHERE false")
+def c12(t):
+    return c.chunk_qa_pairs(texts(t)).select("doc_id", "position", "question", "answer")
+
+
+NATION = ["n_nationkey", "n_name", "n_regionkey"]
+
+
+@query("c13_chunk_table_rows", """SELECT position, (min(n) + 1) || '-' || (max(n) + 1) AS rows, 'n_nationkey | n_name | n_regionkey' || chr(10) || string_agg(line, chr(10) ORDER BY n) AS content
+  FROM (SELECT n, n // 10 AS position, line FROM (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS n, n_nationkey || ' | ' || n_name || ' | ' || n_regionkey AS line FROM nation)) GROUP BY position""")
+def c13(t):
+    return c.chunk_table_rows(t.nation, NATION, "n_nationkey", 10)
+
+
+@query("c14_pack_rows_by_chars")
+def c14(t):
+    rows = t.nation.withColumn("line", c.table_text(t.nation, NATION))
+    return c.pack_rows_by_chars(rows, "n_regionkey", "n_nationkey", "line", 80)
+
+
+@query("c15_chunk_whole", f"SELECT doc_id, content FROM (SELECT doc_id, {LINES} AS content FROM documents) WHERE length(content) <= 20000 AND content <> ''")
+def c15(t):
+    return c.chunk_whole(t.documents)
+
+
+@query("c16_chunk_auto")
+def c16(t):
+    spec = F.element_at(F.array(*[F.lit(x) for x in ("size", "heading", "whole", "other")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return c.chunk_auto(texts(t), spec)
+
+
+@query("c17_chunking_report", """SELECT document_id, count(content) AS chunks, CAST(min(length(content)) AS BIGINT) AS shortest, CAST(max(length(content)) AS BIGINT) AS longest, avg(length(content)) AS mean,
+  count(*) FILTER (length(content) < 50) AS short, count(*) FILTER (length(content) > 1500) AS long, count(content) - count(DISTINCT content) AS repeated FROM v_chunks GROUP BY document_id""")
+def c17(t):
+    return c.chunking_report(t.v_chunks)
+
+
+@query("c18_section_label", """SELECT chunk_id, CASE WHEN chunk_id % 3 = 0 THEN 'heading ' || position WHEN chunk_id % 3 = 1 THEN 'c' || document_id ELSE 'c' || document_id || ' · a' || position END AS label FROM v_chunks""")
+def c18(t):
+    labels = t.v_chunks.select(
+        "chunk_id",
+        F.when(F.col("chunk_id") % 3 != 0, F.concat(F.lit("c"), "document_id")).alias("chapter"),
+        F.when(F.col("chunk_id") % 3 == 2, F.concat(F.lit("a"), F.col("position").cast("string"))).alias("article"),
+        F.concat(F.lit("heading "), F.col("position").cast("string")).alias("heading"),
+    )
+    return labels.select("chunk_id", c.section_label(["chapter", "article"], "heading").alias("label"))
+
+
+@query("c19_resequence", "SELECT chunk_id, row_number() OVER (PARTITION BY document_id ORDER BY position DESC, chunk_id) - 1 AS position FROM v_chunks WHERE chunk_id % 7 <> 0")
+def c19(t):
+    return c.resequence(t.v_chunks.where("chunk_id % 7 <> 0"), [F.desc("position"), "chunk_id"]).select("chunk_id", "position")
+
+
+@query("c20_rechunk_guard", "SELECT document_id FROM v_documents d WHERE NOT EXISTS (SELECT 1 FROM v_chunks c WHERE c.document_id = d.document_id AND c.edited)")
+def c20(t):
+    return c.rechunk_guard(t.v_documents, t.v_chunks).select("document_id")
+
+
+@query("c21_dedup_by_hash", "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY source, content_hash ORDER BY status = 'failed', created_at, id) AS n FROM v_documents) WHERE n = 1")
+def c21(t):
+    return c.dedup_by_hash(t.v_documents).select("id")
+
+
+@query("c22_dedup_normalized", f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {KEY}")
+def c22(t):
+    return c.dedup_normalized(t.documents)
+
+
+@query("c23_dedup_near")
+def c23(t):
+    return c.dedup_near(t.embeddings, "label")
+
+
+@query("c24_decontaminate", f"SELECT doc_id FROM documents WHERE {KEY} NOT IN (SELECT {KEY} FROM benchmark)")
+def c24(t):
+    return c.decontaminate(t.documents, t.benchmark).select("doc_id")
+
+
+@query("c24_nearest_golden", """SELECT v.vec_id, round(max(list_inner_product(v.embedding::DOUBLE[], g.embedding::DOUBLE[]) / sqrt(list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))
+  / sqrt(list_inner_product(g.embedding::DOUBLE[], g.embedding::DOUBLE[]))), 6) AS nearest FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id < 40) g WHERE v.vec_id >= 40 GROUP BY 1""")
+def c24_nearest(t):
+    golden = t.embeddings.where("vec_id < 40")
+    return c.nearest_golden(t.embeddings.where("vec_id >= 40"), golden).withColumn("nearest", F.round("nearest", 6))
+
+
+@query("c25_round_trip_filter", """WITH s AS (SELECT q.query_id, q.query_id % 8 = k.k AS own, (q.query_id * 13 + k.k * 29) % 97 AS score FROM v_queries q, (SELECT unnest(range(8)) AS k) k),
+  m AS (SELECT s.query_id, count(*) FILTER (s.score > o.score) + 1 AS rank FROM s JOIN s o ON o.query_id = s.query_id AND o.own GROUP BY 1) SELECT query_id, rank FROM m WHERE rank <= 3""")
+def c25(t):
+    each = t.v_queries.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    scores = each.select("query_id", (F.col("query_id") % 8 == F.col("k")).alias("own"), ((F.col("query_id") * 13 + F.col("k") * 29) % 97).alias("score"))
+    return c.round_trip_filter(scores)
+
+
+@query("c26_cap_per_chunk", f"""WITH {QUESTIONS}, a AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, style ORDER BY score DESC, query_id) AS turn FROM questions)
+  SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY turn, style) AS rank FROM a) WHERE rank <= 5""")
+def c26(t):
+    return c.cap_per_chunk(questions(t)).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("c27_train_val_split")
+def c27(t):
+    return c.train_val_split(questions(t))
+
+
+@query("c28_no_repeat_batches")
+def c28(t):
+    return c.no_repeat_batches(questions(t), 4)
+
+
+@query("c29_perturb")
+def c29(t):
+    rows = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return c.perturb(rows, ["no_diacritics", "abbreviations", "telex", "typos", "no_spaces", "chat_mix"])
+
+
+@query("c31_stale_embeddings", "SELECT chunk_id FROM v_chunks WHERE embedding IS NULL OR embedding_model IS DISTINCT FROM 'm1'")
+def c31(t):
+    return c.stale_embeddings(t.v_chunks, "m1").select("chunk_id")
+
+
+@query("c32_hash_embed")
+def c32(t):
+    return tx.hash_embed(t.documents, "doc_id", "text")

@@ -1 +1,209 @@
-"""Queries."""
+"""Queries over operators.retrieval."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemill.functions import text as tx
+from tidemill.operators import evaluation as e
+from tidemill.operators import relational as rel
+from tidemill.operators import retrieval as r
+from tidemill.plans.corpus import FOLD
+from tidemill.plans.registry import query
+from tidemill.plans.relational import live
+
+TOKENS = f"list_filter(string_split(trim(regexp_replace({FOLD.format('@')}, '[^\\p{{L}}\\p{{N}}\\p{{Mn}}_]+', ' ', 'g')), ' '), lambda x: x <> '')"
+INDEX = f"""toks AS (SELECT doc_id, {TOKENS.replace('@', 'text')} AS w FROM documents),
+  post AS (SELECT doc_id, term, count(*) AS tf, any_value(length) AS length FROM (SELECT doc_id, unnest(w) AS term, len(w) AS length FROM toks) GROUP BY 1, 2),
+  stat AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM toks),
+  raw AS (SELECT term, count(*) AS df, ln((SELECT n FROM stat) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post GROUP BY 1),
+  idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+  ask AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({TOKENS.replace('@', 'text')}) AS term FROM benchmark) GROUP BY 1, 2),
+  bm AS (SELECT query_id, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / (SELECT mean FROM stat)))) AS bm25
+    FROM post JOIN idf USING (term) JOIN ask USING (term) GROUP BY 1, 2)"""
+UNIT = "list_transform({0}, lambda x: x::DOUBLE / sqrt(list_inner_product({0}::DOUBLE[], {0}::DOUBLE[])))"
+DENSE = f"""den AS (SELECT q.query_id, v.vec_id, list_inner_product({UNIT.format('q.vector')}, {UNIT.format('v.embedding')}) AS cosine, v.label
+  FROM v_queries q, embeddings v WHERE v.vec_id <> q.query_id)"""
+
+
+def benchmark_queries(t):
+    return t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def dense_hits(t):
+    asked = t.v_queries.select("query_id", "vector")
+    return r.dense(asked, t.embeddings, "vec_id").where(F.col("vec_id") != F.col("query_id"))
+
+
+def text_hits(t):
+    """Another leg over the same pairs: how near two vector ids are."""
+    near = F.col("vec_id") - F.col("query_id")
+    return dense_hits(t).select("query_id", "vec_id", (F.lit(5.0) - F.abs(near)).alias("bm25"))
+
+
+FUSED = f"""{DENSE}, txt AS (SELECT query_id, vec_id, 5.0 - abs(vec_id - query_id) AS bm25 FROM den),
+  dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, vec_id) AS dr FROM den),
+  br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, vec_id) AS br FROM txt WHERE bm25 > 0),
+  fus AS (SELECT query_id, vec_id, cosine, bm25, (1 - 0.7) * coalesce(1 / (60 + dr), 0) + 0.7 * coalesce(1 / (60 + br), 0) AS fused FROM dr FULL JOIN br USING (query_id, vec_id)),
+  pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 12) DESC, vec_id) AS pool_rank FROM fus) WHERE pool_rank <= 30),
+  rel AS (SELECT *, fused + 0.25 * coalesce(cosine, 0) + 0.1 * CASE WHEN coalesce(bm25, 0) > 0 THEN 1 ELSE 0 END AS relevance FROM pool),
+  gat AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(relevance, 9) DESC, vec_id) AS rank FROM
+    (SELECT *, max(relevance) OVER (PARTITION BY query_id) AS best FROM rel) WHERE relevance >= 0.1) WHERE rank <= 5)"""
+
+
+def fused(t):
+    return r.rrf(dense_hits(t), text_hits(t), "vec_id")
+
+
+def gated(t):
+    return r.gate_and_rank(r.rerank(r.pool_of(fused(t), "vec_id", 5)), "vec_id", 0.1, 5)
+
+
+@query("r1_build_index", f"WITH {INDEX} SELECT doc_id, term, tf, length FROM post")
+def r1(t):
+    return r.postings(t.documents, "doc_id", "text").select("doc_id", "term", "tf", "length")
+
+
+@query("r1_term_stats", f"WITH {INDEX} SELECT term, df, round(idf, 9) AS idf FROM idf")
+def r1_stats(t):
+    n, _ = r.corpus_stats(t.documents, "text")
+    return r.term_stats(r.postings(t.documents, "doc_id", "text"), "doc_id", n).withColumn("idf", F.round("idf", 9))
+
+
+@query("r2_bm25", f"WITH {INDEX} SELECT query_id, doc_id, round(bm25, 6) AS bm25 FROM bm")
+def r2(t):
+    return r.bm25(benchmark_queries(t), t.documents).withColumn("bm25", F.round("bm25", 6))
+
+
+@query("r3_dense", f"WITH {DENSE} SELECT query_id, vec_id, round(cosine, 6) AS cosine FROM den")
+def r3(t):
+    return dense_hits(t).withColumn("cosine", F.round("cosine", 6))
+
+
+@query("j7_scoring_join", f"WITH {DENSE} SELECT query_id, max(round(cosine, 6)) AS best FROM den GROUP BY 1")
+def j7(t):
+    return dense_hits(t).groupBy("query_id").agg(F.max(F.round("cosine", 6)).alias("best"))
+
+
+@query("r4_rrf", f"WITH {FUSED} SELECT query_id, vec_id, round(fused, 9) AS fused FROM fus")
+def r4(t):
+    return fused(t).select("query_id", "vec_id", F.round("fused", 9).alias("fused"))
+
+
+@query("r5_pool", f"WITH {FUSED} SELECT query_id, vec_id FROM pool")
+def r5(t):
+    return r.pool_of(fused(t), "vec_id", 5).select("query_id", "vec_id")
+
+
+@query("r6_rerank", f"WITH {FUSED} SELECT query_id, vec_id, round(relevance, 6) AS relevance FROM rel")
+def r6(t):
+    return r.rerank(r.pool_of(fused(t), "vec_id", 5)).select("query_id", "vec_id", F.round("relevance", 6).alias("relevance"))
+
+
+@query("r7_gate_and_rank", f"WITH {FUSED} SELECT query_id, vec_id, rank, round(best, 6) AS best FROM gat")
+def r7(t):
+    return gated(t).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("best", 6).alias("best"))
+
+
+@query("r8_expand_context")
+def r8(t):
+    matches = gated(t).withColumnRenamed("vec_id", "chunk_id").join(t.v_chunks.select("chunk_id", "document_id", "position"), "chunk_id")
+    return r.expand_context(matches, t.v_chunks, 1, 6)
+
+
+@query("r9_hybrid_search")
+def r9(t):
+    return r.hybrid_search(benchmark_queries(t), t.documents)
+
+
+@query("r10_assemble_context", f"""WITH {FUSED}, blk AS (SELECT query_id, rank, '<document title="Doc ' || vec_id || '">' || chr(10) || replace(replace(replace(replace(coalesce(d.text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')
+    || chr(10) || '</document>' AS block FROM gat LEFT JOIN documents d ON d.doc_id = vec_id),
+  ends AS (SELECT *, sum(length(block) + 1) OVER (PARTITION BY query_id ORDER BY rank) - 1 AS e FROM blk),
+  fit AS (SELECT *, min(CASE WHEN e <= 4000 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS f FROM ends)
+  SELECT query_id, sha256(string_agg(CASE WHEN f = 1 THEN block ELSE left(block, 4000) END, chr(10) ORDER BY rank)) AS context FROM fit WHERE f = 1 OR rank = 1 GROUP BY 1""")
+def r10(t):
+    texts = t.documents.select(F.col("doc_id").alias("vec_id"), "text")
+    named = gated(t).join(texts, "vec_id", "left").select(
+        "query_id", "rank", F.concat(F.lit("Doc "), F.col("vec_id").cast("string")).alias("title"), F.coalesce("text", F.lit("")).alias("content")
+    )
+    return r.assemble_context(named, 4000).select("query_id", F.sha2("context", 256).alias("context"))
+
+
+def adapter_pairs(t):
+    """Each query vector with the next vector of its label."""
+    left = t.embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("q"))
+    right = t.embeddings.select((F.col("vec_id") - 10).alias("vec_id"), F.col("embedding").cast("array<double>").alias("p"))
+    return left.join(right, "vec_id").select("q", "p")
+
+
+@query("r11_fit_query_adapter", """WITH p AS (SELECT a.embedding::DOUBLE[] AS q, b.embedding::DOUBLE[] AS p FROM embeddings a JOIN embeddings b ON b.vec_id - 10 = a.vec_id)
+  SELECT i, j, round(sum(q[i + 1] * q[j + 1]), 6) AS qq, round(sum(q[i + 1] * p[j + 1]), 6) AS qp FROM p, (SELECT unnest(range(64)) AS i) a, (SELECT unnest(range(64)) AS j) b GROUP BY 1, 2""")
+def r11(t):
+    cells = r.gram(adapter_pairs(t))
+    return cells.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("qq", 6).alias("qq"), F.round("qp", 6).alias("qp"))
+
+
+@query("r12_apply_adapter")
+def r12(t):
+    matrix = r.fit_query_adapter(adapter_pairs(t), 1.0)
+    return t.v_queries.select("query_id", r.apply_adapter(F.col("vector"), matrix).alias("vector"))
+
+
+@query("r13_select_lambda")
+def r13(t):
+    """Validation MRR of each ridge on the queries; one small solve for each, scored in one job."""
+    pairs = adapter_pairs(t)
+    grid = {None: None} | {x: r.fit_query_adapter(pairs, x) for x in (0.1, 1.0, 10.0)}
+    variants = F.array(*[F.struct(F.lit(-1.0 if k is None else k).alias("ridge"), r.apply_adapter(F.col("vector"), m).alias("q")) for k, m in grid.items()])
+    asked = t.v_queries.select("query_id", "expected", F.explode(variants).alias("v")).select("query_id", "expected", "v.ridge", "v.q")
+    units = t.embeddings.select("vec_id", "label", tx.unit(F.col("embedding")).alias("e"))
+    scored = units.join(r.checked_broadcast(asked), F.col("vec_id") != F.col("query_id")).select(
+        "ridge", "query_id", "vec_id", (F.col("label") == F.col("expected")).alias("hit"), tx.dot(F.col("q"), F.col("e")).alias("score")
+    )
+    return e.mrr_by(scored, "ridge", 10)
+
+
+ROUTES = f"""{DENSE}, rts AS (SELECT query_id, 'route' || label AS route, max(cosine) AS score FROM den GROUP BY 1, 2),
+  two AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, route) AS n FROM rts),
+  rt AS (SELECT query_id, max(CASE WHEN n = 1 THEN route END) AS first, max(CASE WHEN n = 1 THEN score END) AS score, coalesce(max(CASE WHEN n = 2 THEN score END), 0) AS second FROM two WHERE n <= 2 GROUP BY 1),
+  routed AS (SELECT query_id, CASE WHEN score >= 0.3 AND score - second >= 0.02 THEN first ELSE 'rag_question' END AS route, score, score - second AS lead FROM rt)"""
+
+
+def routed(t):
+    scores = dense_hits(t).join(t.embeddings.select("vec_id", F.concat(F.lit("route"), F.col("label").cast("string")).alias("route")), "vec_id")
+    return r.best_routes(scores.select("query_id", "route", F.col("cosine").alias("score")), 0.3, 0.02, "rag_question")
+
+
+@query("r14_route_nearest", f"WITH {ROUTES} SELECT query_id, route, round(score, 6) AS score FROM routed")
+def r14(t):
+    return routed(t).select("query_id", "route", F.round("score", 6).alias("score"))
+
+
+@query("r15_off_topic", f"WITH {ROUTES} SELECT query_id, lead >= 0.02 OR (score < 0.001 AND lead > -0.02) AS off_topic FROM routed")
+def r15(t):
+    return routed(t).select("query_id", r.off_topic(F.col("lead"), F.col("score")).alias("off_topic"))
+
+
+@query("r16_route_logistic")
+def r16(t):
+    """Held-out routes by a class-balanced multinomial model of four fifths of the vectors."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    rows = t.embeddings.select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    weights = rows.groupBy("label").agg((F.lit(1.0) / F.count("*")).alias("weight"))
+    weighted = rows.join(F.broadcast(weights), "label")  # a row for each route
+    model = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=30).fit(weighted.where("vec_id % 5 <> 0"))
+    return model.transform(weighted.where("vec_id % 5 = 0")).select("vec_id", F.col("label").cast("long").alias("label"), F.col("prediction").cast("long").alias("predicted"))
+
+
+@query("r17_answer_confidence")
+def r17(t):
+    asked = rel.question_before(t.v_messages)
+    return asked.select("message_id", r.answer_confidence(F.coalesce("question", F.lit("")), F.col("content")).alias("confidence"))
+
+
+@query("a27_index_stats", """SELECT d.source, count(*) AS n FROM v_chunks c JOIN v_documents d USING (document_id) JOIN v_sources s ON s.name = d.source
+  WHERE c.embedding IS NOT NULL AND d.status = 'ready' AND d.review = 'approved' AND d.enabled AND s.enabled AND coalesce(d.effective_to, DATE '9999-12-31') >= DATE '2024-02-10' GROUP BY 1""")
+def a27(t):
+    return live(t).groupBy("source").agg(F.count("*").alias("n"))
