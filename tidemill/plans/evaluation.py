@@ -1 +1,157 @@
-"""Queries."""
+"""Queries over operators.evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemill.functions import text as tx
+from tidemill.operators import corpus, evaluation as e
+from tidemill.operators import retrieval as r
+from tidemill.plans.corpus import questions
+from tidemill.plans.registry import query
+from tidemill.plans.retrieval import DENSE, ROUTES, benchmark_queries, dense_hits, routed
+
+RANKED = f"""{DENSE}, rk AS (SELECT d.query_id, q.kind, label = q.expected AS hit, row_number() OVER (PARTITION BY d.query_id ORDER BY round(cosine, 9) DESC, vec_id) AS rank
+  FROM den d JOIN v_queries q USING (query_id)), fh AS (SELECT query_id, coalesce(kind, 'plain') AS kind, min(CASE WHEN hit AND rank <= 10 THEN rank END) AS rank FROM rk GROUP BY ALL)"""
+PREDICTED = f"""{ROUTES}, prd AS (SELECT CASE WHEN q.expected >= 8 THEN 'rag_question' ELSE 'route' || q.expected END AS expected, r.route AS predicted, q.style FROM routed r JOIN v_queries q USING (query_id))"""
+LABELS = [f"route{i}" for i in range(8)] + ["rag_question"]
+
+
+def first_hits(t):
+    labels = t.embeddings.select("vec_id", "label")
+    hits = dense_hits(t).join(labels, "vec_id").join(t.v_queries.select("query_id", "expected", "kind"), "query_id")
+    ranked = hits.withColumn("rank", F.row_number().over(_by_cosine())).where("rank <= 10")
+    found = e.first_hit(ranked.select("query_id", "rank", (F.col("label") == F.col("expected")).alias("hit")))
+    return found.join(t.v_queries.select("query_id", F.coalesce("kind", F.lit("plain")).alias("kind")), "query_id")
+
+
+def _by_cosine():
+    from pyspark.sql.window import Window as W
+
+    return W.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "vec_id")
+
+
+def predicted(t):
+    want = F.when(F.col("expected") >= 8, "rag_question").otherwise(F.concat(F.lit("route"), F.col("expected").cast("string")))
+    return routed(t).join(t.v_queries, "query_id").select(want.alias("expected"), F.col("route").alias("predicted"), "style")
+
+
+@query("e1_recall_mrr", f"""WITH {RANKED} SELECT kind, 0 AS "all", avg(CASE WHEN coalesce(rank <= 1, false) THEN 1.0 ELSE 0 END) AS recall_1, avg(CASE WHEN coalesce(rank <= 5, false) THEN 1.0 ELSE 0 END) AS recall_5,
+  round(avg(coalesce(1 / rank, 0)), 9) AS mrr, count(*) AS n FROM fh GROUP BY kind UNION ALL SELECT NULL, 1, avg(CASE WHEN coalesce(rank <= 1, false) THEN 1.0 ELSE 0 END), avg(CASE WHEN coalesce(rank <= 5, false) THEN 1.0 ELSE 0 END),
+  round(avg(coalesce(1 / rank, 0)), 9), count(*) FROM fh""")
+def e1(t):
+    return e.recall_mrr(first_hits(t), [1, 5], "kind").withColumn("mrr", F.round("mrr", 9))
+
+
+@query("e2_chunk_mrr", f"""WITH {DENSE}, own AS (SELECT query_id, max(cosine) AS mine FROM den JOIN v_queries USING (query_id) WHERE label = expected GROUP BY 1),
+  rk AS (SELECT d.query_id, count(*) FILTER (d.cosine > own.mine) + 1 AS rank FROM den d JOIN own USING (query_id) GROUP BY 1) SELECT query_id, rank FROM rk""")
+def e2(t):
+    rows = dense_hits(t).join(t.embeddings.select("vec_id", "label"), "vec_id").join(t.v_queries.select("query_id", "expected"), "query_id")
+    return e.target_rank(rows.select("query_id", (F.col("label") == F.col("expected")).alias("own"), F.col("cosine").alias("score")))
+
+
+@query("e3_calibrate_threshold", """WITH d AS (SELECT DISTINCT round(score, 6) AS s FROM v_scores WHERE score IS NOT NULL),
+  c AS (SELECT min(s) AS threshold FROM d UNION ALL SELECT coalesce((s + lead(s) OVER (ORDER BY s)) / 2, s + 1e-9) FROM d),
+  a AS (SELECT threshold, count(*) FILTER (answerable AND round(score, 6) >= threshold) / greatest(count(*) FILTER (answerable), 1) AS kept,
+    count(*) FILTER (NOT answerable AND NOT coalesce(round(score, 6) >= threshold, false)) / greatest(count(*) FILTER (NOT answerable), 1) AS refused FROM c, v_scores GROUP BY threshold)
+  SELECT threshold, round((kept + refused) / 2, 9) AS balanced_accuracy FROM a ORDER BY 2 DESC, 1 LIMIT 1""")
+def e3(t):
+    return e.calibrate_threshold(t.v_scores)
+
+
+@query("e4_confusion", f"WITH {PREDICTED} SELECT expected, predicted, count(*) AS n FROM prd GROUP BY 1, 2")
+def e4(t):
+    return e.confusion(predicted(t))
+
+
+@query("e4_routing_report", f"""WITH {PREDICTED}, f AS (SELECT l.label, 2 * count(*) FILTER (expected = l.label AND predicted = l.label) / nullif(count(*) FILTER (expected = l.label) + count(*) FILTER (predicted = l.label), 0) AS f1
+    FROM (SELECT unnest({LABELS}) AS label) l, prd GROUP BY 1)
+  SELECT (SELECT count(*) FILTER (expected = predicted) / count(*) FROM prd) AS accuracy, (SELECT count(*) FILTER (expected = 'rag_question' AND predicted <> 'rag_question') FROM prd) AS stolen,
+    round(avg(coalesce(f1, 0)), 9) AS macro_f1 FROM f""")
+def e4_report(t):
+    return e.routing_report(predicted(t), LABELS, "rag_question")
+
+
+@query("e5_grouped_accuracy", f"""WITH {PREDICTED} SELECT 'expected' AS kind, expected AS label, count(*) AS n, count(*) FILTER (expected = predicted) AS "right" FROM prd GROUP BY 2
+  UNION ALL SELECT 'style', style, count(*), count(*) FILTER (expected = predicted) FROM prd GROUP BY 2""")
+def e5(t):
+    rows = predicted(t).withColumn("want", F.col("expected"))
+    out = e.grouped_accuracy(rows.withColumnsRenamed({"want": "want"}), ["want", "style"])
+    return out.withColumn("kind", F.when(F.col("kind") == "want", "expected").otherwise(F.col("kind")))
+
+
+@query("e6_argument_match", "SELECT event_id AS case_id, event_id % 5 <> 0 AND event_type IN ('view', 'click') AS matched FROM events WHERE event_id < 500")
+def e6(t):
+    calls = t.events.where("event_id < 500").select(
+        F.col("event_id").alias("case_id"),
+        F.create_map(F.lit("kind"), F.array(F.lit("view"), F.lit("click")), F.lit("flag"), F.array(F.lit("yes"))).alias("accepted"),
+        F.create_map(F.lit("kind"), F.col("event_type"), F.lit("flag"), F.when(F.col("event_id") % 5 != 0, "yes").otherwise("no")).alias("actual"),
+    )
+    return e.argument_match(calls)
+
+
+METRICS = """mts AS (SELECT 'c' || (user_id % 3) AS config, event_type AS metric, round(avg(value), 6) AS value FROM events GROUP BY 1, 2)"""
+
+
+def metrics(t):
+    return t.events.groupBy(F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("config"), F.col("event_type").alias("metric")).agg(F.round(F.avg("value"), 6).alias("value"))
+
+
+@query("e7_compare_configs", f"""WITH {METRICS} SELECT m.config, m.metric, round(m.value - b.value, 6) AS delta, round(CASE WHEN b.value > 0 THEN (m.value - b.value) * 100 / b.value END, 6) AS percent
+  FROM mts m JOIN mts b ON b.metric = m.metric AND b.config = 'c0' WHERE m.config <> 'c0'""")
+def e7(t):
+    return e.compare_configs(metrics(t), "c0").select("config", "metric", F.round("delta", 6).alias("delta"), F.round("percent", 6).alias("percent"))
+
+
+@query("e8_regression_gate", f"""WITH {PREDICTED}, now AS (SELECT count(*) AS n, count(*) FILTER (expected = predicted) / count(*) AS acc, count(*) FILTER (expected = 'rag_question' AND predicted <> 'rag_question') AS stolen FROM prd)
+  SELECT 'set_changed' AS rule, false AS failed UNION ALL SELECT 'recall_dropped', acc < 0.9 FROM now UNION ALL SELECT 'mrr_dropped', acc < 0.9 - 0.02 FROM now
+  UNION ALL SELECT 'accuracy_dropped', acc < 0.95 - greatest(0.02, 2 / n) FROM now UNION ALL SELECT 'stolen', stolen > 0 FROM now""")
+def e8(t):
+    report = e.routing_report(predicted(t), LABELS, "rag_question")
+    n = predicted(t).agg(F.count("*").alias("n"))
+    now = report.crossJoin(n).select("n", F.col("accuracy").alias("recall"), F.col("accuracy").alias("mrr"), "accuracy", F.col("n").alias("cases"), "stolen")
+    base = n.select("n", F.lit(0.9).alias("recall"), F.lit(0.9).alias("mrr"), F.lit(0.95).alias("accuracy"))
+    return e.regression_gate(now, base)
+
+
+@query("e9_outcome_eval", """SELECT CASE conv_id % 3 WHEN 0 THEN 'plain' ELSE 'off_topic' END AS kind, CASE WHEN (coalesce(outcome, '') = 'answered') = (conv_id % 3 = 0) AND outcome IS NOT NULL THEN 'right'
+  WHEN outcome = 'answered' THEN 'wrong' WHEN outcome IN ('handoff', 'denied') THEN 'refused_other_way' ELSE 'wrong' END AS verdict, count(*) AS n FROM v_messages WHERE role = 'assistant' GROUP BY 1, 2""")
+def e9(t):
+    rows = t.v_messages.where("role = 'assistant'").select("outcome", F.when(F.col("conv_id") % 3 == 0, "plain").otherwise("off_topic").alias("kind"), (F.col("conv_id") % 3 == 0).alias("should_answer"))
+    return e.outcome_eval(rows)
+
+
+@query("e10_robustness_matrix")
+def e10(t):
+    """Recall of each benchmark passage's own words under perturbations, by BM25: configurations as columns."""
+    base = benchmark_queries(t)
+    variants = corpus.perturb(base.select(F.col("query_id").alias("id"), F.col("query").alias("text")), ["no_diacritics", "typos", "no_spaces"])
+    asked = variants.select(F.concat_ws("/", F.col("id").cast("string"), "name").alias("query_id"), F.col("variant").alias("query"))
+    hits = r.bm25(asked, t.benchmark, "item_id", "text")
+    ranked = r.pool_of(hits.withColumn("fused", F.col("bm25")), "item_id", 10)
+    found = ranked.select(F.col("query_id"), F.col("pool_rank").alias("rank"), (F.split_part("query_id", F.lit("/"), F.lit(1)) == F.col("item_id").cast("string")).alias("hit"))
+    ranks = e.first_hit(found).withColumn("name", F.split_part("query_id", F.lit("/"), F.lit(2)))
+    return e.recall_mrr(ranks, [1, 5], "name")
+
+
+@query("e11_embedding_drift", """WITH p AS (SELECT a.embedding::DOUBLE[] AS x, list_transform(a.embedding, lambda v: round(v::DOUBLE, 2)) AS y FROM embeddings a),
+  d AS (SELECT 1 - list_inner_product(x, y) / sqrt(list_inner_product(x, x)) / sqrt(list_inner_product(y, y)) AS d, list_max(list_transform(range(1, len(x) + 1), lambda i: abs(x[i] - y[i]))) AS m FROM p)
+  SELECT round(avg(d), 8) AS mean, round(max(d), 8) AS max, round(min(d), 8) AS min, round(max(m), 8) AS largest FROM d""")
+def e11(t):
+    a = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    b = t.embeddings.select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda v: F.round(v, 2)).alias("y"))
+    cosine = tx.dot(tx.unit(F.col("x")), tx.unit(F.col("y")))
+    largest = F.array_max(F.zip_with("x", "y", lambda u, v: F.abs(u - v)))
+    drift = e.embedding_drift(a, b, "vec_id", cosine, largest)
+    return drift.select(*[F.round(c, 8).alias(c) for c in drift.columns])
+
+
+@query("e12_filter_report")
+def e12(t):
+    """How many questions each curation step leaves, by style."""
+    every = questions(t)
+    capped = corpus.cap_per_chunk(every, 3)
+    kept = corpus.train_val_split(capped)
+    steps = [("all", every), ("capped", capped), ("validation", kept.where("validation"))]
+    counts = [df.groupBy("style").agg(F.lit(n).alias("step"), F.count("*").alias("n")) for n, df in steps]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
