@@ -1 +1,63 @@
-"""Queries."""
+"""Queries over streaming.live: each runs a stream over the event files and compares as a table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemill.operators import retrieval as r
+from tidemill.plans.registry import query
+from tidemill.sources.files import event_stream
+from tidemill.streaming import live
+
+
+def stream(t):
+    return event_stream(t.spark, f"{t.sf_dir}/events.parquet")
+
+
+@query("t1_live_turns", "SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type IN ('view', 'click')")
+def t1(t):
+    return live.finish(live.live_turns(stream(t)), "append").drop("batch")
+
+
+@query("t2_usage_counters", "SELECT epoch_us(date_trunc('hour', ts)) // 1000000 AS hour_s, user_id, count(*) AS requests, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS value FROM events GROUP BY 1, 2")
+def t2(t):
+    return live.latest(live.finish(live.usage_counters(stream(t)), "update"), ["hour_s", "user_id"])
+
+
+@query("t3_error_spikes", """WITH w AS (SELECT (epoch_us(ts) // 1000000) // 300 * 300 + 900 - k.k * 300 AS end_s, event_type FROM events, (SELECT unnest(range(3)) AS k) k)
+  SELECT end_s, count(*) AS turns, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'error') >= 5 AND count(*) FILTER (event_type = 'error') >= 0.2 * count(*) AS spike FROM w GROUP BY 1""")
+def t3(t):
+    return live.latest(live.finish(live.error_spikes(stream(t)), "update"), ["end_s"])
+
+
+@query("t4_alert_state")
+def t4(t):
+    checks = stream(t).select(
+        F.concat(F.lit("user"), (F.col("user_id") % 50).cast("string")).alias("rule"), F.unix_timestamp("ts").alias("at_s"), (F.col("event_type") == "error").alias("firing")
+    )
+    return live.finish(live.alert_state(checks), "append").drop("batch")
+
+
+@query("t5_rollup_stream", "SELECT CAST(CAST(ts + INTERVAL 7 HOUR AS DATE) AS VARCHAR) AS day, count(*) AS turns, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1")
+def t5(t):
+    hours = live.latest(live.finish(live.daily_counts(stream(t)), "update"), ["hour_s", "day"])
+    return hours.groupBy("day").agg(F.sum("turns").alias("turns"), F.sum("errors").alias("errors"))
+
+
+@query("t6_first_binding", "SELECT DISTINCT event_id // 3 AS jti FROM events")
+def t6(t):
+    uses = stream(t).withColumn("jti", F.floor(F.col("event_id") / 3))
+    return live.finish(live.first_binding(uses).select("jti"), "append").drop("batch")
+
+
+@query("t7_incremental_index", "SELECT event_type AS term, count(*) AS df FROM events GROUP BY 1")
+def t7(t):
+    """Postings of each batch of new texts, appended; document counts follow from them."""
+    new = stream(t).select(F.col("event_id").alias("doc_id"), F.col("event_type").alias("text"))
+    posts = live.finish(new, "append", lambda df: r.postings(df, "doc_id", "text"))
+    return posts.groupBy("term").agg(F.count("*").alias("df"))
+
+
+@query("t8_overdue", """SELECT ticket_id FROM v_handoffs WHERE status IN ('open', 'assigned') AND due_at > TIMESTAMP '2024-01-05 00:00:00' AND due_at <= TIMESTAMP '2024-01-20 00:00:00'""")
+def t8(t):
+    return live.overdue(t.v_handoffs, F.expr("TIMESTAMP '2024-01-20 00:00:00'"), F.expr("TIMESTAMP '2024-01-05 00:00:00'")).select("ticket_id")
