@@ -116,8 +116,9 @@ def chunk_by_legal_article(docs: DataFrame, split_at: str = "dieu") -> DataFrame
         out = out.withColumn(f"l{i}", F.last(f"m{i}", ignorenulls=True).over(W.partitionBy("doc_id", f"r{i}").orderBy("at")))
     out = out.withColumn("unit", F.sum(F.col(f"m{depth}").isNotNull().cast("int")).over(order))
     labels = F.array_join(F.array(*[f"l{i}" for i in range(depth + 1)]), " · ")
-    kept = out.where(F.col("unit") > 0).groupBy("doc_id", "unit").agg(
-        F.max_by(labels, "at").alias("labels"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("content")
+    titles = F.coalesce(*[F.col(f"m{i}") for i in range(depth)], F.lit(None)).isNotNull()  # lines that open what encloses later units
+    kept = out.where((F.col("unit") > 0) & ~titles).groupBy("doc_id", "unit").agg(
+        F.min_by(labels, "at").alias("labels"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("content")
     )
     return kept.select("doc_id", (F.col("unit") - 1).alias("position"), "labels", "content")
 
