@@ -135,7 +135,7 @@ def chunk_qa_pairs(docs: DataFrame) -> DataFrame:
 
     def joined(kind: str) -> Column:
         own = F.array_sort(F.collect_list(F.when(F.col("side") == kind, F.struct("at", "body"))))
-        return F.trim(F.array_join(F.transform(own, lambda x: x["body"]), "\n"))
+        return F.regexp_replace(F.array_join(F.transform(own, lambda x: x["body"]), "\n"), r"^\s+|\s+$", "")
 
     pairs = marked.where(F.col("pair") > 0).withColumn("side", side).groupBy("doc_id", "pair").agg(joined("q").alias("question"), joined("a").alias("answer"))
     return pairs.where("question <> '' AND answer <> ''").select("doc_id", (F.col("pair") - 1).alias("position"), "question", "answer")

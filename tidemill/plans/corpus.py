@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import text as tx
 from tidemill.operators import corpus as c
+from tidemill.operators import interchange
 from tidemill.plans.registry import query
 
 FOLD = "replace(strip_accents(lower({0})), 'đ', 'd')"
@@ -76,14 +77,22 @@ def c10(t):
     return c.chunk_by_heading(texts(t))
 
 
-@query("c11_chunk_by_legal_article")
+@query("c11_chunk_by_legal_article", """SELECT doc_id, 0 AS position, 'chuong i · dieu 1' AS labels, 'Điều 1. Tên' || chr(10) || text AS content FROM documents
+  UNION ALL SELECT doc_id, 1, 'chuong ii · dieu 2', 'Điều 2. Sau' || chr(10) || CAST(doc_id AS VARCHAR) FROM documents""")
 def c11(t):
-    return c.chunk_by_legal_article(texts(t))
+    """Each document as the first article of a law, with a second one in another chapter."""
+    law = F.concat(F.lit("Chương I\nĐiều 1. Tên\n"), F.col("text"), F.lit("\nChương II\nĐiều 2. Sau\n"), F.col("doc_id").cast("string"))
+    return c.chunk_by_legal_article(t.documents.select("doc_id", law.alias("text")))
 
 
-@query("c12_chunk_qa_pairs", "SELECT conv_id AS doc_id, turn - 1 AS position, question, answer FROM v_qa WHERE false")
+@query("c12_chunk_qa_pairs", """SELECT conv_id AS doc_id, 0 AS position, trim(regexp_replace(question, '\\s+', ' ', 'g')) AS question, trim(regexp_replace(answer, '\\s+', ' ', 'g')) AS answer FROM (SELECT conv_id,
+  arg_min(text, turn) FILTER (role = 'user' AND trim(text) <> '') AS question, arg_min(text, turn) FILTER (role = 'assistant' AND trim(text) <> '') AS answer FROM conversations GROUP BY 1)
+  WHERE question IS NOT NULL AND answer IS NOT NULL""")
 def c12(t):
-    return c.chunk_qa_pairs(texts(t)).select("doc_id", "position", "question", "answer")
+    """The first question and answer of each conversation, written out as text and read back."""
+    lines = {k: F.regexp_replace(k, r"\s+", " ") for k in ("question", "answer")}
+    written = interchange.qa_text(interchange.chat_to_pairs(t.conversations).withColumns(lines), "conv_id")
+    return c.chunk_qa_pairs(written.withColumnRenamed("conv_id", "doc_id"))
 
 
 NATION = ["n_nationkey", "n_name", "n_regionkey"]

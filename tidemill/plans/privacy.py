@@ -33,7 +33,11 @@ def g1_email(t):
     return t.documents.select("doc_id", F.regexp_replace("text", pattern, tag).alias("text"))
 
 
-@query("g2_screen_messages", """SELECT message_id, 'allow' AS verdict FROM v_messages""")
+_FOLDED = "trim(regexp_replace(replace(strip_accents(lower(content)), 'đ', 'd'), '\\s+', ' ', 'g'))"
+
+
+@query("g2_screen_messages", f"""SELECT message_id, CASE WHEN regexp_matches(x, '{"|".join(p.INJECTION)}') THEN 'block' WHEN regexp_matches(x, '{"|".join(p.HUMAN)}') THEN 'human_requested'
+  WHEN regexp_matches(x, '{p.GREETING}') THEN 'greeting' WHEN regexp_matches(x, '{p.THANKS}') THEN 'thanks' ELSE 'allow' END AS verdict FROM (SELECT message_id, {_FOLDED} AS x FROM v_messages)""")
 def g2(t):
     return t.v_messages.select("message_id", p.screen(F.col("content")).alias("verdict"))
 
