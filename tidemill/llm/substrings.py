@@ -206,10 +206,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     table gives an empty one.
     """
     count = 2 * shuffles(docs.sparkSession)
+    parts = max(24, count // 4)  # rows between buckets and parts are a few large ones, not many small ones
     new = ("n_words", "n_removed", "kept")
     others = [c for c in docs.columns if c not in (*new, text)]
     row = F.struct(F.lit(0).alias("__row"), *[F.col(f"`{c}`") for c in others])
-    own = F.pmod(F.coalesce(F.col(key).cast("long"), F.xxhash64(text)), F.lit(count)).cast("int")
+    own = F.pmod(F.coalesce(F.col(key).cast("long"), F.xxhash64(text)), F.lit(parts)).cast("int")
     placed = docs.select(own.alias("part"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"), row.alias("row"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,10 +218,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         yield from _probe_rows(rows, count)
 
     packed, by_doc = "bucket int, hashes binary, places binary", "part int, places binary"
-    hits = placed.select("key", "text").mapInArrow(probe, packed).groupBy("bucket").applyInArrow(lambda g: _hits(g, count), by_doc)
+    hits = placed.select("key", "text").mapInArrow(probe, packed).groupBy("bucket").applyInArrow(lambda g: _hits(g, parts), by_doc)
     by_part = placed.groupBy("part")
     windows = by_part.cogroup(hits.groupBy("part")).applyInArrow(lambda t, h: _window_rows(t, h, count), packed)
-    repeats = windows.groupBy("bucket").applyInArrow(lambda g: _repeats(g, count), by_doc)
+    repeats = windows.groupBy("bucket").applyInArrow(lambda g: _repeats(g, parts), by_doc)
     schema = placed.select("row", "text").schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
     done = by_part.cogroup(repeats.groupBy("part")).applyInArrow(_kept, schema)
     back = [F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c not in new]
