@@ -135,8 +135,26 @@ def _places_of(found: pa.Table) -> dict[int, np.ndarray]:
     return dict(zip(keys[starts].tolist(), map(np.unique, np.split(places, starts[1:]))))
 
 
+def _offsets(keys: list, texts: list[bytes | None]) -> list[int]:
+    """Where the places of each row begin: 0, but rows of one key with other texts follow each other."""
+    rows: dict = {}
+    for i, key in enumerate(keys):
+        rows.setdefault(key, []).append(i)
+    offsets = [0] * len(keys)
+    for own in rows.values():
+        if len(own) > 1:
+            at, begins = 0, {}
+            for text in sorted({texts[i] or b"" for i in own}):
+                begins[text] = at
+                at += len(text.split())
+            for i in own:
+                offsets[i] = begins[texts[i] or b""]
+    return offsets
+
+
 def _covered(starts: np.ndarray, before: int, after: int, size: int) -> np.ndarray:
     """Whether each of ``size`` places is in start - before ... start + after for some start."""
+    starts = starts[starts - before < size]
     edge = np.zeros(size + 1, np.int64)
     np.add.at(edge, np.maximum(starts - before, 0), 1)
     np.add.at(edge, np.minimum(starts + after + 1, size), -1)
@@ -148,7 +166,8 @@ def _window_rows(texts: pa.Table, found: pa.Table, buckets: int) -> pa.Table:
     words, hits = WordHashes(), _places_of(found)
     seed = np.uint64(0xD6E8FEB86659FD93)
     hashes, other, keys, places = [], [], [], []
-    for key, text in zip(texts["key"].to_pylist(), _bytes(texts["text"])) if hits else ():
+    all_keys, all_texts = texts["key"].to_pylist(), _bytes(texts["text"])
+    for key, text, offset in zip(all_keys, all_texts, _offsets(all_keys, all_texts)) if hits else ():
         own = hits.get(key)
         if own is None or not text:
             continue
@@ -159,7 +178,7 @@ def _window_rows(texts: pa.Table, found: pa.Table, buckets: int) -> pa.Table:
         hashes.append(rolling(each, WINDOW)[at])
         other.append(rolling(mix(each ^ seed), WINDOW)[at])
         keys.append(np.full(len(at), key, np.int64))
-        places.append(at)
+        places.append(at + offset)
     out: tuple[list, list, list] = ([], [], [])
     if hashes:
         h, o, k, p = (np.concatenate(x) for x in (hashes, other, keys, places))
@@ -173,12 +192,14 @@ def _window_rows(texts: pa.Table, found: pa.Table, buckets: int) -> pa.Table:
 def _kept(texts: pa.Table, found: pa.Table) -> pa.Table:
     """The rows of a part with their words counted and repeats removed."""
     repeats, n_words, n_removed, kept = _places_of(found), [], [], []
-    for key, text in zip(texts["key"].to_pylist(), _bytes(texts["text"])):
+    all_keys, all_texts = texts["key"].to_pylist(), _bytes(texts["text"])
+    for key, text, offset in zip(all_keys, all_texts, _offsets(all_keys, all_texts)):
         words = (text or b"").split()
         starts = repeats.get(key)
         removed = 0
         n_words.append(len(words))
         if starts is not None:
+            starts = starts[(starts >= offset) & (starts < offset + len(words))] - offset
             gone = _covered(starts, 0, WINDOW - 1, len(words))
             removed = int(gone.sum())
             words = [w for w, g in zip(words, gone) if not g]
