@@ -20,25 +20,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import LOWER_AZ, cut, table
+from tidemill.llm.common import LOWER_AZ, cut, shuffles, table
 from tidemill.llm.hashing import WordHashes, mix, rolling
 
 #: 32 bands of 4: a pair with likeness 0.8 shares no band with a chance of 4e-8.
 BANDS, ROWS = 32, 4
-HASHES = BANDS * ROWS
+#: Hash functions; the bands take the first ones, the estimate all.
+HASHES = 256
 #: Low bits kept of each minimum.
 BITS = 4
 LANES = HASHES // 64
-#: An estimate this far below the threshold rules a pair out: over four standard errors.
-MARGIN = 0.16
+#: An estimate this far below the threshold rules a pair out: three and a half standard errors.
+MARGIN = 0.09
 #: Partners in each other component that a class is first compared with in a bucket; the rest follow if still needed.
 NEAREST = 3
 #: Members of a bucket that are compared in one piece.
 PIECE = 2048
 
 _rng = np.random.default_rng(20240101)
-_MULTIPLY = (_rng.integers(0, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADD = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
+_MULTIPLY = _rng.integers(0, 2**32, (HASHES, 1), dtype=np.uint32) | np.uint32(1)
+_ADD = _rng.integers(0, 2**32, (HASHES, 1), dtype=np.uint32)
+_SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingles(text: str | None, words: WordHashes, size: int) -> np.ndarray:
@@ -51,22 +53,25 @@ def shingles(text: str | None, words: WordHashes, size: int) -> np.ndarray:
 
 def minima(items: np.ndarray) -> np.ndarray:
     """The 32-bit minimum of each hash function over a set that is not empty."""
-    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(items), 4096):
-        part = items[at : at + 4096]
-        np.minimum(least, (part[None, :] * _MULTIPLY[:, None] + _ADD[:, None]).min(1), out=least)
-    return least >> np.uint64(32)
+    least = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
+    short = (items >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(items), 1024):
+        part = short[None, at : at + 1024] * _MULTIPLY
+        part += _ADD
+        np.minimum(least, part.min(1), out=least)
+    return least.astype(np.uint64)
 
 
 def pack(least: np.ndarray) -> np.ndarray:
-    """Bit planes of the low bits: plane by plane, LANES words each."""
-    planes = [((least >> np.uint64(b)) & np.uint64(1)).astype(np.uint8) for b in range(BITS)]
+    """Bit planes of the low bits of the minima, mixed so that those are even: plane by plane, LANES words each."""
+    low = mix(least ^ _SALT)
+    planes = [((low >> np.uint64(b)) & np.uint64(1)).astype(np.uint8) for b in range(BITS)]
     return np.concatenate([np.packbits(p, bitorder="little").view(np.uint64) for p in planes])
 
 
 def bands(least: np.ndarray) -> np.ndarray:
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
+    for row in least[: BANDS * ROWS].reshape(BANDS, ROWS).T:
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + row)
     return key
 
@@ -87,7 +92,7 @@ def signatures(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
                     out["bands"].append(bands(least).view(np.int64))
                     # an order-free sum and a sum of mixed values
                     out["lo"].append(items.sum().view(np.int64))
-                    out["hi"].append(mix(items ^ _ADD[0]).sum().view(np.int64))
+                    out["hi"].append(mix(items ^ _SALT).sum().view(np.int64))
                 else:
                     for name in ("lo", "hi", "sig", "bands"):
                         out[name].append(None)
@@ -226,39 +231,46 @@ def alike_in_buckets(members: DataFrame, least: float, nearest: int | None = Non
 
     With ``nearest``, only so many of each member's most alike ones in each other component.
 
-    A bucket is cut into pieces of about PIECE members, and each two pieces meet in one group, so a group is bounded
-    and no pair leaves it that the estimate rules out.
+    A bucket is cut into pieces of about PIECE members, and each two pieces meet by themselves, so what meets is bounded
+    and no pair leaves it that the estimate rules out. Many small buckets share a task's group.
     """
+    spark = members.sparkSession
     pieces = F.ceil(F.col("members") / PIECE).cast("int")
     mine = F.pmod(F.xxhash64("rep"), pieces).cast("int")
     other = F.explode(F.sequence(F.lit(0), pieces - 1))
     dealt = members.withColumn("mine", mine).withColumn("other", other).select(
         "band", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "rep", "root", "sig"
     )
+    chunk = F.pmod(F.xxhash64("band", "p", "q"), F.lit(16 * shuffles(spark))).alias("chunk")
+    most = int((1 - (least * (1 - 2.0**-BITS) + 2.0**-BITS)) * HASHES + 1e-6)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["band", "p", "q", "rep"], ignore_index=True)
         sig = np.stack(pdf.sig.to_numpy()).view(np.uint64).reshape(len(pdf), BITS, LANES)
-        rep, root, mine = pdf.rep.to_numpy(), pdf.root.to_numpy(), pdf.mine.to_numpy()
-        within = pdf.p.iloc[0] == pdf.q.iloc[0]
-        out = []
-        most = int((1 - (least * (1 - 2.0**-BITS) + 2.0**-BITS)) * HASHES + 1e-6)
-        for i in range(len(pdf)):
-            js = np.flatnonzero((root != root[i]) & (rep < rep[i]) & (within | (mine != mine[i])))
-            if len(js):
-                differs = np.bitwise_or.reduce(sig[js] ^ sig[i], axis=1)
-                unlike = np.bitwise_count(differs).sum(1)
+        rep, root, mine, where = pdf.rep.to_numpy(), pdf.root.to_numpy(), pdf.mine.to_numpy(), pdf[["band", "p", "q"]].to_numpy()
+        within = where[:, 1] == where[:, 2]
+        starts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]).any(1)])
+        ends = np.r_[starts[1:], len(pdf)]
+        seen: set[tuple] = set()
+        for begin, end in zip(starts, ends):
+            if root[begin] == root[end - 1] and (root[begin:end] == root[begin]).all():
+                continue
+            for i in range(begin + 1, end):  # rows are in order of rep
+                js = begin + np.flatnonzero((root[begin:i] != root[i]) & (within[i] | (mine[begin:i] != mine[i])))
+                if not len(js):
+                    continue
+                unlike = np.bitwise_count(np.bitwise_or.reduce(sig[js] ^ sig[i], axis=1)).sum(1)
                 js, unlike = js[unlike <= most], unlike[unlike <= most]
                 if nearest is not None and len(js) > nearest:
-                    order = np.lexsort((rep[js], unlike, root[js]))
-                    js = js[order]
-                    starts = np.flatnonzero(np.r_[True, root[js][1:] != root[js][:-1]])
-                    rank = np.arange(len(js)) - np.repeat(starts, np.diff(np.r_[starts, len(js)]))
+                    js = js[np.lexsort((rep[js], unlike, root[js]))]
+                    firsts = np.flatnonzero(np.r_[True, root[js][1:] != root[js][:-1]])
+                    rank = np.arange(len(js)) - np.repeat(firsts, np.diff(np.r_[firsts, len(js)]))
                     js = js[rank < nearest]
-                out += [(rep[i], rep[j]) for j in js]
-        return pd.DataFrame(out, columns=["a", "b"])
+                seen.update((rep[i], rep[j]) for j in js)
+        return pd.DataFrame(sorted(seen), columns=["a", "b"])
 
     kind = members.schema["rep"].dataType.simpleString()
-    return dealt.groupBy("band", "p", "q").applyInPandas(run, f"a {kind}, b {kind}").distinct()
+    return dealt.withColumn("chunk", chunk).groupBy("chunk").applyInPandas(run, f"a {kind}, b {kind}").distinct()
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
