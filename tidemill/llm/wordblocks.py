@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.packing import pack_numbers, split_by, unpack_numbers
 
 #: Words by position, and distinct words, from which a block is full.
-BLOCK_WORDS, BLOCK_DISTINCT = 8_000_000, 800_000
+BLOCK_WORDS, BLOCK_DISTINCT = 3_000_000, 400_000
 WORD_ROWS = "bucket int, block string, words binary, sizes binary, numbers binary, weights binary"
 
 
