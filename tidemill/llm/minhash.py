@@ -207,7 +207,7 @@ def near_components(
         ends = labelled.groupBy("band").agg(
             F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")
         )
-        apart = labelled.join(ends.where("lo <> hi").select("band", "members"), "band").join(sigs, "rep")
+        apart = labelled.join(ends.where("lo <> hi").select("band", "members"), "band").join(classes.select("rep", "sig", "bands"), "rep")
         rest = cut(alike_in_buckets(apart, least, nearest).join(tested, ["a", "b"], "left_anti"))
         if rest.take(1):
             tested = tested.unionByName(rest)
@@ -229,7 +229,8 @@ def near_components(
 def alike_in_buckets(members: DataFrame, least: float, nearest: int | None = None) -> DataFrame:
     """Distinct pairs (a, b), a > b, of one bucket, with different roots and an estimate of ``least`` or more.
 
-    With ``nearest``, only so many of each member's most alike ones in each other component.
+    A pair that shares several buckets leaves the one of its first common band only. With ``nearest``, only so many of
+    the most alike pairs of each two components in a bucket.
 
     A bucket is cut into pieces of about PIECE members, and each two pieces meet by themselves, so what meets is bounded
     and no pair leaves it that the estimate rules out. Many small buckets share a task's group.
@@ -239,7 +240,7 @@ def alike_in_buckets(members: DataFrame, least: float, nearest: int | None = Non
     mine = F.pmod(F.xxhash64("rep"), pieces).cast("int")
     other = F.explode(F.sequence(F.lit(0), pieces - 1))
     dealt = members.withColumn("mine", mine).withColumn("other", other).select(
-        "band", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "rep", "root", "sig"
+        "band", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "rep", "root", "sig", "bands"
     )
     chunk = F.pmod(F.xxhash64("band", "p", "q"), F.lit(16 * shuffles(spark))).alias("chunk")
     most = int((1 - (least * (1 - 2.0**-BITS) + 2.0**-BITS)) * HASHES + 1e-6)
@@ -247,30 +248,34 @@ def alike_in_buckets(members: DataFrame, least: float, nearest: int | None = Non
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["band", "p", "q", "rep"], ignore_index=True)
         sig = np.stack(pdf.sig.to_numpy()).view(np.uint64).reshape(len(pdf), BITS, LANES)
+        every = np.stack(pdf.bands.to_numpy())
         rep, root, mine, where = pdf.rep.to_numpy(), pdf.root.to_numpy(), pdf.mine.to_numpy(), pdf[["band", "p", "q"]].to_numpy()
-        within = where[:, 1] == where[:, 2]
+        within, turn = where[:, 1] == where[:, 2], (every == where[:, :1]).argmax(1)
         starts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]).any(1)])
-        ends = np.r_[starts[1:], len(pdf)]
-        seen: set[tuple] = set()
-        for begin, end in zip(starts, ends):
-            if root[begin] == root[end - 1] and (root[begin:end] == root[begin]).all():
+        out: list[pd.DataFrame] = []
+        for begin, end in zip(starts, np.r_[starts[1:], len(pdf)]):
+            if (root[begin:end] == root[begin]).all():
                 continue
+            found = []
             for i in range(begin + 1, end):  # rows are in order of rep
                 js = begin + np.flatnonzero((root[begin:i] != root[i]) & (within[i] | (mine[begin:i] != mine[i])))
-                if not len(js):
-                    continue
-                unlike = np.bitwise_count(np.bitwise_or.reduce(sig[js] ^ sig[i], axis=1)).sum(1)
-                js, unlike = js[unlike <= most], unlike[unlike <= most]
-                if nearest is not None and len(js) > nearest:
-                    js = js[np.lexsort((rep[js], unlike, root[js]))]
-                    firsts = np.flatnonzero(np.r_[True, root[js][1:] != root[js][:-1]])
-                    rank = np.arange(len(js)) - np.repeat(firsts, np.diff(np.r_[firsts, len(js)]))
-                    js = js[rank < nearest]
-                seen.update((rep[i], rep[j]) for j in js)
-        return pd.DataFrame(sorted(seen), columns=["a", "b"])
+                if len(js):
+                    unlike = np.bitwise_count(np.bitwise_or.reduce(sig[js] ^ sig[i], axis=1)).sum(1)
+                    js, unlike = js[unlike <= most], unlike[unlike <= most]
+                    first = (every[js] == every[i]).argmax(1) == turn[i]
+                    found.append((np.full(first.sum(), i), js[first], unlike[first]))
+            if not found:
+                continue
+            i, j, unlike = (np.concatenate(x) for x in zip(*found))
+            pairs = pd.DataFrame({"a": rep[i], "b": rep[j]})
+            if nearest is not None and len(pairs):
+                pairs["unlike"], pairs["x"], pairs["y"] = unlike, np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+                pairs = pairs.sort_values(["unlike", "a", "b"]).groupby(["x", "y"]).head(nearest)
+            out.append(pairs[["a", "b"]])
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})
 
     kind = members.schema["rep"].dataType.simpleString()
-    return dealt.withColumn("chunk", chunk).groupBy("chunk").applyInPandas(run, f"a {kind}, b {kind}").distinct()
+    return dealt.withColumn("chunk", chunk).groupBy("chunk").applyInPandas(run, f"a {kind}, b {kind}")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
