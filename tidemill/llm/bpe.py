@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
@@ -28,7 +29,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Tokens of a vocabulary that may be broadcast.
 MOST_TOKENS = 1_000_000
 #: Documents of one output batch.
-OUT = 1_000
+OUT = 250
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,17 +52,40 @@ def _ragged(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+@dataclass
+class TokenBytes:
+    """The table of token bytes, flat."""
+
+    sizes: np.ndarray
+    begins: np.ndarray
+    flat: np.ndarray
+
+    @classmethod
+    def of(cls, ranks: dict[bytes, int]) -> TokenBytes:
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for piece, rank in ranks.items():
+            tokens[rank] = piece
+        sizes = np.array([len(t) for t in tokens], np.int64)
+        return cls(sizes, np.cumsum(sizes) - sizes, np.frombuffer(b"".join(tokens), np.uint8))
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.flat[_ragged(self.begins[ids], self.sizes[ids])].tobytes()
+
+
 def encode(
-    docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", pattern: str = public_tokenizers.PATTERN
+    docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", pattern: str = public_tokenizers.PATTERN, decoded: bool = False
 ) -> DataFrame:
     """(key, ids) of every whole text: its pre-tokens' ids in order, without special tokens.
 
+    With ``decoded``, also the bytes that the ids decode to, by the task that has put them in place, so that a
+    second Python process beside it is not needed.
     Null and empty texts have no ids. Repeated rows repeat, null keys stay, other columns are left out; an empty
     table gives an empty one. The input must give the same rows in the same order each time it is read.
     """
     ranks = read_ranks(path or public_tokenizers.path(RANKS))
     spark = docs.sparkSession
     sent, buckets = spark.sparkContext.broadcast(ranks), 2 * shuffles(spark)
+    tokens = spark.sparkContext.broadcast(TokenBytes.of(ranks)) if decoded else None
 
     def splitter() -> _Split:
         return _Split(pattern)
@@ -105,17 +129,22 @@ def encode(
             if len(made) == OUT or k == len(keys) - 1:
                 offsets = np.cumsum([0, *map(len, made)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(made)))
-                yield pa.record_batch([keys[k + 1 - len(made) : k + 1], lists], [key, "ids"])
+                columns = [keys[k + 1 - len(made) : k + 1], lists]
+                if tokens:
+                    columns.append(pa.array([tokens.value.decode(ids) for ids in made], pa.binary()))
+                yield pa.record_batch(columns, names)
                 made = []
 
     kind = docs.schema[key].dataType.simpleString()
+    names = [key, "ids", *["decoded"] * decoded]
+    schema = f"`{key}` {kind}, ids array<int>" + ", decoded binary" * decoded
     words = wordblocks.word_rows(docs, splitter, buckets, key, text)
     ids = words.groupBy("bucket").applyInArrow(encoded, "block string, numbers binary, counts binary, ids binary")
     streams = wordblocks.stream_rows(docs, splitter, key, text)
     return (
         streams.groupBy("block")
         .cogroup(ids.groupBy("block"))
-        .applyInArrow(lambda s, r: pa.Table.from_batches(list(placed(s, r))), f"`{key}` {kind}, ids array<int>")
+        .applyInArrow(lambda s, r: pa.Table.from_batches(list(placed(s, r))), schema)
     )
 
 
@@ -125,23 +154,15 @@ def decode(coded: DataFrame, path: str | None = None, ids: str = "ids") -> DataF
     A join with the table of token bytes, on the map side. An id that is no token fails.
     """
     ranks = read_ranks(path or public_tokenizers.path(RANKS))
-    tokens = [b""] * (max(ranks.values()) + 1)
-    for piece, rank in ranks.items():
-        tokens[rank] = piece
-    sizes = np.array([len(t) for t in tokens], np.int64)
-    begins, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(tokens), np.uint8)
-    sent = coded.sparkSession.sparkContext.broadcast((sizes, begins, flat))
+    sent = coded.sparkSession.sparkContext.broadcast(TokenBytes.of(ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, begins, flat = sent.value
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             values = column.flatten().to_numpy(zero_copy_only=False)
-            counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            data = flat[_ragged(begins[values], sizes[values])].tobytes()
-            before = np.r_[0, np.cumsum(sizes[values])]
-            ends = before[np.r_[0, np.cumsum(counts)]].tolist()
-            yield batch.append_column("decoded", pa.array([data[a:b] for a, b in zip(ends, ends[1:])], pa.binary()))
+            ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            each = [sent.value.decode(part) for part in np.split(values, ends[:-1])] if len(ends) else []
+            yield batch.append_column("decoded", pa.array(each, pa.binary()))
 
     plain = coded.drop("decoded")
     return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("decoded", T.BinaryType())]))
@@ -159,4 +180,4 @@ def digests(coded: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, and what they decode to."""
-    return digests(decode(encode(table(spark, sf_dir, "documents"))))
+    return digests(encode(table(spark, sf_dir, "documents"), decoded=True))
