@@ -320,6 +320,28 @@ def test_language_model_beats_the_base_on_held_out_rows(spark, sf_dir):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_language_model_learns_from_long_documents(spark):
+    """All texts are longer than what the weights start from, and their second half has words and an order of its own."""
+    early, late = [f"early{i}" for i in range(40)], [f"late{i}x{i}" for i in range(40)]
+    rows = [(k, " ".join([early[i % 40] for i in range(3000)] + [late[i * 7 % 40] for i in range(6000)])) for k in range(40)]
+    assert min(len(t) for _, t in rows) > 2 * language_model.SAMPLE_CHARS
+    got = language_model.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    held = [r for r in got if r.held_out]
+    assert held and sum(r.score for r in held) > 0.7 * sum(r.base_score for r in held)
+
+
+def test_language_model_head_is_of_all_documents(spark, monkeypatch):
+    """With one document to start from, frequent words of the others still get codes of their own."""
+    monkeypatch.setattr(language_model, "SAMPLE_DOCS", 1)
+    heads = []
+    fit = language_model.fit
+    monkeypatch.setattr(language_model, "fit", lambda texts, *a, **k: heads.append(fit(texts, *a, **k)) or heads[-1])
+    rows = [(k, f"own{k} own{k} shared often{k % 2}") for k in range(60)]
+    language_model.score(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {b"shared", b"often0", b"often1"} <= set(list(heads[-1].head)[:3])
+    assert len(heads[-1].head) > 10
+
+
 def test_probabilities_add_up():
     model = language_model.fit(["a b c a b", "c b a"])
     p, state = model.weights, np.random.default_rng(0).normal(size=(1, language_model.HIDDEN)).astype(np.float32)

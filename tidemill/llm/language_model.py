@@ -1,12 +1,16 @@
 """Scores whole documents with a gated recurrent language model and a unigram base.
 
 The unigram base counts every training word of the corpus: distinct words of all blocks (wordblocks) meet by a hash,
-their counts are summed there and go back to the blocks. The recurrent model is trained in numpy on a bounded sample
-of training documents (SAMPLE_DOCS, SAMPLE_CHARS) by backpropagation through windows of WINDOW tokens. Its output
-is factored: a softmax over classes, then one over a class's words. The HEAD most frequent words of the sample,
-and the end, are shared out over classes with a softmax of their own; all other words fall into classes by their
-last two bytes, within which a word has its share of the corpus counts, (c + 1) / (sum + distinct + 1). So every word
-has a probability and what the model knows follows the corpus. A document's state is carried over all its windows.
+their counts are summed there and go back to the blocks. The recurrent model's output is factored: a softmax over
+classes, then one over a class's words. The HEAD most frequent words of all training documents, and the end, are shared
+out over classes with a softmax of their own; all other words fall into classes by their last two bytes, within which a
+word has its share of the corpus counts, (c + 1) / (sum + distinct + 1). So every word has a probability and what the
+model knows follows the corpus. A document's state is carried over all its windows.
+
+The weights are trained in numpy by backpropagation through windows of WINDOW tokens. They start from a small sample
+(SAMPLE_DOCS, the first SAMPLE_CHARS of each text); then every training document is trained on whole, in TURNS turns
+over parts of the blocks: each task goes on from the weights of the turn before, and the turn's weights are the tasks'
+means by tokens.
 """
 
 from __future__ import annotations
@@ -24,14 +28,18 @@ from tidemill.llm import wordblocks
 from tidemill.llm.common import LOWER_AZ, Numbering, cut, shuffles, table
 from tidemill.llm.packing import pack_numbers, unpack_numbers
 
-#: Training documents in the sample at most, and the longest text that it takes.
+#: Training documents that the weights start from at most, and the characters taken of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 500, 20_000
 #: Classes with a softmax of their own, words of each, and classes by the end of a word.
 CLASSES, WIDTH, ENDINGS = 16, 16, 48
 HEAD = CLASSES * WIDTH
 HIDDEN, WINDOW, LANES, EPOCHS, RATE = 32, 32, 64, 3, 0.01
+#: Parts of the blocks that are trained on in turn, lanes and rate there, and rows in which the tasks' weights are summed.
+TURNS, WIDE, TURN_RATE, SUMS = 2, 256, 0.003, 16
 #: Documents that are scored together, and tokens of each that are looked at together.
 TOGETHER, STEPS = 512, 32
+#: Numbers of a word's last two bytes, or of its only one.
+KINDS = 257 * 256
 #: The end of a document, which is also what stands before its first word.
 END = 0
 
@@ -58,6 +66,14 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").translate(LOWER_AZ).encode("utf-8", "replace").split()
 
 
+def _kind(word: bytes) -> int:
+    return word[-1] + (256 * (word[-2] + 1) if len(word) > 1 else 0)
+
+
+def _ending(kind: int) -> bytes:
+    return bytes([kind // 256 - 1, kind % 256]) if kind >= 256 else bytes([kind])
+
+
 @dataclass
 class Model:
     """Codes of words, and weights: x of inputs, u of the state, c of classes, w of words in a class."""
@@ -132,6 +148,7 @@ def _gradients(p: dict, inputs: np.ndarray, outputs: np.ndarray, fresh: np.ndarr
             dflat[at] += d @ p["w"][k].T
     dstates = dflat.reshape(len(inputs), -1, HIDDEN)
     u, dh = p["u"], np.zeros_like(h)
+    dx = np.empty((*inputs.shape, 3 * HIDDEN), np.float32)
     for t in range(len(inputs) - 1, -1, -1):
         before, z, r, n = kept[t]
         dh = dh + dstates[t]
@@ -142,22 +159,32 @@ def _gradients(p: dict, inputs: np.ndarray, outputs: np.ndarray, fresh: np.ndarr
         dzr = np.hstack([dz, dr])
         g["u"][:, : 2 * HIDDEN] += before.T @ dzr
         g["u"][:, 2 * HIDDEN :] += (r * before).T @ dn
-        np.add.at(g["x"], inputs[t], np.hstack([dzr, dn]))
+        dx[t] = np.hstack([dzr, dn])
         dh = (dh * (1 - z) + drh * r + dzr @ u[:, : 2 * HIDDEN].T) * ~fresh[t][:, None]
+    order = np.argsort(inputs.ravel(), kind="stable")
+    own = inputs.ravel()[order]
+    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    g["x"][own[starts]] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
     return g, h
 
 
-def fit(texts: Sequence[str | None], seed: int = 0) -> Model:
-    """A model of the given texts; without words it is even over all codes."""
+def _most(counts: dict[bytes, int], n: int) -> dict[bytes, int]:
+    """The n most frequent keys, numbered from 1."""
+    return {w: i + 1 for i, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w))[:n])}
+
+
+def fit(
+    texts: Sequence[str | None], head: dict[bytes, int] | None = None, endings: dict[bytes, int] | None = None, seed: int = 0
+) -> Model:
+    """A model of the given texts, with their own head and endings if none are given; without texts it is even over all codes."""
     split_texts = [split(t) for t in texts]
-    counts = Counter(w for words in split_texts for w in words)
-    common = sorted(counts, key=lambda w: (-counts[w], w))[: HEAD - 1]
-    head = {w: i + 1 for i, w in enumerate(common)}
-    tails = Counter()
-    for w, n in counts.items():
-        if w not in head:
-            tails[w[-2:]] += n
-    endings = {e: i + 1 for i, e in enumerate(sorted(tails, key=lambda e: (-tails[e], e))[: ENDINGS - 1])}
+    if head is None:
+        counts = Counter(w for words in split_texts for w in words)
+        head, tails = _most(counts, HEAD - 1), Counter()
+        for w, n in counts.items():
+            if w not in head:
+                tails[w[-2:]] += n
+        endings = _most(tails, ENDINGS - 1)
     rng = np.random.default_rng(seed)
 
     def draw(*shape: int) -> np.ndarray:
@@ -168,34 +195,89 @@ def fit(texts: Sequence[str | None], seed: int = 0) -> Model:
         "c": draw(HIDDEN, CLASSES + ENDINGS), "cb": np.zeros(CLASSES + ENDINGS, np.float32),
         "w": draw(CLASSES, HIDDEN, WIDTH), "wb": np.zeros((CLASSES, WIDTH), np.float32),
     }
-    model = Model(head, endings, p)
+    model = Model(head, endings or {}, p)
     coded = [np.array([*map(model.code, words), END], np.int64) for words in split_texts]
-    if not coded:
-        return model
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    turn = 0
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(coded))
-        stream = np.concatenate([coded[i] for i in order])
+    trainer = Trainer(p, LANES, RATE)
+    for _ in range(EPOCHS if coded else 0):
+        trainer.learn([coded[i] for i in rng.permutation(len(coded))])
+    return model
+
+
+class Trainer:
+    """Goes on training weights in place; what Adam remembers of the gradients is kept between calls."""
+
+    def __init__(self, p: dict, lanes: int, rate: float) -> None:
+        self.p, self.lanes, self.rate, self.turn = p, lanes, rate, 0
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
+
+    def learn(self, coded: Sequence[np.ndarray]) -> None:
+        """One pass over whole documents, each given as its codes and END."""
+        p, stream = self.p, np.concatenate(coded)
+        lanes = max(LANES, min(self.lanes, len(stream) // (WINDOW * 64)))
         first = np.zeros(len(stream), bool)
-        first[np.r_[0, np.cumsum([len(coded[i]) for i in order])[:-1]]] = True
+        first[np.r_[0, np.cumsum([len(c) for c in coded])[:-1]]] = True
         inputs = np.where(first, END, np.r_[END, stream[:-1]])
-        per_lane = -(-len(stream) // LANES)
-        pad = per_lane * LANES - len(stream)
-        lanes = [np.pad(a, (0, pad)).reshape(LANES, per_lane).T for a in (inputs, stream, first, np.ones(len(stream), bool))]
-        h = np.zeros((LANES, HIDDEN), np.float32)
+        per_lane = -(-len(stream) // lanes)
+        pad = per_lane * lanes - len(stream)
+        dealt = [np.pad(a, (0, pad)).reshape(lanes, per_lane).T for a in (inputs, stream, first, np.ones(len(stream), bool))]
+        h = np.zeros((lanes, HIDDEN), np.float32)
         for at in range(0, per_lane, WINDOW):
-            window = [a[at : at + WINDOW] for a in lanes]
+            window = [a[at : at + WINDOW] for a in dealt]
             g, h = _gradients(p, window[0], window[1], window[2], window[3], h)
-            turn += 1
+            self.turn += 1
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
             for k, v in g.items():
                 v = v * min(1.0, 1.0 / (norm + 1e-8))
-                m, s = moments[k]
+                m, s = self.moments[k]
                 m += 0.1 * (v - m)
                 s += 0.01 * (v * v - s)
-                p[k] -= RATE * (m / (1 - 0.9**turn)) / (np.sqrt(s / (1 - 0.99**turn)) + 1e-8)
-    return model
+                p[k] -= self.rate * (m / (1 - 0.9**self.turn)) / (np.sqrt(s / (1 - 0.99**self.turn)) + 1e-8)
+
+
+def _flat(p: dict) -> np.ndarray:
+    return np.concatenate([v.ravel() for v in p.values()])
+
+
+def _shaped(flat: np.ndarray, like: dict) -> dict:
+    ends = np.cumsum([v.size for v in like.values()])
+    return {k: part.reshape(v.shape).astype(np.float32) for (k, v), part in zip(like.items(), np.split(flat, ends[:-1]))}
+
+
+def train_on_all(weights: dict, blocks: DataFrame) -> dict:
+    """Weights after all training documents of blocks (block, flags, counts, codes), each trained on once and whole."""
+    spark, turn = blocks.sparkSession, F.pmod(F.xxhash64("block"), F.lit(TURNS))
+    for at in range(TURNS):
+        sent = spark.sparkContext.broadcast(weights)
+
+        def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            p, tokens = {k: v.copy() for k, v in sent.value.items()}, 0
+            trainer = Trainer(p, WIDE, TURN_RATE)
+            for batch in batches:
+                for i in range(len(batch)):  # a block at a time
+                    row = {n: batch.column(n)[i].as_py() for n in ("flags", "counts", "codes")}
+                    ends = np.cumsum(unpack_numbers(row["counts"], np.uint32).astype(np.int64))[:-1]
+                    documents = np.split(unpack_numbers(row["codes"], np.uint16), ends)
+                    own = [d.astype(np.int64) for d, used in zip(documents, row["flags"]) if used]
+                    if own:
+                        trainer.learn(own)
+                        tokens += sum(map(len, own))
+            if tokens:
+                total = (_flat(p).astype(np.float64) * tokens).tobytes()
+                yield pa.record_batch([pa.array([total], pa.binary()), pa.array([tokens], pa.int64())], ["total", "tokens"])
+
+        def summed(group: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(x.as_py(), np.float64) for x in group["total"])
+            tokens = sum(group["tokens"].to_pylist())
+            return pa.table([pa.array([total.tobytes()], pa.binary()), pa.array([tokens], pa.int64())], ["total", "tokens"])
+
+        schema = "total binary, tokens bigint"
+        parts = blocks.where(turn == at).select("flags", "counts", "codes").mapInArrow(learned, schema)
+        dealt = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(SUMS)))
+        sums = dealt.groupBy("part").applyInArrow(lambda g: summed(g.select(["total", "tokens"])), schema).collect()  # SUMS rows
+        tokens = sum(r["tokens"] for r in sums)
+        if tokens:
+            weights = _shaped(sum(np.frombuffer(r["total"], np.float64) for r in sums) / tokens, weights)
+    return weights
 
 
 def neural_scores(p: dict, documents: list[np.ndarray]) -> np.ndarray:
@@ -241,12 +323,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     spark = docs.sparkSession
     train = ~held_out(F.col(key))
     n_train = docs.where(train).count()
-    some = docs.where(train & (F.coalesce(F.length(text), F.lit(0)) <= SAMPLE_CHARS)).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    spread = F.pmod(F.xxhash64("k"), F.lit(1 << 30))
-    few = some.where(spread <= int(4 * SAMPLE_DOCS / max(n_train, 1) * (1 << 30)))  # so that no task sends many texts
-    sample = few.orderBy(spread, "k", "t").limit(SAMPLE_DOCS).collect()
-    model = fit([r["t"] for r in sample])
-    sent, buckets = spark.sparkContext.broadcast(model), 2 * shuffles(spark)
+    buckets = 2 * shuffles(spark)
 
     def counted(group: pa.Table) -> pa.Table:
         rows, known, totals = group.to_pylist(), Numbering(), np.zeros(0, np.int64)
@@ -258,65 +335,119 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 totals = np.concatenate([totals, np.zeros(len(known) - len(totals), np.int64)])
             totals[numbers] += weights
             placed.append(numbers)
-        codes = np.fromiter(map(sent.value.code, known), np.uint32, len(known))
-        ends = np.zeros((2, ENDINGS), np.int64)
-        tail = (codes >= HEAD) & (totals > 0)
-        np.add.at(ends[0], codes[tail] - HEAD, totals[tail])
-        np.add.at(ends[1], codes[tail] - HEAD, 1)
-        sums = [int(totals.sum()), int((totals > 0).sum()), *ends.ravel().tolist()]
-        out = [[None], [None], [None], [None], [sums]]
+        words = list(known)
+        kinds = np.fromiter((_kind(w) for w in words), np.uint32, len(words))
+        seen = np.flatnonzero(totals)
+        if len(seen) > HEAD:  # only those that can be among the most frequent ones are put in order
+            seen = seen[totals[seen] >= np.partition(totals[seen], -HEAD)[-HEAD]]
+        top = sorted(seen.tolist(), key=lambda i: (-totals[i], words[i]))[: HEAD - 1]
+        own, at = np.unique(kinds, return_inverse=True)
+        sums = {
+            "top": [words[i] for i in top], "top_n": totals[top].tolist(), "kinds": own.tolist(),
+            "kinds_n": np.bincount(at, totals, len(own)).astype(np.int64).tolist(),
+            "kinds_words": np.bincount(at, totals > 0, len(own)).astype(np.int64).tolist(),
+        }
+        kinds[top] += KINDS * np.arange(1, len(top) + 1, dtype=np.uint32)
+        out = [[rows[0]["bucket"]], [None], [None], [None], [None], [sums]]
         for row, numbers in zip(rows, placed):
-            for column, value in zip(out, (row["block"], row["numbers"], pack_numbers(totals[numbers]), pack_numbers(codes[numbers]), None)):
+            values = row["bucket"], row["block"], row["numbers"], pack_numbers(totals[numbers]), pack_numbers(kinds[numbers]), None
+            for column, value in zip(out, values):
                 column.append(value)
-        kinds = [pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-        return pa.table([pa.array(v, k) for v, k in zip(out, kinds)], ["block", "numbers", "counts", "codes", "sums"])
+        lists = [("top", pa.binary()), ("top_n", pa.int64()), ("kinds", pa.int64()), ("kinds_n", pa.int64()), ("kinds_words", pa.int64())]
+        types = [pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.struct([(n, pa.list_(k)) for n, k in lists])]
+        return pa.table([pa.array(v, k) for v, k in zip(out, types)], ["bucket", "block", "numbers", "counts", "kinds", "sums"])
 
     words = wordblocks.word_rows(docs, Words, buckets, key, text, train)
+    sums_schema = "struct<top: array<binary>, top_n: array<bigint>, kinds: array<bigint>, kinds_n: array<bigint>, kinds_words: array<bigint>>"
     counts = cut(
-        words.groupBy("bucket").applyInArrow(counted, "block string, numbers binary, counts binary, codes binary, sums array<bigint>")
+        words.groupBy("bucket").applyInArrow(counted, f"bucket int, block string, numbers binary, counts binary, kinds binary, sums {sums_schema}")
     )
-    sums = counts.where(F.col("block").isNull()).select(F.posexplode("sums").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n"))
-    known = {r["at"]: r["n"] for r in sums.collect()}  # a row for each class
-    n = known.get(0, 0) + n_train
-    v = known.get(1, 0) + (n_train > 0)
-    ends = np.array([known.get(i + 2, 0) for i in range(2 * ENDINGS)], np.float64).reshape(2, ENDINGS)
+    sums = counts.where(F.col("block").isNull()).select("bucket", "sums.*")
+    tops = sums.select("bucket", F.posexplode(F.arrays_zip("top", "top_n")).alias("place", "t")).select("bucket", "place", "t.top", "t.top_n")
+    head = tops.orderBy(F.desc("top_n"), "top").limit(HEAD - 1).collect()
+    by_kind = sums.select(F.explode(F.arrays_zip("kinds", "kinds_n", "kinds_words")).alias("t")).select("t.*")
+    # two bytes have so many values
+    rows = by_kind.groupBy("kinds").agg(F.sum("kinds_n").alias("n"), F.sum("kinds_words").alias("words")).collect()
+    n, v = sum(r["n"] for r in rows) + n_train, sum(r["words"] for r in rows) + (n_train > 0)
+    tails = {r["kinds"]: [r["n"], r["words"]] for r in rows}
+    for r in head:
+        kind = tails[_kind(bytes(r["top"]))]
+        kind[0], kind[1] = kind[0] - r["top_n"], kind[1] - 1
+    endings = _most({_ending(k): c for k, (c, _) in tails.items() if c}, ENDINGS - 1)
+    ends, class_of = np.zeros((2, ENDINGS)), np.zeros(KINDS, np.uint16)
+    for k, own in tails.items():
+        class_of[k] = endings.get(_ending(k), 0)
+        ends[:, class_of[k]] += own
     outside = np.log10(ends[0] + ends[1] + 1)
-
-    def scored(streams: pa.Table, rows: pa.Table) -> pa.Table:
+    head_of = np.zeros((buckets, HEAD - 1), np.uint16)  # by bucket and place there
+    for i, r in enumerate(head):
+        head_of[r["bucket"], r["place"]] = i + 1
+
+    spread = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    start = F.substring(F.col(text), 1, SAMPLE_CHARS)
+    some = docs.where(train).select(F.col(key).alias("k"), start.alias("t"), spread.alias("at"))
+    few = some.where(F.col("at") <= int(4 * SAMPLE_DOCS / max(n_train, 1) * (1 << 30)))  # so that no task sends many texts
+    sample = few.orderBy("at", "k", "t").limit(SAMPLE_DOCS).collect()
+    first = fit([r["t"] for r in sample], {bytes(r["top"]): i + 1 for i, r in enumerate(head)}, endings)
+
+    def coded(streams: pa.Table, rows: pa.Table) -> pa.Table:
         own = wordblocks.whole(streams, rows)
-        c, codes = np.zeros(own["n_words"], np.int64), np.zeros(own["n_words"], np.int64)
+        c, codes = np.zeros(own["n_words"], np.int64), np.zeros(own["n_words"], np.uint16)
         for row in rows.to_pylist():
             at = wordblocks.numbers_in(row)
             c[at] = unpack_numbers(row["counts"], np.int64)
-            codes[at] = unpack_numbers(row["codes"], np.uint32)
+            kinds = unpack_numbers(row["kinds"], np.uint32)
+            place = kinds // KINDS  # 0 if it is not among its bucket's most frequent ones
+            in_head = np.where(place > 0, head_of[row["bucket"], np.maximum(place, 1) - 1], 0)
+            codes[at] = np.where(in_head > 0, in_head, HEAD + class_of[kinds % KINDS])
         logs = np.log10(c + 1.0)
-        inside = np.where(codes >= HEAD, logs - outside[np.maximum(codes - HEAD, 0)], 0.0)
-        n_tokens, n_known, base, within, coded = [], [], [], [], []
+        inside = np.where(codes >= HEAD, logs - outside[np.maximum(codes, HEAD) - HEAD], 0.0)
+        n_known, base, within, streams_of = [], [], [], []
         for doc in wordblocks.documents_in(own):
-            n_tokens.append(len(doc) + 1)
             n_known.append(int((c[doc] > 0).sum()) + (n_train > 0))
-            base.append(logs[doc].sum() + np.log10(n_train + 1.0) - (len(doc) + 1) * np.log10(n + v + 1.0))
-            within.append(inside[doc].sum())
-            coded.append(np.append(codes[doc], END).astype(np.int16))
-        neural = neural_scores(sent.value.weights, coded) / np.log(10)
-        size = len(n_tokens)
+            base.append(float(logs[doc].sum() + np.log10(n_train + 1.0) - (len(doc) + 1) * np.log10(n + v + 1.0)))
+            within.append(float(inside[doc].sum()))
+            streams_of.append(np.append(codes[doc], np.uint16(END)))
+        sizes = np.fromiter(map(len, streams_of), np.uint32, len(streams_of))
         columns = [
-            streams["keys"].combine_chunks().flatten(),
-            pa.array([not f for f in own["flags"]], pa.bool_()),
-            pa.array(n_tokens, pa.int64()),
-            pa.array(n_known, pa.int64()),
-            pa.array([n] * size, pa.int64()),
-            pa.array(base, pa.float64()),
-            pa.array(neural + np.array(within), pa.float64()),
+            streams["block"].combine_chunks(),
+            streams["keys"].combine_chunks(),
+            pa.array([own["flags"]], pa.list_(pa.bool_())),
+            pa.array([n_known], pa.list_(pa.int64())),
+            pa.array([base], pa.list_(pa.float64())),
+            pa.array([within], pa.list_(pa.float64())),
+            pa.array([pack_numbers(sizes)], pa.binary()),
+            pa.array([pack_numbers(np.concatenate(streams_of))], pa.binary()),
         ]
-        return pa.table(columns, ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table(columns, ["block", "keys", "flags", "n_known", "base", "within", "counts", "codes"])
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     streams = wordblocks.stream_rows(docs, Words, key, text, train)
     back = counts.where(F.col("block").isNotNull()).drop("sums")
-    done = streams.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(scored, schema)
-    return done.withColumnRenamed("key", key)
+    schema = f"block string, keys array<{kind}>, flags array<boolean>, n_known array<bigint>, base array<double>, within array<double>, counts binary, codes binary"
+    blocks = cut(streams.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(coded, schema))
+    weights = spark.sparkContext.broadcast(train_on_all(first.weights, blocks))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = {c: batch.column(c)[i].as_py() for c in ("flags", "n_known", "base", "within", "counts", "codes")}
+                sizes = unpack_numbers(row["counts"], np.uint32).astype(np.int64)
+                documents = np.split(unpack_numbers(row["codes"], np.uint16), np.cumsum(sizes)[:-1])
+                neural = neural_scores(weights.value, documents) / np.log(10)
+                columns = [
+                    batch.column("keys")[i].values,
+                    pa.array([not f for f in row["flags"]], pa.bool_()),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(row["n_known"], pa.int64()),
+                    pa.array([n] * len(sizes), pa.int64()),
+                    pa.array(row["base"], pa.float64()),
+                    pa.array(neural + np.array(row["within"]), pa.float64()),
+                ]
+                yield pa.record_batch(columns, ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    schema = f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return blocks.mapInArrow(scored, schema).withColumnRenamed("key", key)
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
