@@ -134,17 +134,21 @@ def expand_context(matches: DataFrame, chunks: DataFrame, radius: int, cap: int)
 
 
 def hybrid_search(
-    queries: DataFrame, chunks: DataFrame, top_k: int = 10, threshold: float = 0.0, weight: float = WEIGHT, key: str = "doc_id", text: str = "text"
+    queries: DataFrame, chunks: DataFrame, top_k: int = 10, threshold: float = 0.0, weight: float = WEIGHT, key: str = "doc_id", text: str = "text",
+    candidates: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, key, rank, relevance, cosine, bm25): a batch of queries (query_id, query) end to end.
 
-    Text statistics are of all chunks. Vectors are word hashes here; others come in through ``dense`` and ``rrf``.
+    Text statistics are of all chunks. Only ``candidates`` (key, priority), if given, are ranked, all of them by both
+    legs. Vectors are word hashes here; others come in through ``dense`` and ``rrf``.
     """
-    pool = max(4 * top_k, 30)
     vectors = tx.hash_embed(chunks, key, text)
     asked = tx.hash_embed(queries, "query_id", "query").withColumnRenamed("embedding", "vector")
-    hits = rrf(dense(asked, vectors, key, 2 * pool), bm25(queries, chunks, key, text), key, weight)
-    ranked = gate_and_rank(rerank(pool_of(hits, key, top_k)), key, threshold, top_k)
+    text_hits = bm25(queries, chunks, key, text)
+    if candidates is not None:
+        vectors, text_hits = (df.join(candidates.select(key), key, "left_semi") for df in (vectors, text_hits))
+    hits = rerank(pool_of(rrf(dense(asked, vectors, key), text_hits, key, weight, candidates), key, top_k))
+    ranked = gate_and_rank(hits, key, threshold, top_k, priority=None if candidates is None else "priority")
     return ranked.select("query_id", key, "rank", "relevance", "cosine", "bm25")
 
 

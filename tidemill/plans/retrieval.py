@@ -10,7 +10,7 @@ from tidemill.operators import relational as rel
 from tidemill.operators import retrieval as r
 from tidemill.plans.corpus import FOLD
 from tidemill.plans.registry import query
-from tidemill.plans.relational import live
+from tidemill.plans.relational import TODAY, live
 
 TOKENS = f"list_filter(string_split(trim(regexp_replace({FOLD.format('@')}, '[^\\p{{L}}\\p{{N}}\\p{{Mn}}_]+', ' ', 'g')), ' '), lambda x: x <> '')"
 INDEX = f"""toks AS (SELECT doc_id, {TOKENS.replace('@', 'text')} AS w FROM documents),
@@ -113,7 +113,11 @@ def r8(t):
 
 @query("r9_hybrid_search")
 def r9(t):
-    return r.hybrid_search(benchmark_queries(t), t.documents)
+    """Over the documents that can be searched and that a user may see today; each is one chunk, so has no neighbours."""
+    each = t.documents.select("doc_id", "text", F.col("doc_id").cast("string").alias("document_id"), F.lit(True).alias("embedding"))
+    found = rel.searchable_chunks(each, t.v_documents, t.v_sources, F.expr(TODAY))
+    seen = rel.in_sources(rel.visible(found, "user", F.expr(TODAY)), [])
+    return r.hybrid_search(benchmark_queries(t), found.select("doc_id", "text"), candidates=seen.select("doc_id", "priority"))
 
 
 @query("r10_assemble_context", f"""WITH {FUSED}, blk AS (SELECT query_id, rank, '<document title="Doc ' || vec_id || '">' || chr(10) || replace(replace(replace(replace(coalesce(d.text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')
