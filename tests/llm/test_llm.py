@@ -143,6 +143,14 @@ def test_estimate_is_near_the_truth():
     assert abs((1 - unlike / minhash.HASHES - chance) / (1 - chance) - 800 / 1200) < 0.12
 
 
+def test_estimate_rules_out_hardly_any_pair_at_the_threshold():
+    unlike = 0.2 * (1 - 2.0**-minhash.BITS)  # of a position, for a pair at exactly 0.80
+    least = 0.80 - minhash.MARGIN
+    most = int((1 - (least * (1 - 2.0**-minhash.BITS) + 2.0**-minhash.BITS)) * minhash.HASHES + 1e-6)
+    n = minhash.HASHES
+    assert sum(math.comb(n, k) * unlike**k * (1 - unlike) ** (n - k) for k in range(most + 1, n + 1)) < 5e-6
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     roots = {r.node: r.root for r in minhash.components(edges).collect()}

@@ -30,8 +30,8 @@ HASHES = 256
 #: Low bits kept of each minimum.
 BITS = 4
 LANES = HASHES // 64
-#: An estimate this far below the threshold rules a pair out: three and a half standard errors.
-MARGIN = 0.09
+#: An estimate this far below the threshold rules a pair out: five standard errors, or one in a million pairs at 0.8.
+MARGIN = 0.13
 #: Partners in each other component that a class is first compared with in a bucket; the rest follow if still needed.
 NEAREST = 3
 #: Members of a bucket that are compared in one piece.
