@@ -136,6 +136,18 @@ def test_registered_streams_over_shuffled_files(spark, tmp_path, sf_dir):
         assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())), name
 
 
+def test_decontaminate_near(spark):
+    passage = " ".join(f"word{i}" for i in range(60))
+    changed = passage.replace("word7 ", "other ")
+    texts = docs(spark, passage.upper() + "!", changed, "something else entirely", " ".join(f"own{i * i}" for i in range(60)), None)
+    golden = spark.createDataFrame([(1, passage), (2, "a short question")], "item_id long, text string")
+    assert {x.doc_id for x in corpus.decontaminate(texts, golden).collect()} == {1, 2, 3, 4}
+    assert {x.doc_id for x in corpus.decontaminate_near(texts, golden).collect()} == {2, 3, 4}
+    row = corpus.contamination_report(texts, golden).first()
+    assert abs(row["max"] - 1) < 1e-9 and row["mean"] <= row["p95"] <= row["max"]
+    assert corpus.decontaminate_near(texts, golden.where("false")).count() == 5
+
+
 def test_plans_have_no_row_at_a_time_python(spark, sf_dir):
     for name in ("r2_bm25", "a1_daily_rollup", "g7_subject_export", "c21_dedup_by_hash"):
         plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()

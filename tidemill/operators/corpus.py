@@ -285,6 +285,24 @@ def nearest_golden(vectors: DataFrame, golden: DataFrame, most: int = 10_000) ->
     return pairs.groupBy("vec_id").agg(F.max(tx.dot(F.col("v"), F.col("g"))).alias("nearest"))
 
 
+def nearest_benchmark(docs: DataFrame, golden: DataFrame) -> DataFrame:
+    """(doc_id, nearest): the largest cosine of a text's word hashes to those of a benchmark text (item_id, text)."""
+    vectors = tx.hash_embed(docs, "doc_id", "text").withColumnRenamed("doc_id", "vec_id")
+    return nearest_golden(vectors, tx.hash_embed(golden, "item_id", "text")).withColumnRenamed("vec_id", "doc_id")
+
+
+def decontaminate_near(docs: DataFrame, golden: DataFrame, cosine: float = 0.93) -> DataFrame:
+    """Documents that are neither equal to a benchmark text (normalized) nor as near to one as ``cosine``."""
+    near = nearest_benchmark(docs, golden).where(F.round("nearest", 9) >= cosine)
+    return decontaminate(docs, golden).join(near.select("doc_id"), "doc_id", "left_anti")
+
+
+def contamination_report(docs: DataFrame, golden: DataFrame) -> DataFrame:
+    """(mean, p95, max) of the documents' cosines to their nearest benchmark text."""
+    nearest = F.col("nearest")
+    return nearest_benchmark(docs, golden).agg(F.avg(nearest).alias("mean"), F.percentile(nearest, F.lit(0.95)).alias("p95"), F.max(nearest).alias("max"))
+
+
 def round_trip_filter(scores: DataFrame, n: int = 3) -> DataFrame:
     """Queries whose own chunk ranks at most n, with (query_id, chunk_id, own, score) rows.
 

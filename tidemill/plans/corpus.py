@@ -168,6 +168,17 @@ def c24(t):
     return c.decontaminate(t.documents, t.benchmark).select("doc_id")
 
 
+@query("c24_decontaminate_near")
+def c24_near(t):
+    """The whole of C24; c24_decontaminate is its exact part, as its SQL says."""
+    return c.decontaminate_near(t.documents, t.benchmark).select("doc_id")
+
+
+@query("c24_contamination_report")
+def c24_report(t):
+    return c.contamination_report(t.documents, t.benchmark)
+
+
 @query("c24_nearest_golden", """SELECT v.vec_id, round(max(list_inner_product(v.embedding::DOUBLE[], g.embedding::DOUBLE[]) / sqrt(list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))
   / sqrt(list_inner_product(g.embedding::DOUBLE[], g.embedding::DOUBLE[]))), 6) AS nearest FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id < 40) g WHERE v.vec_id >= 40 GROUP BY 1""")
 def c24_nearest(t):
