@@ -292,6 +292,13 @@ def test_toxicity_on_held_out_rows(spark, small):
     assert auc > 0.7 and all(r.predicted == (r.score >= 0.3) for r in rows.values())
 
 
+def test_toxicity_mines_every_sampled_text():
+    """Words that only the last 200 of 1,000 toxic texts have are in the dictionary."""
+    texts = [f"plain words here awful idiot {i}" for i in range(800)] + [f"plain words here grobble {i}" for i in range(200)]
+    model = toxicity.fit(texts + [f"plain words here {i}" for i in range(1000)], [1] * 1000 + [0] * 1000)
+    assert b"grobble" in model.toxic
+
+
 def test_toxicity_edge_cases(spark, small, empty):
     model = toxicity.fit(["nice day today", "awful idiot"] * 20, [0, 1] * 20)
     scored = toxicity.score(small, model)

@@ -34,8 +34,8 @@ ORDINARY_BYTES, TOXIC_BYTES = 16_000, (250, 500, 1_000)
 LEAST_DOCS, LEAST_RATIO = 3, 5.0
 #: A document with at least this score is predicted to be toxic.
 THRESHOLD = 0.3
-#: Lengths of word fragments, what is cut from a word's ends, and documents of each class that are mined.
-FRAGMENTS, MARKS, MINED = (5,), b".,;:!?|\"'()", 800
+#: Lengths of word fragments, and what is cut from a word's ends.
+FRAGMENTS, MARKS = (5,), b".,;:!?|\"'()"
 #: Savings in bytes from which a window counts.
 SAVINGS = (1, 2, 3, 4)
 
@@ -144,8 +144,8 @@ def _within(parts: Sequence[bytes], size: int) -> bytes:
 
 def _toxic_parts(toxic: Sequence[str | None], other: Sequence[str | None]) -> list[bytes]:
     """Words and fragments that toxic texts use far more often, strongest first."""
-    in_toxic, in_other = _frequencies(toxic[:MINED]), _frequencies(other[:MINED])
-    n_toxic, n_other = min(len(toxic), MINED), min(len(other), MINED)
+    in_toxic, in_other = _frequencies(toxic), _frequencies(other)
+    n_toxic, n_other = len(toxic), len(other)
     least = max(LEAST_DOCS, 0.01 * n_toxic)
     ratio = {
         w: n / n_toxic / ((in_other[w] + 1) / (n_other + 1))
