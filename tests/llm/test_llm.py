@@ -182,6 +182,50 @@ def test_token_counts(small, empty):
     assert token_counts.token_counts(empty).count() == 0
 
 
+def test_trie_shares_prefixes_and_starts_again(monkeypatch):
+    scores = {b"a": -1.0, b"b": -1.0, b"ab": -1.5, b"abc": -1.2, b"cd": -0.5}
+    trie = token_counts.Trie(scores, 3)
+    ends = {w: trie.insert(w) for w in (b"abcd", b"abce", b"abcd", b"b")}
+    assert len(trie) == 7  # the empty prefix, a, ab, abc, abcd, abce, b
+    assert trie.tokens[ends[b"abcd"]] == 2 and trie.best[ends[b"abcd"]] == -2.0  # ab + cd
+    assert trie.best[ends[b"abce"]] == -1.2 + token_counts.UNKNOWN
+    whole = token_counts.Counter(scores, 3, r"\w+").count("abcd abce b abcd")
+    monkeypatch.setattr(token_counts, "TRIE_NODES", 1)
+    assert token_counts.Counter(scores, 3, r"\w+").count("abcd abce b abcd") == whole
+
+
+# keys
+
+
+BIG = 2**60 + 1
+
+
+@pytest.mark.parametrize("op", [
+    winnowing.fingerprints, minhash.near_components, token_counts.token_counts, substrings.remove_repeats, mixing.mix, mixing.apply_mix, bpe.encode,
+    lambda d: toxicity.score(d, toxicity.fit([], [])), language_model.score, lambda d: url_filter.judge(d, key="doc_id", url="text"),
+])
+def test_keys_stay_what_they_are(spark, op):
+    """Large whole numbers beside a null key, in one batch."""
+    rows = [(BIG, "a text of a few words", "s"), (None, "another text", "s"), (BIG + 1, None, None), (BIG + 2, "last one here", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    got = Counter(r.doc_id for r in op(df).collect())
+    assert set(got) <= {BIG, None, BIG + 1, BIG + 2}
+    if op is not mixing.apply_mix:
+        assert got == Counter([BIG, None, BIG + 1, BIG + 2])
+
+
+def test_vector_keys_stay_what_they_are(spark):
+    rows = [(20 * (2**56 + 1), [1.0, 0.0]), (None, [1.0, 0.0]), (BIG + 2, [0.5, 0.5])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)).collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(20 * (2**56 + 1), BIG + 2)]
+
+
+def test_component_ids_stay_what_they_are(spark):
+    rows = [(BIG, "a text of a few words and more"), (None, "another text"), (BIG + 2, "a text of a few words and more")]
+    got = {r.doc_id: r.component_id for r in minhash.near_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {BIG: BIG, None: None, BIG + 2: BIG}
+
+
 # 4
 
 

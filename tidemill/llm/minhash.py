@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import LOWER_AZ, cut, shuffles, table
+from tidemill.llm.common import LOWER_AZ, cut, pieces, shuffles, table
 from tidemill.llm.hashing import WordHashes, mix, rolling
 
 #: 32 bands of 4: a pair with likeness 0.8 shares no band with a chance of 4e-8.
@@ -30,8 +31,9 @@ HASHES = 256
 #: Low bits kept of each minimum.
 BITS = 4
 LANES = HASHES // 64
-#: An estimate this far below the threshold rules a pair out: five standard errors, or one in a million pairs at 0.8.
-MARGIN = 0.13
+#: An estimate this far below the threshold rules a pair out: six standard errors, which takes one pair in 50 million
+#: at 0.8, about as many as share no band.
+MARGIN = 0.15
 #: Partners in each other component that a class is first compared with in a bucket; the rest follow if still needed.
 NEAREST = 3
 #: Members of a bucket that are compared in one piece.
@@ -77,29 +79,30 @@ def bands(least: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """(key, n, lo, hi, sig, bands) of every row; lo and hi name the shingle set."""
+    """(key, n, lo, hi, sig, bands) of every row; lo and hi name the shingle set, and are null where it is empty.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    The keys go through as they came, whatever their type.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for pdf in batches:
-            out: dict[str, list] = {"n": [], "lo": [], "hi": [], "sig": [], "bands": []}
-            for t in pdf[text]:
-                items = shingles(t, words, size)
-                out["n"].append(len(items))
+        for batch in pieces(batches):
+            rows: list[tuple] = []
+            for t in batch.column(1):
+                items = shingles(t.as_py(), words, size)
                 if len(items):
                     least = minima(items)
-                    out["sig"].append(pack(least).view(np.int64))
-                    out["bands"].append(bands(least).view(np.int64))
                     # an order-free sum and a sum of mixed values
-                    out["lo"].append(items.sum().view(np.int64))
-                    out["hi"].append(mix(items ^ _SALT).sum().view(np.int64))
+                    names = items.sum().view(np.int64), mix(items ^ _SALT).sum().view(np.int64)
+                    rows.append((len(items), *names, pack(least).view(np.int64), bands(least).view(np.int64)))
                 else:
-                    for name in ("lo", "hi", "sig", "bands"):
-                        out[name].append(None)
-            yield pd.DataFrame({"key": pdf[key]} | out).astype({"lo": "Int64", "hi": "Int64"})
+                    rows.append((0, None, None, None, None))
+            columns = [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
+            yield pa.record_batch([batch.column(0), *columns], ["key", "n", "lo", "hi", "sig", "bands"])
 
+    kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInPandas(
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
         run, f"key {kind}, n long, lo long, hi long, sig array<long>, bands array<long>"
     )
 
@@ -127,20 +130,21 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, size: int, key: s
     left = pairs.join(texts.withColumnsRenamed({"key": "a", "text": "text_a"}), "a")
     both = left.join(texts.withColumnsRenamed({"key": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last, held = WordHashes(), None, None
-        for pdf in batches:
+        for batch in pieces(batches):
             keep = []
-            for x, y in zip(pdf.text_a, pdf.text_b):
+            for x, y in zip(batch.column("text_a"), batch.column("text_b")):
+                x, y = x.as_py(), y.as_py()
                 if y != last:
                     last, held = y, shingles(y, words, size)
                 mine = shingles(x, words, size)
                 shared = len(np.intersect1d(mine, held, assume_unique=True))
                 keep.append(100 * shared >= percent * (len(mine) + len(held) - shared))
-            yield pdf.loc[keep, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = docs.schema[key].dataType.simpleString()
-    return both.mapInPandas(run, f"a {kind}, b {kind}").distinct()
+    return both.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -174,8 +178,10 @@ def near_components(
     Documents are linked where their sets of ``size``-word shingles share at least ``percent`` of their union;
     component_id is the smallest key that can be reached, and kept says whether it is the row's own. A text with
     fewer words is one shingle; null texts and texts without words are linked with nothing. Rows with a null key are
-    kept and have a null component. Repeated rows have the same key, hence the same component, and repeat. An empty
-    table gives an empty one; other columns are left out. The input must give the same rows each time it is read.
+    kept and have a null component. Repeated rows have the same key, hence the same component, and repeat; ties (equal
+    sets) go to the smallest key. Texts of any length are taken whole; a task holds one of them, and a bounded number of
+    word hashes. An empty table gives an empty one; other columns are left out, so their names don't matter. The input
+    must give the same rows each time it is read.
     """
     signed = cut(signatures(docs, size, key, text))
     used = signed.where((F.col("n") > 0) & F.col("key").isNotNull())

@@ -1,9 +1,8 @@
 """Token counts under a unigram model, with one forward pass for each shared prefix.
 
-The distinct pre-tokens of a batch of documents form a trie. Walking the sorted pre-tokens visits it depth first,
-so the path to the current node is a stack, and no node is ever computed twice: the best segmentation of a prefix
-is found from the best ones of its own prefixes, which are on the stack. What the node of a whole pre-token holds
-is that pre-token's count; a document's count is the sum over its pre-tokens.
+The distinct pre-tokens that a task meets are inserted into a trie. A node stands for a prefix and holds the best
+segmentation of it: score and number of tokens, found once, from the nodes on the path to it. A word's last node holds
+the word's count; a word met again is looked up there. A document's count is the sum over its pre-tokens.
 
 Pieces come from a public rank file. Such files hold ranks, not probabilities; by Zipf's law a piece of rank r
 gets the log probability -log(r + 3), up to a constant for each piece.
@@ -13,22 +12,22 @@ from __future__ import annotations
 
 import base64
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import table
-from tidemill.llm.pretokens import Pretokens
+from tidemill.llm.common import pieces, table
+from tidemill.llm.pretokens import LONG
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Log probability of a byte that is no piece.
 UNKNOWN = -30.0
-#: Pre-tokens of one trie at most; a batch with more is counted in several tries.
-TRIE_WORDS = 400_000
+#: Nodes from which a task starts a new trie (about 100 MB), and the longest word that is looked up without a walk.
+TRIE_NODES, LONGEST = 500_000, 64
 
 
 def read_scores(path: str) -> dict[bytes, float]:
@@ -38,32 +37,74 @@ def read_scores(path: str) -> dict[bytes, float]:
     return {piece: -math.log(rank + 3) for piece, rank in ranks.items()}
 
 
-def forward(words: Sequence[bytes], scores: dict[bytes, float], longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and score of the best segmentation of each word; equal scores take the fewer tokens."""
-    count, total = np.zeros(len(words), np.int64), np.zeros(len(words))
-    best: list[float] = [0.0]  # of each prefix of the last word, shortest first
-    tokens: list[int] = [0]
-    last, get = b"", scores.get
-    for k in sorted(range(len(words)), key=words.__getitem__):
-        word, shared = words[k], 0
-        for a, b in zip(word, last):
-            if a != b:
-                break
-            shared += 1
-        del best[shared + 1 :], tokens[shared + 1 :]
-        for end in range(shared + 1, len(word) + 1):
-            top, n = best[end - 1] + UNKNOWN, tokens[end - 1] + 1
-            for begin in range(max(0, end - longest), end):
-                score = get(word[begin:end])
-                if score is not None:
-                    score += best[begin]
-                    if score > top or (score == top and tokens[begin] + 1 < n):
-                        top, n = score, tokens[begin] + 1
-            best.append(top)
-            tokens.append(n)
-        last = word
-        count[k], total[k] = tokens[-1], best[-1]
-    return count, total
+class Trie:
+    """Prefixes of words, each with the score and the tokens of its best segmentation.
+
+    Of segmentations with equal scores the one with fewer tokens counts. Node 0 is the empty prefix.
+    """
+
+    def __init__(self, scores: dict[bytes, float], longest: int) -> None:
+        self.scores, self.longest = scores, longest
+        self.children: dict[int, int] = {}  # 256 * node + byte
+        self.best: list[float] = [0.0]
+        self.tokens: list[int] = [0]
+
+    def __len__(self) -> int:
+        return len(self.best)
+
+    def insert(self, word: bytes) -> int:
+        """The node of a whole word; only the nodes that are new are computed."""
+        children, best, tokens, get = self.children, self.best, self.tokens, self.scores.get
+        node, path = 0, [0]
+        for end, byte in enumerate(word, 1):
+            edge = 256 * node + byte
+            node = children.get(edge, 0)
+            if not node:
+                node = children[edge] = len(best)
+                before = path[-1]
+                top, n = best[before] + UNKNOWN, tokens[before] + 1
+                for begin in range(max(0, end - self.longest), end):
+                    score = get(word[begin:end])
+                    if score is not None:
+                        before = path[begin]
+                        score += best[before]
+                        if score > top or (score == top and tokens[before] + 1 < n):
+                            top, n = score, tokens[before] + 1
+                best.append(top)
+                tokens.append(n)
+            path.append(node)
+        return node
+
+
+class Counter:
+    """Pre-tokens, tokens and score of texts; starts a new trie where the old one has TRIE_NODES nodes."""
+
+    def __init__(self, scores: dict[bytes, float], longest: int, pattern: str) -> None:
+        self.scores, self.longest, self.split = scores, longest, regex.compile(pattern)
+        self.renew()
+
+    def renew(self) -> None:
+        self.trie = Trie(self.scores, self.longest)
+        self.counts: dict[str, tuple[int, float]] = {}  # tokens and score of each word, as its last node has them
+
+    def count(self, text: str | None) -> tuple[int, int, float]:
+        text = text or ""
+        found = self.split.findall(text) if len(text) < LONG else (m.group() for m in self.split.finditer(text))
+        n_pretokens, n_tokens, total, get = 0, 0, 0.0, self.counts.get
+        for word in found:
+            known = get(word)
+            if known is None:
+                if len(self.trie) >= TRIE_NODES:
+                    self.renew()
+                    get = self.counts.get
+                end = self.trie.insert(word.encode("utf-8", "replace"))
+                known = self.trie.tokens[end], self.trie.best[end]
+                if len(word) <= LONGEST:
+                    self.counts[word] = known
+            n_pretokens += 1
+            n_tokens += known[0]
+            total += known[1]
+        return n_pretokens, n_tokens, total
 
 
 def token_counts(
@@ -71,36 +112,28 @@ def token_counts(
 ) -> DataFrame:
     """(key, n_pretokens, n_tokens, score) of every whole text.
 
-    Null and empty texts have no tokens and score 0. Each row is counted by itself, so repeated rows repeat. Other
-    columns are left out. No shuffle; a task holds one Arrow batch and one trie of at most TRIE_WORDS words.
+    Null and empty texts have no tokens and score 0. Each row is counted by itself, so repeated rows repeat and null
+    keys stay. Texts are taken whole, a pre-token at a time; a pre-token of n bytes takes n nodes, which are dropped with
+    the trie. Other columns are left out, so their names don't matter; an empty table gives an empty one. No shuffle; a
+    task holds one Arrow batch and one trie of about TRIE_NODES nodes.
     """
     scores = read_scores(path or public_tokenizers.path(RANKS))
     longest = max(map(len, scores))
     shape = pattern or public_tokenizers.PATTERN
     sent = docs.sparkSession.sparkContext.broadcast(scores)  # as large as the vocabulary file
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = sent.value
-        for pdf in batches:
-            found, numbers, at = Pretokens(shape), [], 0
-            for i, t in enumerate(pdf[text]):
-                numbers.append(found.numbers(t))
-                if len(found) >= TRIE_WORDS or i == len(pdf) - 1:
-                    count, total = forward([w.encode("utf-8", "replace") for w in found.words], pieces, longest)
-                    yield pd.DataFrame(
-                        {
-                            key: pdf[key].iloc[at : i + 1],
-                            "n_pretokens": [len(n) for n in numbers],
-                            "n_tokens": [int(count[n].sum()) for n in numbers],
-                            "score": [float(total[n].sum()) for n in numbers],
-                        }
-                    )
-                    found, numbers, at = Pretokens(shape), [], i + 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(sent.value, longest, shape)
+        for batch in pieces(batches):
+            found = [counter.count(t.as_py()) for t in batch.column(1)]
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64()))]
+            yield pa.record_batch([batch.column(0), *columns], ["key", "n_pretokens", "n_tokens", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInPandas(
-        run, f"`{key}` {kind}, n_pretokens long, n_tokens long, score double"
+    counted = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
+        run, f"key {kind}, n_pretokens long, n_tokens long, score double"
     )
+    return counted.withColumnRenamed("key", key)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

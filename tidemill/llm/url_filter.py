@@ -15,11 +15,11 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import lower_az, table
+from tidemill.llm.common import lower_az, pieces, table
 
 #: (verdict, host, path): fits the host and its subdomains where the URL's path starts with the rule's.
 HOST_RULES = (
@@ -128,7 +128,8 @@ def judge(
     Of the host rules that fit, the longest (host and path together, then the first given) decides; ``rule`` is
     null where none fits, and then the globs decide. ``globs`` lists the block globs that fit. Null URLs and URLs
     without ``://`` have an empty host and path, fit no host rule and are allowed unless a glob fits ``.``.
-    Repeated rows are judged each; other columns are left out, so their names don't matter.
+    Repeated rows are judged each and null keys stay; other columns are left out, so their names don't matter. A URL of
+    any length is judged whole. An empty table gives an empty one.
     No shuffle: each task judges its own rows. The masks are as large as the rules, which are parameters.
     """
     rules = sorted(range(len(host_rules)), key=lambda i: (-len(host_rules[i][1] + host_rules[i][2]), i))
@@ -138,29 +139,24 @@ def judge(
     verdicts = np.array([v for v, _, _ in ordered] + [None], object)
     globs, n = list(block_globs), len(ordered)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fits = automaton.fits([f".{h}{p}".encode() for h, p in zip(pdf.host, pdf.path)])
-            first = np.where(fits[:, :n].any(1), fits[:, :n].argmax(1), n) if n else np.zeros(len(pdf), int)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
+            fits = automaton.fits([f".{h}{p}".encode("utf-8", "replace") for h, p in zip(hosts, paths)])
+            first = np.where(fits[:, :n].any(1), fits[:, :n].argmax(1), n) if n else np.zeros(len(batch), int)
             hit = fits[:, n:]
-            own = verdicts[first]
-            method = np.where(hit.any(1), "block", "allow")
-            yield pd.DataFrame(
-                {
-                    key: pdf[key],
-                    "host": pdf.host,
-                    "path": pdf.path,
-                    "rule": names[first],
-                    "verdict": [m if v is None else v for v, m in zip(own, method)],
-                    "globs": [[g for g, x in zip(globs, row) if x] for row in hit],
-                }
-            )
-
-    cols = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    kind = cols.schema[key].dataType.simpleString()
-    return cols.mapInPandas(
-        run, f"`{key}` {kind}, host string, path string, rule string, verdict string, globs array<string>"
-    )
+            method = np.where(hit.any(1), "block", "allow").tolist()
+            made = [
+                pa.array(names[first].tolist(), pa.string()),
+                pa.array([m if v is None else v for v, m in zip(verdicts[first], method)], pa.string()),
+                pa.array([[g for g, x in zip(globs, row) if x] for row in hit], pa.list_(pa.string())),
+            ]
+            yield pa.record_batch([*batch.columns, *made], ["key", "host", "path", "rule", "verdict", "globs"])
+
+    cols = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    kind = cols.schema["key"].dataType.simpleString()
+    schema = f"key {kind}, host string, path string, rule string, verdict string, globs array<string>"
+    return cols.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
