@@ -336,6 +336,33 @@ def test_toxicity_on_held_out_rows(spark, small):
     assert auc > 0.7 and all(r.predicted == (r.score >= 0.3) for r in rows.values())
 
 
+def test_toxicity_recall_and_precision_on_held_out_rows(spark):
+    """On 329 toxic training documents: how many of the held-out ones are found at the threshold, and how many found are."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    held = docs.join(labels.where(toxicity.held_out(F.col("doc_id"))), "doc_id")
+    rows = toxicity.score(held, model).select((F.col("score") >= toxicity.THRESHOLD).alias("found"), "toxic").collect()
+    hits = sum(r.found and r.toxic == 1 for r in rows)
+    assert hits >= 0.55 * sum(r.toxic == 1 for r in rows) and hits >= 0.85 * sum(r.found for r in rows)
+
+
+def test_toxicity_dictionaries_are_trained_on_their_own_class():
+    """What zstandard finds frequent in one class's windows is in that class's dictionary alone."""
+    bad = [f"zorple zorple glimmerfax quandor {i} {i * 7}" for i in range(600)]
+    good = [f"meadow sunlight harvestmoon tranquil {i} {i * 11}" for i in range(600)]
+    model = toxicity.fit(bad + good, [1] * 600 + [0] * 600)
+    assert b"glimmerfax" in model.toxic and b"glimmerfax" not in model.ordinary and b"harvestmoon" in model.ordinary
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    """Labelled texts of any length are learned from, whole."""
+    rows = [(i, "plain words and more of them " * 4000 + ("vile grobble" if i % 2 else "kind harbour")) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, toxic int")
+    assert b"grobble" in toxicity.train(docs, labels).toxic
+
+
 def test_toxicity_mines_every_sampled_text():
     """Words that only the last 200 of 1,000 toxic texts have are in the dictionary."""
     texts = [f"plain words here awful idiot {i}" for i in range(800)] + [f"plain words here grobble {i}" for i in range(200)]

@@ -1,13 +1,16 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: the ordinary one holds text of documents without the label; the toxic one
-holds the same text and, nearest to the end, the words that toxic documents use far more often. A window of a few
-words that compresses shorter with the toxic dictionary is written in toxic words; the shared text makes all other
-differences cancel out. A document's window savings become a few numbers (the largest, the share beyond a
-threshold, ...), and a logistic curve over them, fitted on labelled documents, gives its score.
-
-Fitting takes a bounded sample of labelled documents (SAMPLE, SAMPLE_CHARS) to the driver; scoring is one pass over
-whole texts without a shuffle.
+Two zstandard dictionaries are trained, each on windows of its own class: one on text of documents with the label,
+one on text of documents without it. Both stand behind a larger dictionary trained on other ordinary text, so that
+what the classes share compresses alike and cancels out; and since zstandard's training looks for what is frequent,
+not for what is peculiar to a class, the toxic one ends with the words that toxic documents use far more often.
+A window of a few words that compresses shorter with the toxic dictionary than with the ordinary one speaks for the
+label. How many of a document's windows save at least 1, 2, 3 or 4 bytes, and the largest savings, are its figures; a
+logistic curve over them, fitted on labelled documents that the dictionaries at hand have not seen, calibrates
+these thresholds to a score.
+
+Fitting takes a bounded sample of labelled documents (SAMPLE), whole, to the driver; scoring is one pass over whole
+texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -26,10 +29,12 @@ from tidemill.llm.common import LOWER_AZ, table
 
 #: Words of a window.
 WINDOW = 8
-#: Labelled documents of each class at most in the sample, and the longest text that it takes.
-SAMPLE, SAMPLE_CHARS = 1_000, 50_000
-#: Bytes of ordinary text in the dictionaries, and of toxic words, which are tried in this order.
-ORDINARY_BYTES, TOXIC_BYTES = 16_000, (250, 500, 1_000)
+#: Labelled documents of each class at most in the sample.
+SAMPLE = 1_000
+#: Bytes of the dictionary that both classes stand behind, of each class's own, and of toxic words (tried in this order).
+SHARED_BYTES, CLASS_BYTES, TOXIC_BYTES = 15_000, 1_000, (250, 500, 1_000)
+#: Longest common piece that training looks for, and what it counts.
+SEGMENT, GRAM = 16, 6
 #: A toxic word is in this many toxic documents, and this many times as often in them as in others.
 LEAST_DOCS, LEAST_RATIO = 3, 5.0
 #: A document with at least this score is predicted to be toxic.
@@ -71,6 +76,25 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=held, compression_params=how)
 
 
+def _trained(windows: Sequence[bytes], size: int) -> bytes:
+    """A dictionary of ``size`` bytes trained on windows; of too few to train on, their last bytes."""
+    try:
+        return zstandard.train_dictionary(size, list(windows), k=SEGMENT, d=GRAM, level=3).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(windows)[-size:] or b" " * 8
+
+
+def _dictionaries(toxic: Sequence[str | None], other: Sequence[str | None], seed: int) -> tuple[bytes, bytes, list[bytes]]:
+    """The ordinary dictionary, the toxic one, and the words that go to the toxic one's end."""
+    rng = np.random.default_rng(seed)
+    of_toxic, of_other = ([w for t in texts for w in windows_of(words_of(t))] for texts in (toxic, other))
+    of_toxic, of_other = ([own[i] for i in rng.permutation(len(own))] for own in (of_toxic, of_other))
+    half = len(of_other) // 2
+    shared = _trained(of_other[:half], SHARED_BYTES)
+    own = _trained(of_other[half:], CLASS_BYTES), _trained(of_toxic, CLASS_BYTES)
+    return own[0] + shared, own[1] + shared, _toxic_parts(toxic, other)
+
+
 def features(ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor, text: str | None) -> np.ndarray:
     """What the savings of all windows of a text come to."""
     words = words_of(text)
@@ -113,16 +137,16 @@ def fit(texts: Sequence[str | None], labels: Sequence[int], share: float | None
     """
     y = np.array(labels, float)
     share = float(np.clip((y.mean() if len(y) else 0.0) if share is None else share, 1e-4, 1 - 1e-4))
-    toxic = [t for t, v in zip(texts, labels) if v == 1]
-    other = [t for t, v in zip(texts, labels) if v != 1]
-    rng = np.random.default_rng(seed)
-    pool = [w for t in other for w in windows_of(words_of(t))]
-    ordinary = b"".join(pool[i] for i in rng.permutation(len(pool)))[:ORDINARY_BYTES] or b" " * 8
-    half = rng.permutation(len(texts)) % 2  # what a half's words look like is learned from the other half
-    mined = [_toxic_parts(*([t for t, v, h in zip(texts, labels, half) if h != k and (v == 1) == c] for c in (True, False))) for k in (0, 1)]
+    half = np.random.default_rng(seed).permutation(len(texts)) % 2  # a half's figures are by dictionaries of the other half
+
+    def dictionaries(used: Sequence[bool]) -> tuple[bytes, bytes, list[bytes]]:
+        by_class = ([t for t, v, u in zip(texts, labels, used) if u and (v == 1) == c] for c in (True, False))
+        return _dictionaries(*by_class, seed)
+
+    trained = [dictionaries(half != k) for k in (0, 1)]
     best = None
     for size in TOXIC_BYTES:
-        pairs = [(_compressor(ordinary), _compressor(ordinary + _within(m, size))) for m in mined]
+        pairs = [(_compressor(o), _compressor(t + _within(m, size))) for o, t, m in trained]
         x = np.array([features(*pairs[h], t) for t, h in zip(texts, half)] or np.zeros((0, len(features(*pairs[0], "")))))
         mean, scale = (x.mean(0), np.maximum(x.std(0), 1e-6)) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
         z = (x - mean) / scale
@@ -133,7 +157,8 @@ def fit(texts: Sequence[str | None], labels: Sequence[int], share: float | None
     _, size, mean, scale, weights = best
     drawn = float(np.clip(y.mean() if len(y) else share, 1e-4, 1 - 1e-4))
     weights[0] += np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))
-    return Model(ordinary, ordinary + _within(_toxic_parts(toxic, other), size), mean, scale, weights)
+    ordinary, toxic, words = dictionaries([True] * len(texts))
+    return Model(ordinary, toxic + _within(words, size), mean, scale, weights)
 
 
 def _within(parts: Sequence[bytes], size: int) -> bytes:
@@ -180,27 +205,30 @@ def held_out(key: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """A model from at most SAMPLE labelled rows of each class that are not held out, by hash order.
+    """A model from at most SAMPLE labelled rows of each class that are not held out, by hash order, texts whole.
 
-    Rows with a null key or label and texts over SAMPLE_CHARS are not in the sample.
+    Rows with a null key or label are not in the sample; null texts are empty ones. Labelled keys of several documents
+    bring all of them. Without labelled rows every score is about 0.
     """
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where(
         F.col("label").isin(0, 1) & F.col("key").isNotNull() & ~held_out(F.col("key"))
     )
-    short = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(
-        F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS
-    )
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows, share = [], known.agg(F.avg("label")).first()[0]
     for value in (1, 0):
         order = F.xxhash64("key")
         some = known.where(F.col("label") == value).orderBy(order, "key").limit(SAMPLE)
-        rows += short.join(F.broadcast(some), "key").select("key", "text", "label").collect()
+        rows += texts.join(F.broadcast(some), "key").select("key", "text", "label").collect()
     rows.sort(key=lambda r: (r["key"], r["text"] or "", r["label"]))
     return fit([r["text"] for r in rows], [r["label"] for r in rows], share)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of docs and ``score``; a column of that name is replaced. Null texts count as empty."""
+    """All columns of docs and ``score``; a column of that name is replaced.
+
+    Null texts count as empty. Every text is scored whole, window by window, whatever its length; equal texts have equal
+    scores. Repeated rows and null keys stay; an empty table gives an empty one.
+    """
     return docs.withColumn("score", scoring(model)(F.col(text)))
 
 
