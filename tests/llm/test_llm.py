@@ -407,46 +407,87 @@ def test_language_model_beats_the_base_on_held_out_rows(spark, sf_dir):
 
 
 def test_language_model_learns_from_long_documents(spark):
-    """All texts are longer than what the weights start from, and their second half has words and an order of its own."""
+    """All texts are long, and their second half has words and an order of its own."""
     early, late = [f"early{i}" for i in range(40)], [f"late{i}x{i}" for i in range(40)]
     rows = [(k, " ".join([early[i % 40] for i in range(3000)] + [late[i * 7 % 40] for i in range(6000)])) for k in range(40)]
-    assert min(len(t) for _, t in rows) > 2 * language_model.SAMPLE_CHARS
     got = language_model.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     held = [r for r in got if r.held_out]
     assert held and sum(r.score for r in held) > 0.7 * sum(r.base_score for r in held)
 
 
-def test_language_model_head_is_of_all_documents(spark, monkeypatch):
-    """With one document to start from, frequent words of the others still get codes of their own."""
-    monkeypatch.setattr(language_model, "SAMPLE_DOCS", 1)
-    heads = []
-    fit = language_model.fit
-    monkeypatch.setattr(language_model, "fit", lambda texts, *a, **k: heads.append(fit(texts, *a, **k)) or heads[-1])
-    rows = [(k, f"own{k} own{k} shared often{k % 2}") for k in range(60)]
-    language_model.score(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {b"shared", b"often0", b"often1"} <= set(list(heads[-1].head)[:3])
-    assert len(heads[-1].head) > 10
+def even(seed=0):
+    return language_model.start(np.ones(language_model.HEAD), np.ones(language_model.ENDINGS), seed)
 
 
 def test_probabilities_add_up():
-    model = language_model.fit(["a b c a b", "c b a"])
-    p, state = model.weights, np.random.default_rng(0).normal(size=(1, language_model.HIDDEN)).astype(np.float32)
+    p, state = even(), np.random.default_rng(0).normal(size=(1, language_model.HIDDEN)).astype(np.float32)
     codes = np.arange(language_model.HEAD + language_model.ENDINGS)
     total = np.exp(language_model.log_probabilities(p, np.repeat(state, len(codes), 0), codes)).sum()
     assert abs(total - 1) < 1e-4
 
 
+def test_untrained_weights_are_the_unigram_model():
+    words, ends = np.arange(language_model.HEAD, 0, -1.0) ** 2, np.arange(language_model.ENDINGS) + 5.0
+    p = language_model.start(words, ends)
+    codes = np.arange(language_model.HEAD + language_model.ENDINGS)
+    got = language_model.log_probabilities(p, np.zeros((len(codes), language_model.HIDDEN), np.float32), codes)
+    share = np.r_[words, ends] + 1
+    want = np.log(share / share.sum())
+    assert np.abs(got - want).max() < 1e-2
+
+
+def test_gradients_against_finite_differences():
+    rng = np.random.default_rng(3)
+    p = {k: v.astype(np.float64) + rng.normal(0, 0.1, v.shape) for k, v in even().items()}
+    n = language_model.HEAD + language_model.ENDINGS
+    codes = rng.choice(np.r_[np.arange(6), language_model.HEAD - 1, language_model.HEAD + 3], (7, 3))
+    assert codes.max() < n
+    inputs, fresh, used = np.vstack([np.zeros((1, 3), int), codes[:-1]]), np.zeros((7, 3), bool), np.ones((7, 3), bool)
+    fresh[0], fresh[4, 1], used[6, 2] = True, True, False
+    before = rng.normal(0, 0.3, (3, language_model.HIDDEN))
+
+    def loss():
+        h, total = before, 0.0
+        for t in range(7):
+            h, _ = language_model._step(p, inputs[t], h * ~fresh[t][:, None])
+            logs = language_model.log_probabilities(p, h, codes[t])
+            total -= logs[used[t]].sum()
+        return total / used.sum()
+
+    g, _ = language_model._gradients(p, inputs, codes, fresh, used, before)
+    for name, value in p.items():
+        flat, own = value.reshape(-1), g[name].reshape(-1)
+        for i in [*np.argsort(-np.abs(own))[:6], *rng.integers(0, len(flat), 3)]:
+            kept, e = flat[i], 1e-5
+            flat[i] = kept + e
+            up = loss()
+            flat[i] = kept - e
+            down = loss()
+            flat[i] = kept
+            assert abs((up - down) / (2 * e) - own[i]) < 1e-6 + 1e-4 * abs(own[i]), name
+
+
+def test_training_learns_an_order():
+    p = even()
+    documents = [np.r_[np.tile([5, 9, 7, 300, 2], 60), 0] for _ in range(40)]
+    before = language_model.neural_scores(p, documents[:1])[0]
+    trainer = language_model.Trainer(p)
+    for _ in range(3):
+        trainer.learn(documents)
+    assert language_model.neural_scores(p, documents[:1])[0] > 0.2 * before
+
+
 def test_state_is_carried_over_windows():
-    model = language_model.fit(["a b c d e f g"] * 20)
+    p = even()
     long = np.arange(200) % 8
-    one = language_model.neural_scores(model.weights, [long])[0]
+    one = language_model.neural_scores(p, [long])[0]
     h, last, total = np.zeros((1, language_model.HIDDEN), np.float32), np.array([0]), 0.0
     for c in long:
-        h, _ = language_model._step(model.weights, last, h)
-        total += language_model.log_probabilities(model.weights, h, np.array([c]))[0]
+        h, _ = language_model._step(p, last, h)
+        total += language_model.log_probabilities(p, h, np.array([c]))[0]
         last = np.array([c])
     assert abs(one - total) < 1e-2
-    many = language_model.neural_scores(model.weights, [long, long[:5], long[:70]])
+    many = language_model.neural_scores(p, [long, long[:5], long[:70]])
     assert abs(many[0] - one) < 1e-2
 
 

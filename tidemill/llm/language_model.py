@@ -3,21 +3,21 @@
 The unigram base counts every training word of the corpus: distinct words of all blocks (wordblocks) meet by a hash,
 their counts are summed there and go back to the blocks. The recurrent model's output is factored: a softmax over
 classes, then one over a class's words. The HEAD most frequent words of all training documents, and the end, are shared
-out over classes with a softmax of their own; all other words fall into classes by their last two bytes, within which a
-word has its share of the corpus counts, (c + 1) / (sum + distinct + 1). So every word has a probability and what the
-model knows follows the corpus. A document's state is carried over all its windows.
-
-The weights are trained in numpy by backpropagation through windows of WINDOW tokens. They start from a small sample
-(SAMPLE_DOCS, the first SAMPLE_CHARS of each text); then every training document is trained on whole, in TURNS turns
-over parts of the blocks: each task goes on from the weights of the turn before, and the turn's weights are the tasks'
-means by tokens.
+out over classes by frequency, each with a softmax of its own; all other words, unknown ones included, fall into
+classes by their last two bytes, within which a word has its share of the corpus counts, (c + 1) / (sum + distinct + 1).
+So every word has a probability and what the model knows follows the corpus. A document's state is carried over all its
+windows.
+
+The weights are trained in numpy by backpropagation through windows of WINDOW tokens. They start as the unigram model
+(biases are the logarithms of corpus counts, the rest small random numbers). Every training document is trained on
+whole, once: in each of TURNS turns every task takes its share of its blocks' documents, going on from the weights of
+the turn before, and the turn's weights are the tasks' means by tokens.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +28,14 @@ from tidemill.llm import wordblocks
 from tidemill.llm.common import LOWER_AZ, Numbering, cut, shuffles, table
 from tidemill.llm.packing import pack_numbers, unpack_numbers
 
-#: Training documents that the weights start from at most, and the characters taken of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 500, 20_000
 #: Classes with a softmax of their own, words of each, and classes by the end of a word.
-CLASSES, WIDTH, ENDINGS = 16, 16, 48
+CLASSES, WIDTH, ENDINGS = 32, 48, 32
 HEAD = CLASSES * WIDTH
-HIDDEN, WINDOW, LANES, EPOCHS, RATE = 32, 32, 64, 3, 0.01
-#: Parts of the blocks that are trained on in turn, lanes and rate there, and rows in which the tasks' weights are summed.
-TURNS, WIDE, TURN_RATE, SUMS = 2, 256, 0.003, 16
+HIDDEN, WINDOW = 32, 32
+#: Turns of training, each on a part of the documents; streams that are trained on side by side at most; step of Adam.
+TURNS, LANES, RATE = 4, 128, 0.005
+#: Rows of a softmax that are worked on together.
+ROWS = 1024
 #: Documents that are scored together, and tokens of each that are looked at together.
 TOGETHER, STEPS = 512, 32
 #: Numbers of a word's last two bytes, or of its only one.
@@ -74,97 +74,139 @@ def _ending(kind: int) -> bytes:
     return bytes([kind // 256 - 1, kind % 256]) if kind >= 256 else bytes([kind])
 
 
-@dataclass
-class Model:
-    """Codes of words, and weights: x of inputs, u of the state, c of classes, w of words in a class."""
-
-    head: dict[bytes, int]
-    endings: dict[bytes, int]
-    weights: dict[str, np.ndarray]
-
-    def code(self, word: bytes) -> int:
-        """0 to HEAD - 1 for a word of the head, else HEAD and the class of its ending."""
-        own = self.head.get(word)
-        return HEAD + self.endings.get(word[-2:], 0) if own is None else own
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place; what is too large for exp in float32 is cut first."""
+    np.maximum(x, -80, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _step(p: dict, codes: np.ndarray, h: np.ndarray) -> tuple:
     """(new state, what backpropagation needs) after one input of each lane."""
-    x, size = p["x"][codes], HIDDEN
-    gates = _sigmoid(x[:, : 2 * size] + h @ p["u"][:, : 2 * size])
+    x, size, u = p["x"][codes], HIDDEN, p["u"]
+    gates = h @ u[:, : 2 * size]
+    gates += x[:, : 2 * size]
+    _sigmoid(gates)
     z, r = gates[:, :size], gates[:, size:]
-    n = np.tanh(x[:, 2 * size :] + (r * h) @ p["u"][:, 2 * size :])
-    return h + z * (n - h), (h, z, r, n)
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+    n = (r * h) @ u[:, 2 * size :]
+    n += x[:, 2 * size :]
+    n *= 2  # tanh(x) is 2 / (1 + exp(-2x)) - 1
+    _sigmoid(n)
+    n *= 2
+    n -= 1
+    new = n - h
+    new *= z
+    new += h
+    return new, (h, gates, n)
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """In place, along the last axis."""
+    x -= x.max(-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(-1, keepdims=True)
+    return x
 
 
 def _classes(codes: np.ndarray) -> np.ndarray:
     return np.where(codes < HEAD, codes // WIDTH, CLASSES + codes - HEAD)
 
 
+def _by_class(kinds: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """(order, runs): rows of the head by class, and (class, slice of that order) of at most ROWS rows each."""
+    order = np.argsort(kinds.astype(np.uint8), kind="stable")
+    ends = np.searchsorted(kinds[order], np.arange(CLASSES), side="right").tolist()
+    runs = [
+        (k, slice(at, min(at + ROWS, end))) for k, (begin, end) in enumerate(zip([0, *ends], ends)) for at in range(begin, end, ROWS)
+    ]
+    return order[: ends[-1]], runs
+
+
+def _runs(n: int) -> Iterator[slice]:
+    """Rows that are worked on together, so that what is made of them stays in the cache."""
+    return (slice(at, at + ROWS) for at in range(0, n, ROWS))
+
+
 def log_probabilities(p: dict, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Natural log of each code's class and, in the head, word, given the state before it."""
-    kinds = _classes(codes)
-    out = _log_softmax(states @ p["c"] + p["cb"])[np.arange(len(codes)), kinds]
-    for k in range(CLASSES):
-        at = np.flatnonzero(kinds == k)
-        if len(at):
-            inner = _log_softmax(states[at] @ p["w"][k] + p["wb"][k])
-            out[at] += inner[np.arange(len(at)), codes[at] % WIDTH]
-    return out
+    kinds, out = _classes(codes), np.empty(len(codes), p["c"].dtype)
+    for part in _runs(len(codes)):
+        own = states[part] @ p["c"]
+        own += p["cb"]
+        out[part] = _softmax(own)[np.arange(len(own)), kinds[part]]
+    order, runs = _by_class(kinds)
+    own, words, inside = states[order], codes[order] % WIDTH, np.empty(len(order), out.dtype)
+    for k, part in runs:
+        inner = own[part] @ p["w"][k]
+        inner += p["wb"][k]
+        inside[part] = _softmax(inner)[np.arange(len(inner)), words[part]]
+    out[order] *= inside
+    return np.log(np.maximum(out, 1e-38))
 
 
 def _gradients(p: dict, inputs: np.ndarray, outputs: np.ndarray, fresh: np.ndarray, used: np.ndarray, h: np.ndarray) -> tuple:
     """Gradients of the mean loss over one window (time, lane), and the state after it."""
-    kept, states = [], []
-    for t in range(len(inputs)):
-        h = h * ~fresh[t][:, None]
-        h, back = _step(p, inputs[t], h)
-        kept.append(back)
-        states.append(h)
-    flat, codes = np.concatenate(states), outputs.ravel()
-    share = (used.ravel() / max(1, used.sum())).astype(np.float32)[:, None]
+    steps, lanes, size, u, kind = len(inputs), inputs.shape[1], HIDDEN, p["u"], h.dtype
+    before, states, nears = (np.empty((steps, lanes, size), kind) for _ in range(3))
+    gates = np.empty((steps, lanes, 2 * size), kind)
+    for t in range(steps):
+        before[t] = h * ~fresh[t][:, None] if fresh[t].any() else h
+        h, (_, gates[t], nears[t]) = _step(p, inputs[t], before[t])
+        states[t] = h
+    flat, codes = states.reshape(-1, size), outputs.ravel()
+    share = (used.ravel() / max(1, used.sum())).astype(kind)[:, None]
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    kinds, rows = _classes(codes), np.arange(len(codes))
-    d = np.exp(_log_softmax(flat @ p["c"] + p["cb"]))
-    d[rows, kinds] -= 1
-    d *= share
-    g["c"], g["cb"], dflat = flat.T @ d, d.sum(0), d @ p["c"].T
-    for k in range(CLASSES):
-        at = np.flatnonzero(kinds == k)
-        if len(at):
-            d = np.exp(_log_softmax(flat[at] @ p["w"][k] + p["wb"][k]))
-            d[np.arange(len(at)), codes[at] % WIDTH] -= 1
-            d *= share[at]
-            g["w"][k], g["wb"][k] = flat[at].T @ d, d.sum(0)
-            dflat[at] += d @ p["w"][k].T
-    dstates = dflat.reshape(len(inputs), -1, HIDDEN)
-    u, dh = p["u"], np.zeros_like(h)
-    dx = np.empty((*inputs.shape, 3 * HIDDEN), np.float32)
-    for t in range(len(inputs) - 1, -1, -1):
-        before, z, r, n = kept[t]
-        dh = dh + dstates[t]
-        dn = dh * z * (1 - n * n)
-        dz = dh * (n - before) * z * (1 - z)
-        drh = dn @ u[:, 2 * HIDDEN :].T
-        dr = drh * before * r * (1 - r)
-        dzr = np.hstack([dz, dr])
-        g["u"][:, : 2 * HIDDEN] += before.T @ dzr
-        g["u"][:, 2 * HIDDEN :] += (r * before).T @ dn
-        dx[t] = np.hstack([dzr, dn])
-        dh = (dh * (1 - z) + drh * r + dzr @ u[:, : 2 * HIDDEN].T) * ~fresh[t][:, None]
+    kinds, dflat = _classes(codes), np.empty_like(flat)
+    for part in _runs(len(codes)):
+        own = flat[part]
+        d = own @ p["c"]
+        d += p["cb"]
+        _softmax(d)[np.arange(len(d)), kinds[part]] -= 1
+        d *= share[part]
+        g["c"] += own.T @ d
+        g["cb"] += d.sum(0)
+        dflat[part] = d @ p["c"].T
+    order, runs = _by_class(kinds)
+    rows, words, weights, inside = flat[order], codes[order] % WIDTH, share[order], np.empty((len(order), size), kind)
+    for k, part in runs:
+        own = rows[part]
+        d = own @ p["w"][k]
+        d += p["wb"][k]
+        _softmax(d)[np.arange(len(d)), words[part]] -= 1
+        d *= weights[part]
+        g["w"][k] += own.T @ d
+        g["wb"][k] += d.sum(0)
+        inside[part] = d @ p["w"][k].T
+    dflat[order] += inside
+    dstates, dh = dflat.reshape(states.shape), np.zeros_like(h)
+    dx = np.empty((steps, lanes, 3 * size), kind)
+    slopes, bends = gates * (1 - gates), 1 - nears * nears  # derivatives of both gates and of the new part
+    moved = (nears - before) * slopes[:, :, :size]
+    turned = before * slopes[:, :, size:]
+    bends *= gates[:, :, :size]
+    for t in range(steps - 1, -1, -1):
+        dh += dstates[t]
+        dzr, dn = dx[t, :, : 2 * size], dx[t, :, 2 * size :]
+        np.multiply(dh, bends[t], out=dn)
+        drh = dn @ u[:, 2 * size :].T
+        np.multiply(dh, moved[t], out=dzr[:, :size])
+        np.multiply(drh, turned[t], out=dzr[:, size:])
+        dh -= dh * gates[t, :, :size]
+        drh *= gates[t, :, size:]
+        dh += drh
+        dh += dzr @ u[:, : 2 * size].T
+        if fresh[t].any():
+            dh *= ~fresh[t][:, None]
+    rows, had = dx.reshape(-1, 3 * size), before.reshape(-1, size)
+    g["u"][:, : 2 * size] = had.T @ rows[:, : 2 * size]
+    had = had * gates[:, :, size:].reshape(-1, size)
+    g["u"][:, 2 * size :] = had.T @ rows[:, 2 * size :]
     order = np.argsort(inputs.ravel(), kind="stable")
     own = inputs.ravel()[order]
     starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    g["x"][own[starts]] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
+    g["x"][own[starts]] = np.add.reduceat(rows[order], starts, axis=0)
     return g, h
 
 
@@ -173,47 +215,36 @@ def _most(counts: dict[bytes, int], n: int) -> dict[bytes, int]:
     return {w: i + 1 for i, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w))[:n])}
 
 
-def fit(
-    texts: Sequence[str | None], head: dict[bytes, int] | None = None, endings: dict[bytes, int] | None = None, seed: int = 0
-) -> Model:
-    """A model of the given texts, with their own head and endings if none are given; without texts it is even over all codes."""
-    split_texts = [split(t) for t in texts]
-    if head is None:
-        counts = Counter(w for words in split_texts for w in words)
-        head, tails = _most(counts, HEAD - 1), Counter()
-        for w, n in counts.items():
-            if w not in head:
-                tails[w[-2:]] += n
-        endings = _most(tails, ENDINGS - 1)
+def start(words: np.ndarray, ends: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
+    """Weights that give each word of the head (the end first) and each class of endings its share of the counts.
+
+    x is of inputs, u of the state, c and cb of classes, w and wb of words in a class.
+    """
     rng = np.random.default_rng(seed)
 
     def draw(*shape: int) -> np.ndarray:
         return rng.normal(0, 0.1, shape).astype(np.float32)
 
-    p = {
+    words = np.r_[words, np.zeros(HEAD - len(words))].reshape(CLASSES, WIDTH) + 1.0
+    classes = np.r_[words.sum(1), ends + 1.0]
+    return {
         "x": draw(HEAD + ENDINGS, 3 * HIDDEN), "u": draw(HIDDEN, 3 * HIDDEN),
-        "c": draw(HIDDEN, CLASSES + ENDINGS), "cb": np.zeros(CLASSES + ENDINGS, np.float32),
-        "w": draw(CLASSES, HIDDEN, WIDTH), "wb": np.zeros((CLASSES, WIDTH), np.float32),
+        "c": draw(HIDDEN, CLASSES + ENDINGS) / 4, "cb": np.log(classes / classes.sum()).astype(np.float32),
+        "w": draw(CLASSES, HIDDEN, WIDTH) / 4, "wb": np.log(words / words.sum(1, keepdims=True)).astype(np.float32),
     }
-    model = Model(head, endings or {}, p)
-    coded = [np.array([*map(model.code, words), END], np.int64) for words in split_texts]
-    trainer = Trainer(p, LANES, RATE)
-    for _ in range(EPOCHS if coded else 0):
-        trainer.learn([coded[i] for i in rng.permutation(len(coded))])
-    return model
 
 
 class Trainer:
     """Goes on training weights in place; what Adam remembers of the gradients is kept between calls."""
 
-    def __init__(self, p: dict, lanes: int, rate: float) -> None:
-        self.p, self.lanes, self.rate, self.turn = p, lanes, rate, 0
+    def __init__(self, p: dict) -> None:
+        self.p, self.turn = p, 0
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
 
     def learn(self, coded: Sequence[np.ndarray]) -> None:
         """One pass over whole documents, each given as its codes and END."""
         p, stream = self.p, np.concatenate(coded)
-        lanes = max(LANES, min(self.lanes, len(stream) // (WINDOW * 64)))
+        lanes = max(4, min(LANES, len(stream) // (WINDOW * 64)))
         first = np.zeros(len(stream), bool)
         first[np.r_[0, np.cumsum([len(c) for c in coded])[:-1]]] = True
         inputs = np.where(first, END, np.r_[END, stream[:-1]])
@@ -226,12 +257,16 @@ class Trainer:
             g, h = _gradients(p, window[0], window[1], window[2], window[3], h)
             self.turn += 1
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+            rate = RATE * math.sqrt(1 - 0.99**self.turn) / (1 - 0.9**self.turn)
             for k, v in g.items():
-                v = v * min(1.0, 1.0 / (norm + 1e-8))
+                v *= min(1.0, 1.0 / (norm + 1e-8))
                 m, s = self.moments[k]
-                m += 0.1 * (v - m)
-                s += 0.01 * (v * v - s)
-                p[k] -= self.rate * (m / (1 - 0.9**self.turn)) / (np.sqrt(s / (1 - 0.99**self.turn)) + 1e-8)
+                m *= 0.9
+                m += 0.1 * v
+                s *= 0.99
+                v *= v
+                s += 0.01 * v
+                p[k] -= rate * m / (np.sqrt(s) + 1e-8)
 
 
 def _flat(p: dict) -> np.ndarray:
@@ -244,20 +279,27 @@ def _shaped(flat: np.ndarray, like: dict) -> dict:
 
 
 def train_on_all(weights: dict, blocks: DataFrame) -> dict:
-    """Weights after all training documents of blocks (block, flags, counts, codes), each trained on once and whole."""
-    spark, turn = blocks.sparkSession, F.pmod(F.xxhash64("block"), F.lit(TURNS))
-    for at in range(TURNS):
+    """Weights after all training documents of blocks (flags, counts, codes), each trained on once and whole."""
+    spark = blocks.sparkSession
+    schema = "total binary, tokens bigint"
+
+    def summed(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.float64) for x in group["total"])
+        return pa.table([pa.array([total.tobytes()], pa.binary()), pa.array([sum(group["tokens"].to_pylist())], pa.int64())], ["total", "tokens"])
+
+    def learner(turn: int, weights: dict):
         sent = spark.sparkContext.broadcast(weights)
 
         def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p, tokens = {k: v.copy() for k, v in sent.value.items()}, 0
-            trainer = Trainer(p, WIDE, TURN_RATE)
+            trainer = Trainer(p)
             for batch in batches:
                 for i in range(len(batch)):  # a block at a time
-                    row = {n: batch.column(n)[i].as_py() for n in ("flags", "counts", "codes")}
-                    ends = np.cumsum(unpack_numbers(row["counts"], np.uint32).astype(np.int64))[:-1]
-                    documents = np.split(unpack_numbers(row["codes"], np.uint16), ends)
-                    own = [d.astype(np.int64) for d, used in zip(documents, row["flags"]) if used]
+                    flags, counts, codes = (batch.column(n)[i].as_py() for n in ("flags", "counts", "codes"))
+                    ends = np.cumsum(unpack_numbers(counts, np.uint32).astype(np.int64))[:-1]
+                    documents = np.split(unpack_numbers(codes, np.uint16), ends)
+                    used = [d for d, flag in zip(documents, flags) if flag]
+                    own = [d.astype(np.int64) for d in used[turn::TURNS]]
                     if own:
                         trainer.learn(own)
                         tokens += sum(map(len, own))
@@ -265,18 +307,15 @@ def train_on_all(weights: dict, blocks: DataFrame) -> dict:
                 total = (_flat(p).astype(np.float64) * tokens).tobytes()
                 yield pa.record_batch([pa.array([total], pa.binary()), pa.array([tokens], pa.int64())], ["total", "tokens"])
 
-        def summed(group: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x.as_py(), np.float64) for x in group["total"])
-            tokens = sum(group["tokens"].to_pylist())
-            return pa.table([pa.array([total.tobytes()], pa.binary()), pa.array([tokens], pa.int64())], ["total", "tokens"])
-
-        schema = "total binary, tokens bigint"
-        parts = blocks.where(turn == at).select("flags", "counts", "codes").mapInArrow(learned, schema)
-        dealt = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(SUMS)))
-        sums = dealt.groupBy("part").applyInArrow(lambda g: summed(g.select(["total", "tokens"])), schema).collect()  # SUMS rows
-        tokens = sum(r["tokens"] for r in sums)
-        if tokens:
-            weights = _shaped(sum(np.frombuffer(r["total"], np.float64) for r in sums) / tokens, weights)
+        return learned
+
+    for turn in range(TURNS):
+        parts = blocks.select("flags", "counts", "codes").mapInArrow(learner(turn, weights), schema)
+        few = F.lit(math.isqrt(shuffles(spark)) + 1)  # a row for each task is summed in two levels
+        some = parts.withColumn("part", F.pmod(F.spark_partition_id(), few)).groupBy("part").applyInArrow(summed, schema)
+        sums = some.groupBy().applyInArrow(summed, schema).collect()  # one row
+        if sums:
+            weights = _shaped(np.frombuffer(sums[0]["total"], np.float64) / sums[0]["tokens"], weights)
     return weights
 
 
@@ -317,12 +356,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     Tokens are lower-cased words and one end; null and empty texts have the end alone. Scores are log10 of the whole
     text's probability. Rows with a null key are training rows; repeated rows count as often as they are there and
-    are scored each. Other columns are left out; an empty table gives an empty one. The input must give the same rows
-    in the same order each time it is read.
+    are scored each. Texts of any length are learned from and scored whole; one is never split over blocks. Other columns
+    are left out, so their names don't matter; an empty table gives an empty one. The input is read once.
     """
     spark = docs.sparkSession
-    train = ~held_out(F.col(key))
-    n_train = docs.where(train).count()
     buckets = 2 * shuffles(spark)
 
     def counted(group: pa.Table) -> pa.Table:
@@ -357,7 +394,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         types = [pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.struct([(n, pa.list_(k)) for n, k in lists])]
         return pa.table([pa.array(v, k) for v, k in zip(out, types)], ["bucket", "block", "numbers", "counts", "kinds", "sums"])
 
-    words = wordblocks.word_rows(docs, Words, buckets, key, text, train)
+    words, streams = wordblocks.both_rows(docs, Words, buckets, key, text, ~held_out(F.col(key)))
+    n_train = streams.agg(F.sum(F.size(F.filter("flags", lambda x: x)))).first()[0] or 0
     sums_schema = "struct<top: array<binary>, top_n: array<bigint>, kinds: array<bigint>, kinds_n: array<bigint>, kinds_words: array<bigint>>"
     counts = cut(
         words.groupBy("bucket").applyInArrow(counted, f"bucket int, block string, numbers binary, counts binary, kinds binary, sums {sums_schema}")
@@ -379,16 +417,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         class_of[k] = endings.get(_ending(k), 0)
         ends[:, class_of[k]] += own
     outside = np.log10(ends[0] + ends[1] + 1)
-    head_of = np.zeros((buckets, HEAD - 1), np.uint16)  # by bucket and place there
+    head_of: dict[int, np.ndarray] = {}  # of each bucket, by place there
     for i, r in enumerate(head):
-        head_of[r["bucket"], r["place"]] = i + 1
-
-    spread = F.pmod(F.xxhash64(key), F.lit(1 << 30))
-    start = F.substring(F.col(text), 1, SAMPLE_CHARS)
-    some = docs.where(train).select(F.col(key).alias("k"), start.alias("t"), spread.alias("at"))
-    few = some.where(F.col("at") <= int(4 * SAMPLE_DOCS / max(n_train, 1) * (1 << 30)))  # so that no task sends many texts
-    sample = few.orderBy("at", "k", "t").limit(SAMPLE_DOCS).collect()
-    first = fit([r["t"] for r in sample], {bytes(r["top"]): i + 1 for i, r in enumerate(head)}, endings)
+        own = head_of.setdefault(r["bucket"], np.zeros(HEAD - 1, np.uint16))
+        own[r["place"]] = i + 1
+    none = np.zeros(HEAD - 1, np.uint16)
+    first = start(np.array([n_train, *[r["top_n"] for r in head]], float), ends[0])
 
     def coded(streams: pa.Table, rows: pa.Table) -> pa.Table:
         own = wordblocks.whole(streams, rows)
@@ -398,7 +432,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             c[at] = unpack_numbers(row["counts"], np.int64)
             kinds = unpack_numbers(row["kinds"], np.uint32)
             place = kinds // KINDS  # 0 if it is not among its bucket's most frequent ones
-            in_head = np.where(place > 0, head_of[row["bucket"], np.maximum(place, 1) - 1], 0)
+            in_head = np.where(place > 0, head_of.get(row["bucket"], none)[np.maximum(place, 1) - 1], 0)
             codes[at] = np.where(in_head > 0, in_head, HEAD + class_of[kinds % KINDS])
         logs = np.log10(c + 1.0)
         inside = np.where(codes >= HEAD, logs - outside[np.maximum(codes, HEAD) - HEAD], 0.0)
@@ -422,11 +456,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         return pa.table(columns, ["block", "keys", "flags", "n_known", "base", "within", "counts", "codes"])
 
     kind = docs.schema[key].dataType.simpleString()
-    streams = wordblocks.stream_rows(docs, Words, key, text, train)
     back = counts.where(F.col("block").isNotNull()).drop("sums")
     schema = f"block string, keys array<{kind}>, flags array<boolean>, n_known array<bigint>, base array<double>, within array<double>, counts binary, codes binary"
     blocks = cut(streams.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(coded, schema))
-    weights = spark.sparkContext.broadcast(train_on_all(first.weights, blocks))
+    weights = spark.sparkContext.broadcast(train_on_all(first, blocks))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,11 +1,13 @@
 """Texts as blocks of word numbers, with the distinct words of all blocks met in one place.
 
 A block is a bounded run of one partition's documents: a dictionary of its distinct words, and each document as the
-numbers of its words by position. Two passes over the same input give two tables:
+numbers of its words by position. They are two kinds of rows:
 
     word_rows:   (bucket, block, words, sizes, numbers, weights)  the dictionaries, dealt by a hash of the word
     stream_rows: (block, n_words, keys, flags, counts, stream)    the documents
 
+``both_rows`` makes them in one pass over the input and writes them; the other two take a pass each and write nothing.
+
 Whatever is known of a word is found once for each distinct word, in the group of its bucket, and sent back to the
 blocks that have it, a row for each block and bucket; then a block's documents are put together again by position.
 A block's name holds a checksum over its dictionary and its documents, so if the input should not read the same
@@ -25,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import cut
 from tidemill.llm.packing import pack_numbers, split_by, unpack_numbers
 
 #: Words by position, and distinct words, from which a block is full.
@@ -76,32 +79,63 @@ def _rows(docs: DataFrame, key: str, text: str, flag: Column | None) -> DataFram
     return docs.select(F.col(key).alias("key"), flag.alias("flag"), F.col(text).alias("text"))
 
 
+def _dictionary(block: Block, buckets: int) -> Iterator[tuple]:
+    """The block's row of each bucket."""
+    press, words = zstandard.ZstdCompressor(level=1), block.words
+    weights = np.zeros(len(words), np.uint32)
+    for stream, counted in zip(block.streams, block.flags):
+        if counted:
+            np.add.at(weights, stream, 1)
+    dealt = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
+    for bucket, at in split_by(dealt, buckets):
+        own = [words[i] for i in at]
+        sizes = np.fromiter(map(len, own), np.uint32, len(own))
+        yield (
+            bucket, block.name, press.compress(b"".join(own)), pack_numbers(sizes),
+            pack_numbers(np.diff(at, prepend=0).astype(np.uint32)), pack_numbers(weights[at]),
+        )
+
+
+def _documents(block: Block) -> tuple:
+    counts = np.fromiter(map(len, block.streams), np.uint32, len(block.streams))
+    stream = np.concatenate(block.streams).astype(np.uint32)
+    return block.name, len(block.words), block.keys, block.flags, pack_numbers(counts), pack_numbers(stream)
+
+
+_WORD_TYPES = [pa.int32(), pa.string()] + [pa.binary()] * 4
+_WORD_NAMES = ["bucket", "block", "words", "sizes", "numbers", "weights"]
+_STREAM_NAMES = ["block", "n_words", "keys", "flags", "counts", "stream"]
+
+
+def _stream_types(key: pa.DataType) -> list[pa.DataType]:
+    return [pa.string(), pa.int32(), pa.list_(key), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
+
+
+def _made(row: tuple, types: list, names: list) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([v], k) for v, k in zip(row, types)], names)
+
+
+def _typed(batches: Iterator[pa.RecordBatch], splitter: Callable) -> Iterator[tuple[Block, pa.DataType]]:
+    """Each block, and the type of its keys."""
+    kind = pa.null()
+
+    def seen() -> Iterator[pa.RecordBatch]:
+        nonlocal kind
+        for b in batches:
+            kind = b.schema.field(0).type
+            yield b
+
+    for block in _blocks(seen(), splitter):
+        yield block, kind
+
+
 def word_rows(docs: DataFrame, splitter: Callable, buckets: int, key: str, text: str, flag: Column | None = None) -> DataFrame:
     """The dictionaries; weights are how often the block's flagged documents have each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
         for block in _blocks(batches, splitter):
-            words = block.words
-            weights = np.zeros(len(words), np.uint32)
-            for stream, counted in zip(block.streams, block.flags):
-                if counted:
-                    np.add.at(weights, stream, 1)
-            dealt = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
-            for bucket, at in split_by(dealt, buckets):
-                own = [words[i] for i in at]
-                sizes = np.fromiter(map(len, own), np.uint32, len(own))
-                values = [
-                    [bucket],
-                    [block.name],
-                    [press.compress(b"".join(own))],
-                    [pack_numbers(sizes)],
-                    [pack_numbers(np.diff(at, prepend=0).astype(np.uint32))],
-                    [pack_numbers(weights[at])],
-                ]
-                kinds = [pa.int32(), pa.string()] + [pa.binary()] * 4
-                names = ["bucket", "block", "words", "sizes", "numbers", "weights"]
-                yield pa.record_batch([pa.array(v, k) for v, k in zip(values, kinds)], names)
+            for row in _dictionary(block, buckets):
+                yield _made(row, _WORD_TYPES, _WORD_NAMES)
 
     return _rows(docs, key, text, flag).mapInArrow(run, WORD_ROWS)
 
@@ -109,34 +143,33 @@ def word_rows(docs: DataFrame, splitter: Callable, buckets: int, key: str, text:
 def stream_rows(docs: DataFrame, splitter: Callable, key: str, text: str, flag: Column | None = None) -> DataFrame:
     """The documents as numbers of words."""
     kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, arrow in _typed(batches, splitter):
+            yield _made(_documents(block), _stream_types(arrow), _STREAM_NAMES)
+
     schema = f"block string, n_words int, keys array<{kind}>, flags array<boolean>, counts binary, stream binary"
-    typed = _rows(docs, key, text, flag)
+    return _rows(docs, key, text, flag).mapInArrow(run, schema)
+
+
+def both_rows(
+    docs: DataFrame, splitter: Callable, buckets: int, key: str, text: str, flag: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(word_rows, stream_rows), read back from one table, so that the input is read and split once."""
+    kind = docs.schema[key].dataType.simpleString()
+    names = [*_WORD_NAMES, *_STREAM_NAMES[1:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = None
-
-        def seen() -> Iterator[pa.RecordBatch]:
-            nonlocal arrow
-            for b in batches:
-                arrow = b.schema.field(0).type
-                yield b
-
-        for block in _blocks(seen(), splitter):
-            stream = np.concatenate(block.streams)
-            counts = np.fromiter(map(len, block.streams), np.uint32, len(block.streams))
-            yield pa.record_batch(
-                [
-                    pa.array([block.name]),
-                    pa.array([len(block.words)], pa.int32()),
-                    pa.array([block.keys], pa.list_(arrow)),
-                    pa.array([block.flags], pa.list_(pa.bool_())),
-                    pa.array([pack_numbers(counts)], pa.binary()),
-                    pa.array([pack_numbers(stream.astype(np.uint32))], pa.binary()),
-                ],
-                ["block", "n_words", "keys", "flags", "counts", "stream"],
-            )
-
-    return typed.mapInArrow(run, schema)
+        for block, arrow in _typed(batches, splitter):
+            types = [*_WORD_TYPES, *_stream_types(arrow)[1:]]
+            for row in _dictionary(block, buckets):
+                yield _made((*row, *[None] * 5), types, names)
+            name, *rest = _documents(block)
+            yield _made((None, name, *[None] * 4, *rest), types, names)
+
+    rest = f"n_words int, keys array<{kind}>, flags array<boolean>, counts binary, stream binary"
+    made = cut(_rows(docs, key, text, flag).mapInArrow(run, f"{WORD_ROWS}, {rest}"))
+    return made.where("bucket IS NOT NULL").select(_WORD_NAMES), made.where("bucket IS NULL").select(_STREAM_NAMES)
 
 
 def words_in(row: dict) -> tuple[list[bytes], np.ndarray, np.ndarray]:
