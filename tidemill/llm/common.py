@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
 
-#: str.translate table that lower-cases A-Z and nothing else.
-LOWER_AZ = {c: c + 32 for c in range(65, 91)}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -28,6 +26,12 @@ def lower_az(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def lower_words(text: str | bytes | None) -> list[bytes]:
+    """Words of a text with A-Z in lower case, in UTF-8; null has none."""
+    data = text if isinstance(text, bytes) else (text or "").encode("utf-8", "replace")
+    return data.lower().split()  # of bytes: A-Z alone, and words between space, tab, LF, VT, FF and CR
+
+
 def n_words(c: Column) -> Column:
     """Number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")

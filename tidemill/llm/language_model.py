@@ -25,13 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import wordblocks
-from tidemill.llm.common import LOWER_AZ, Numbering, cut, shuffles, table
+from tidemill.llm.common import Numbering, cut, lower_words, shuffles, table
 from tidemill.llm.packing import pack_numbers, unpack_numbers
 
 #: Classes with a softmax of their own, words of each, and classes by the end of a word.
-CLASSES, WIDTH, ENDINGS = 32, 48, 32
+CLASSES, WIDTH, ENDINGS = 24, 48, 24
 HEAD = CLASSES * WIDTH
-HIDDEN, WINDOW = 32, 32
+HIDDEN, WINDOW = 24, 32
 #: Turns of training, each on a part of the documents; streams that are trained on side by side at most; step of Adam.
 TURNS, LANES, RATE = 4, 128, 0.005
 #: Rows of a softmax that are worked on together.
@@ -63,7 +63,7 @@ class Words:
 
 
 def split(text: str | None) -> list[bytes]:
-    return (text or "").translate(LOWER_AZ).encode("utf-8", "replace").split()
+    return lower_words(text)
 
 
 def _kind(word: bytes) -> int:
@@ -203,10 +203,8 @@ def _gradients(p: dict, inputs: np.ndarray, outputs: np.ndarray, fresh: np.ndarr
     g["u"][:, : 2 * size] = had.T @ rows[:, : 2 * size]
     had = had * gates[:, :, size:].reshape(-1, size)
     g["u"][:, 2 * size :] = had.T @ rows[:, 2 * size :]
-    order = np.argsort(inputs.ravel(), kind="stable")
-    own = inputs.ravel()[order]
-    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    g["x"][own[starts]] = np.add.reduceat(rows[order], starts, axis=0)
+    cells = (inputs.reshape(-1, 1) * (3 * size) + np.arange(3 * size)).ravel()
+    g["x"] = np.bincount(cells, rows.ravel(), g["x"].size).reshape(g["x"].shape).astype(kind)
     return g, h
 
 
@@ -401,8 +399,23 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         words.groupBy("bucket").applyInArrow(counted, f"bucket int, block string, numbers binary, counts binary, kinds binary, sums {sums_schema}")
     )
     sums = counts.where(F.col("block").isNull()).select("bucket", "sums.*")
-    tops = sums.select("bucket", F.posexplode(F.arrays_zip("top", "top_n")).alias("place", "t")).select("bucket", "place", "t.top", "t.top_n")
-    head = tops.orderBy(F.desc("top_n"), "top").limit(HEAD - 1).collect()
+
+    def merged(group: pa.Table) -> pa.Table:
+        """The most frequent words of several buckets' lists, in one row."""
+        rows = [x for r in group.to_pylist() for x in zip(r["top"], r["top_n"], r["bucket"], r["place"])]
+        rows = sorted(rows, key=lambda x: (-x[1], x[0]))[: HEAD - 1]
+        kinds = pa.binary(), pa.int64(), pa.int32(), pa.int32()
+        lists = [pa.array([list(c)], pa.list_(k)) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)]
+        return pa.table(lists, ["top", "top_n", "bucket", "place"])
+
+    merged_schema = "top array<binary>, top_n array<bigint>, bucket array<int>, place array<int>"
+    same = F.transform("top", lambda _: F.col("bucket")).alias("bucket")
+    place = F.transform("top", lambda _, i: i).alias("place")
+    part = F.pmod("bucket", F.lit(math.isqrt(buckets))).alias("part")
+    tops = sums.select("top", "top_n", same, place, part).groupBy("part").applyInArrow(merged, merged_schema)
+    most = tops.groupBy().applyInArrow(merged, merged_schema).collect()  # one row
+    names = "top", "top_n", "bucket", "place"
+    head = [dict(zip(names, x)) for r in most for x in zip(*(r[n] for n in names))]
     by_kind = sums.select(F.explode(F.arrays_zip("kinds", "kinds_n", "kinds_words")).alias("t")).select("t.*")
     # two bytes have so many values
     rows = by_kind.groupBy("kinds").agg(F.sum("kinds_n").alias("n"), F.sum("kinds_words").alias("words")).collect()

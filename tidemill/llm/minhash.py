@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import LOWER_AZ, cut, pieces, shuffles, table
+from tidemill.llm.common import cut, lower_words, pieces, shuffles, table
 from tidemill.llm.hashing import WordHashes, mix, rolling
 
 #: 32 bands of 4: a pair with likeness 0.8 shares no band with a chance of 4e-8.
@@ -45,9 +45,9 @@ _ADD = _rng.integers(0, 2**32, (HASHES, 1), dtype=np.uint32)
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
-def shingles(text: str | None, words: WordHashes, size: int) -> np.ndarray:
+def shingles(text: str | bytes | None, words: WordHashes, size: int) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles of lower-cased words; a shorter text is one shingle."""
-    found = words.of((text or "").translate(LOWER_AZ).encode("utf-8", "replace").split())
+    found = words.of(lower_words(text))
     if len(found) >= size:
         return np.unique(rolling(found, size))
     return rolling(found, len(found)) + np.uint64(len(found)) if len(found) else np.zeros(0, np.uint64)
@@ -88,7 +88,7 @@ def signatures(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
         words = WordHashes()
         for batch in pieces(batches):
             rows: list[tuple] = []
-            for t in batch.column(1):
+            for t in batch.column(1).cast(pa.binary()):
                 items = shingles(t.as_py(), words, size)
                 if len(items):
                     least = minima(items)
@@ -134,7 +134,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, size: int, key: s
         words, last, held = WordHashes(), None, None
         for batch in pieces(batches):
             keep = []
-            for x, y in zip(batch.column("text_a"), batch.column("text_b")):
+            for x, y in zip(batch.column("text_a").cast(pa.binary()), batch.column("text_b").cast(pa.binary())):
                 x, y = x.as_py(), y.as_py()
                 if y != last:
                     last, held = y, shingles(y, words, size)

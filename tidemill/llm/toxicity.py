@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import LOWER_AZ, table
+from tidemill.llm.common import lower_words, table
 
 #: Words of a window.
 WINDOW = 8
@@ -60,7 +60,7 @@ class Model:
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").translate(LOWER_AZ).encode("utf-8", "replace").split()
+    return lower_words(text)
 
 
 def windows_of(words: Sequence[bytes]) -> list[bytes]:

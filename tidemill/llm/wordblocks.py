@@ -82,10 +82,8 @@ def _rows(docs: DataFrame, key: str, text: str, flag: Column | None) -> DataFram
 def _dictionary(block: Block, buckets: int) -> Iterator[tuple]:
     """The block's row of each bucket."""
     press, words = zstandard.ZstdCompressor(level=1), block.words
-    weights = np.zeros(len(words), np.uint32)
-    for stream, counted in zip(block.streams, block.flags):
-        if counted:
-            np.add.at(weights, stream, 1)
+    counted = [s for s, flag in zip(block.streams, block.flags) if flag]
+    weights = np.bincount(np.concatenate([*counted, np.zeros(0, np.uint32)]), minlength=len(words)).astype(np.uint32)
     dealt = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
     for bucket, at in split_by(dealt, buckets):
         own = [words[i] for i in at]
