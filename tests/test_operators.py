@@ -1,6 +1,7 @@
 """Small cases of operators that SQL does not cover, plan hygiene, and batch against stream."""
 
 import datetime
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,10 +49,43 @@ def test_no_repeat_batches(spark):
     pairs = spark.createDataFrame([(i, i % 3) for i in range(20)], "query_id long, chunk_id long")
     rows = corpus.no_repeat_batches(pairs, 2).collect()
     assert len(rows) == 20
-    seen = [(x.layer, x.range, x.batch, x.chunk_id) for x in rows]
+    seen = [(x.layer, x.batch, x.chunk_id) for x in rows]
     assert len(set(seen)) == 20
 
 
+def test_batches_are_full(spark):
+    pairs = spark.createDataFrame([(i, i % 64) for i in range(64 + 5)], "query_id long, chunk_id long")
+    rows = corpus.no_repeat_batches(pairs, 16).collect()
+    sizes = Counter((x.layer, x.batch) for x in rows)
+    assert sizes == {(0, 0): 16, (0, 1): 16, (0, 2): 16, (0, 3): 16, (1, 0): 5}
+
+
+def test_perturbations(spark):
+    texts = ["Tôi không biết ĐƯỜNG nào, bạn ơi", "plain words only", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    names = ["no_diacritics", "abbreviations", "telex", "typos", "no_spaces", "chat_mix"]
+    rows = {(r.id, r.name): r.variant for r in corpus.perturb(df, names).collect()}
+    assert rows == {(r.id, r.name): r.variant for r in corpus.perturb(df.repartition(3), names).collect()}
+    assert rows[0, "no_diacritics"] == "Toi khong biet DUONG nao, ban oi"
+    words = rows[0, "abbreviations"].split()
+    assert words[0] == "t" and words[1] in ("ko", "k", "hok", "kh") and words[2] in ("bít", "bik", "bt") and words[5] == "b"
+    assert all(rows[1, n] == texts[1] for n in ("no_diacritics", "abbreviations", "telex", "chat_mix")) and rows[2, "typos"] == ""
+    assert rows[1, "no_spaces"].replace(" ", "") == "plainwordsonly" and rows[3, "typos"] is None
+
+
+def test_telex(spark):
+    want = {"đường": "dduwowngf", "Ấm": "Aams", "ĐẮP": "DDAwPs", "nghiêng": "nghieeng", "quỵ": "quyj", "abc": "abc", "thuở": "thuowr"}
+    df = spark.createDataFrame([(w,) for w in want], "t string")
+    assert [r[0] for r in df.select(corpus.telex_keys(F.col("t"))).collect()] == list(want.values())
+
+
+def test_typos_drop_or_swap(spark):
+    text = "abcdefghij " * 400
+    (r,) = corpus.perturb(spark.createDataFrame([(1, text)], "id int, text string"), ["typos"]).collect()
+    lost = len(text) - len(r.variant)
+    assert 0.01 < lost / 4000 < 0.05 and Counter(r.variant) - Counter(text) == Counter() and r.variant != text.replace("a", "")
+
+
 def test_dedup_near(spark):
     rows = [(0, 0, [1.0, 0.0]), (1, 0, [0.999, 0.01]), (2, 0, [0.0, 1.0]), (3, 1, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")

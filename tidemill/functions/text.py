@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -58,19 +59,28 @@ def normalize_chat(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(plain, " +", " "), r" ?\n[ \n]*", "\n"))
 
 
-#: Short forms of Vietnamese chat and what they stand for.
+#: Short forms of Vietnamese chat with one clear meaning, and those that mean a unit after a number.
 SHORTHANDS = {
-    "ko": "không", "k": "không", "dc": "được", "đc": "được", "vs": "với", "mn": "mọi người", "bn": "bao nhiêu", "ntn": "như thế nào",
+    "ko": "không", "k": "không", "hok": "không", "dc": "được", "đc": "được", "j": "gì", "v": "vậy", "z": "vậy",
+    "r": "rồi", "rùi": "rồi", "vs": "với", "ntn": "như thế nào", "bnh": "bao nhiêu", "mn": "mọi người",
+    "sđt": "số điện thoại", "sdt": "số điện thoại", "cty": "công ty", "vn": "Việt Nam", "bít": "biết", "bik": "biết",
+    "ng": "người", "mk": "mình", "mik": "mình", "chx": "chưa", "trc": "trước", "nhìu": "nhiều", "cg": "cũng",
+    "thui": "thôi", "lm": "làm", "wá": "quá", "qá": "quá",
 }
+AFTER_NUMBERS = ("k",)
 
 
-def expand_shorthands(c: Column, words: dict[str, str] = SHORTHANDS) -> Column:
-    """Whole-word short forms written out; a single k after a digit stays, as it means thousands."""
+def expand_shorthands(c: Column, words: dict[str, str] = SHORTHANDS, kept: Sequence[str] = AFTER_NUMBERS) -> Column:
+    """Whole-word short forms written out, but not inside dotted or hyphenated tokens.
+
+    Those of ``kept`` stay after a number. One search finds the texts that have any, and only they are rewritten.
+    """
+    flags, before, after = "(?iuU)", r"(?<!\w)(?<!\w[.\-])", r"(?!\w)(?![.\-]\w)"
     out = c
     for short, full in words.items():
-        before = r"(?<![\w])(?<!\d )" if short == "k" else r"(?<![\w])"
-        out = F.regexp_replace(out, rf"(?iuU){before}{short}(?![\w])", full)
-    return out
+        unless = r"(?<!\d\s)(?<!\d)" if short in kept else ""
+        out = F.regexp_replace(out, f"{flags}{before}{unless}{short}{after}", full)
+    return F.when(c.rlike(f"{flags}{before}(?:{'|'.join(words)}){after}"), out).otherwise(c)
 
 
 def unaccented(c: Column, function_words: list[str], least: int = 3) -> Column:

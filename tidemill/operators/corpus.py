@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -328,36 +329,98 @@ def train_val_split(questions: DataFrame, seed: int = 13) -> DataFrame:
 
 
 def no_repeat_batches(pairs: DataFrame, size: int) -> DataFrame:
-    """(layer, batch): batches of at most ``size`` in which a chunk is at most once; every pair is in one.
+    """(layer, batch): batches of ``size`` in which a chunk is at most once; every pair is in one.
 
-    A layer is the n-th pair of each chunk; within a layer, hashes deal pairs to ranges that are numbered by themselves.
+    A layer is the n-th pair of each chunk. Its pairs are numbered through: within ranges of a hash, each range going on
+    from the sizes of those before, so that no layer is one task's work and only its last batch may be short.
     """
     layer = F.row_number().over(W.partitionBy("chunk_id").orderBy("query_id")) - 1
-    spread = F.pmod(F.xxhash64("chunk_id"), F.lit(64))
+    dealt = pairs.withColumn("layer", layer).withColumn("range", F.pmod(F.xxhash64("chunk_id"), F.lit(64)).cast("int"))
+    sizes = dealt.groupBy("layer", "range").agg(F.count("*").alias("n"))
+    before = W.partitionBy("layer").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    begins = sizes.select("layer", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
     place = F.row_number().over(W.partitionBy("layer", "range").orderBy("chunk_id")) - 1
-    dealt = pairs.withColumn("layer", layer).withColumn("range", spread)
-    return dealt.withColumn("batch", F.floor(place / size)).select(*pairs.columns, "layer", "range", "batch")
+    return dealt.join(begins, ["layer", "range"]).withColumn("batch", F.floor((F.col("begin") + place) / size)).select(*pairs.columns, "layer", "batch")
+
+
+#: Full forms and the short ones that people type for them; percent of accented words left as Telex keys, of
+#: letters mistyped and of spaces left out; the Telex keys of tones.
+SHORT_FORMS = {
+    "như thế nào": ("ntn",), "số điện thoại": ("sđt", "sdt"), "thế nào": ("ntn",), "bao nhiêu": ("bn", "bnh"), "bây giờ": ("bh", "bjo"),
+    "mọi người": ("mn", "mng"), "trả lời": ("tl",), "tại sao": ("tại s", "ts"), "công ty": ("cty",), "thông tin": ("tt",), "hồ sơ": ("hs",),
+    "điện thoại": ("đt", "dt"), "việt nam": ("vn",), "không": ("ko", "k", "hok", "kh"), "được": ("dc", "đc", "đk"), "gì": ("j",), "vậy": ("v", "z"),
+    "rồi": ("r", "rùi"), "với": ("vs",), "biết": ("bít", "bik", "bt"), "người": ("ng",), "mình": ("mk", "mik"), "chưa": ("chx",), "trước": ("trc",),
+    "nhiều": ("nhìu",), "cũng": ("cg",), "thôi": ("thui",), "đang": ("đg",), "làm": ("lm",), "quá": ("wá", "qá"), "sao": ("s",), "anh": ("a",),
+    "em": ("e",), "chị": ("c",), "bạn": ("b",), "tôi": ("t",), "triệu": ("tr",), "nghìn": ("k",),
+}
+TELEX_PERCENT, TYPO_PERCENT, SPACE_PERCENT = 30, 5, 30
+TONES = {"\u0301": "s", "\u0300": "f", "\u0309": "r", "\u0303": "x", "\u0323": "j"}
+
+#: Vowels with a shape, and what is typed for them; of all letters with a tone: the letter without it, and the tone's key.
+_SHAPES = {"ă": "aw", "â": "aa", "ê": "ee", "ô": "oo", "ơ": "ow", "ư": "uw", "đ": "dd"}
+_SHAPES |= {x.upper(): ("DD" if x == "đ" else keys[0].upper() + keys[1]) for x, keys in _SHAPES.items()}
+_TONED = {
+    unicodedata.normalize("NFC", vowel + mark): (vowel, key)
+    for low in "aăâeêioôơuưy" for vowel in (low, low.upper()) for mark, key in TONES.items()
+}
+_ACCENTED = "".join([*_TONED, *_SHAPES])
+_BARE = "".join([*(_SHAPES.get(v, v)[0] for v, _ in _TONED.values()), *(keys[0] for keys in _SHAPES.values())])
+
+
+def telex_keys(word: Column) -> Column:
+    """What is typed for a word: shapes after their letter, its last tone at the end."""
+    toned = "".join(_TONED)
+    out = F.translate(word, toned, "".join(v for v, _ in _TONED.values()))
+    for letter, keys in _SHAPES.items():
+        out = F.replace(out, F.lit(letter), F.lit(keys))
+    tone = F.translate(F.regexp_extract(word, f"([{toned}])[^{toned}]*$", 1), toned, "".join(key for _, key in _TONED.values()))
+    return F.concat(out, tone)
 
 
 def perturb(texts: DataFrame, names: Sequence[str], seed: int = 13) -> DataFrame:
-    """(id, name, variant) of every text and perturbation; the same seed, name and text give the same variant."""
+    """(id, name, variant) of every text and perturbation; the same seed, name and text give the same variant.
 
-    def drawn(text: Column, name: str, share: int, change) -> Column:
-        chars = F.split(text, "")
-        hit = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.lit(name), text, i), F.lit(100)) < share
-        return F.array_join(F.transform(chars, lambda ch, i: F.when(hit(i), change(ch)).otherwise(ch)), "")
-
-    t = F.col("text")
+    A text is hashed once for each perturbation; what happens to a place depends on that hash and the place.
+    """
+    t, chars = F.col("text"), F.col("__chars")
+
+    def draw(name: str, *place) -> Column:
+        return F.pmod(F.xxhash64(F.col(f"__{name}"), *place), F.lit(100))
+
+    def abbreviated(name: str) -> Column:
+        out = t
+        for full in sorted(SHORT_FORMS, key=len, reverse=True):
+            short = F.array(*[F.lit(x) for x in SHORT_FORMS[full]])
+            chosen = F.get(short, F.pmod(draw(name, F.lit(full)), F.lit(len(SHORT_FORMS[full]))).cast("int"))
+            out = F.regexp_replace(out, F.lit(rf"(?iuU)(?<!\w){full}(?!\w)"), chosen)
+        return out
+
+    def mistyped() -> Column:
+        """Of the letters drawn, half change places with the letter after them, half go."""
+        def swaps(i: Column) -> Column:
+            letters = F.get(chars, i).rlike(r"\p{L}") & F.get(chars, i + 1).rlike(r"\p{L}")
+            return F.coalesce((draw("typos", i) < TYPO_PERCENT) & (draw("typos", i, F.lit(1)) < 50) & letters, F.lit(False))
+
+        def typed(ch: Column, i: Column) -> Column:
+            swapped, taken = swaps(i) & ~swaps(i - 1), swaps(i - 1) & ~swaps(i - 2)
+            gone = (draw("typos", i) < TYPO_PERCENT) & ch.rlike(r"\p{L}") & ~swaps(i)
+            return F.when(taken, "").when(swapped, F.concat(F.get(chars, i + 1), ch)).when(gone, "").otherwise(ch)
+
+        return F.array_join(F.transform(chars, typed), "")
+
+    words = F.regexp_extract_all(t, F.lit(r"(?U)\w+|\W+"), F.lit(0))
+    accented = f"[{_ACCENTED}]"
     how = {
-        "no_diacritics": tx.fold(t),
-        "no_spaces": drawn(t, "no_spaces", 30, lambda ch: F.when(ch == " ", "").otherwise(ch)),
-        "typos": drawn(t, "typos", 5, lambda ch: F.when(ch.rlike("[a-z]"), F.translate(ch, "abcdefghijklmnopqrstuvwxyz", "bcdefghijklmnopqrstuvwxyza")).otherwise(ch)),
-        "abbreviations": F.regexp_replace(F.regexp_replace(t, r"\bkhông\b", "ko"), r"\bthe\b", "d"),
-        "telex": F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "đ", "dd"), "[âầấ]", "aa"), "[êềế]", "ee"),
+        "no_diacritics": F.translate(t, _ACCENTED, _BARE),
+        "no_spaces": F.array_join(F.transform(chars, lambda ch, i: F.when((ch == " ") & (draw("no_spaces", i) < SPACE_PERCENT), "").otherwise(ch)), ""),
+        "typos": mistyped(),
+        "abbreviations": abbreviated("abbreviations"),
+        "telex": F.array_join(F.transform(words, lambda w, i: F.when(w.rlike(accented) & (draw("telex", i) < TELEX_PERCENT), telex_keys(w)).otherwise(w)), ""),
+        "chat_mix": F.translate(abbreviated("chat_mix"), _ACCENTED, _BARE),
     }
-    how["chat_mix"] = F.lower(F.regexp_replace(how["abbreviations"], r"[.,!?;:]", ""))
+    hashed = texts.withColumns({f"__{n}": F.xxhash64(F.lit(seed), F.lit(n), t) for n in names}).withColumn("__chars", F.split(t, ""))
     variants = F.array(*[F.struct(F.lit(n).alias("name"), how[n].alias("variant")) for n in names])
-    return texts.select("id", F.explode(variants).alias("v")).select("id", "v.name", "v.variant")
+    return hashed.select("id", F.explode(variants).alias("v")).select("id", "v.name", "v.variant")
 
 
 def stale_embeddings(chunks: DataFrame, model: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -15,6 +18,8 @@ from tidemill.operators.relational import neighbours
 K1, B, EPSILON, RRF_K, WEIGHT = 1.5, 0.75, 0.25, 60, 0.7
 #: Rows of a side that is broadcast, at most.
 BROADCAST_ROWS = 20_000
+#: Scores that a task works out together.
+CELLS = 1 << 20
 
 
 def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -48,30 +53,72 @@ def corpus_stats(chunks: DataFrame, text: str) -> tuple[int, float]:
 def bm25(queries: DataFrame, chunks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(query_id, key, bm25) of queries (query_id, query) over chunks that share a term.
 
-    Query terms meet postings by an equi-join, so only matching terms are touched; a repeated query term counts again.
-    Query terms go before the statistics, so that only their postings are shuffled again.
+    A repeated query term counts again. Two passes over the texts: one counts in how many chunks each term is (and, in
+    the row of the null term, chunks and tokens), combined before its shuffle; the other keeps the asked terms alone, so
+    that no other posting is ever shuffled.
     """
-    n, mean = corpus_stats(chunks, text)
-    posts = postings(chunks, key, text)
-    asked = queries.select("query_id", F.explode(tx.search_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    met = posts.join(term_stats(posts, key, n), "term").join(asked, "term")
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    return met.groupBy("query_id", key).agg(F.sum(F.col("times") * F.col("idf") * part).alias("bm25"))
+    tokens = chunks.select(F.col(key), tx.search_tokens(F.col(text)).alias("tokens")).withColumn("length", F.size("tokens").cast("long"))
+    distinct = F.explode(F.array_append(F.array_distinct("tokens"), F.lit(None).cast("string"))).alias("term")
+    counted = tokens.select(distinct, "length").groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("tokens"))
+    whole = counted.where("term IS NULL").select(F.col("df").alias("n"), (F.col("tokens") / F.col("df")).alias("mean"))  # one row
+    known = counted.where("term IS NOT NULL").crossJoin(F.broadcast(whole))
+    raw = known.select("term", "mean", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    usual = raw.agg((EPSILON * F.avg("raw")).alias("floor"))  # one row
+    words = queries.select("query_id", F.explode(tx.search_tokens(F.col("query"))).alias("term"))
+    asked = words.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    terms = asked.join(raw, "term").crossJoin(F.broadcast(usual))
+    idf = F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw"))
+    wanted = terms.select("query_id", "term", "times", "mean", idf.alias("idf"))
+    each = tokens.select(key, "length", F.explode("tokens").alias("term"))
+    mine = each.join(checked_broadcast(asked.select("term").distinct()), "term", "left_semi")
+    posts = mine.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.greatest("mean", F.lit(1e-9))))
+    return posts.join(wanted, "term").groupBy("query_id", key).agg(F.sum(F.col("times") * F.col("idf") * part).alias("bm25"))
 
 
 def dense(queries: DataFrame, vectors: DataFrame, key: str, pool: int | None = None) -> DataFrame:
     """(query_id, key, cosine) of queries (query_id, vector) and vectors (key, embedding).
 
-    A stated batch of queries meets all vectors; the batch is broadcast where its size allows. With ``pool``, each
-    query keeps its best ones, which each task prunes before the shuffle.
+    A stated batch of queries meets all vectors, in blocks of at most BROADCAST_ROWS queries: a block is sent to every
+    task as one matrix, and a task multiplies a piece of its vectors with it. With ``pool``, each query keeps its best
+    ones, which a task prunes to before the shuffle. Vectors are all of one length.
     """
-    asked = checked_broadcast(queries.select("query_id", tx.unit(F.col("vector")).alias("q")))
-    units = vectors.where(F.col("embedding").isNotNull()).select(key, tx.unit(F.col("embedding")).alias("v"))
-    scored = units.join(asked, F.lit(True)).select("query_id", key, tx.dot(F.col("q"), F.col("v")).alias("cosine"))
-    if pool is None:
-        return scored
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), key))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= pool).drop("rank")
+    asked = queries.where(F.col("vector").isNotNull()).select("query_id", tx.unit(F.col("vector")).alias("q"))
+    n = asked.count()
+    number = F.pmod(F.xxhash64("query_id"), F.lit(-(-n // BROADCAST_ROWS)))  # blocks of about that many
+    blocks = [asked.where(number == i) for i in range(-(-n // BROADCAST_ROWS))] if n > BROADCAST_ROWS else [asked]
+    units = vectors.where(F.col("embedding").isNotNull()).select(F.col(key).alias("key"), tx.unit(F.col("embedding")).alias("v"))
+    types = {"query_id": queries.schema["query_id"].dataType.simpleString(), "key": vectors.schema[key].dataType.simpleString()}
+    scored = reduce(DataFrame.unionByName, [_cosines(block, units, types, pool) for block in blocks])
+    if pool is not None:
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "key"))
+        scored = scored.withColumn("rank", rank).where(F.col("rank") <= pool).drop("rank")
+    return scored.withColumnRenamed("key", key)
+
+
+def _cosines(block: DataFrame, units: DataFrame, types: dict[str, str], pool: int | None) -> DataFrame:
+    """(query_id, key, cosine) of one block of queries; of each piece of vectors ``pool`` a query, with ties."""
+    rows = block.toArrow().combine_chunks()  # bounded by the block's size
+    ids = rows.column("query_id").combine_chunks()
+    matrix = np.array(rows.column("q").to_pylist(), float).reshape(len(rows), -1).T
+    sent = units.sparkSession.sparkContext.broadcast((ids, matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = sent.value
+        rows = max(1, CELLS // max(1, len(own)))
+        for batch in batches:
+            for at in range(0, len(batch) if len(own) else 0, rows):
+                part = batch.slice(at, rows)
+                v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+                cosine = np.round(v @ q, 12).T  # a row for each query
+                keep = np.ones(cosine.shape, bool)
+                if pool is not None and pool < len(part):
+                    keep = cosine >= np.partition(cosine, -pool, axis=1)[:, -pool, None] - 1e-9
+                i, j = np.nonzero(keep)
+                columns = [own.take(pa.array(i)), part.column(0).take(pa.array(j)), pa.array(cosine[i, j])]
+                yield pa.record_batch(columns, ["query_id", "key", "cosine"])
+
+    return units.mapInArrow(run, f"query_id {types['query_id']}, key {types['key']}, cosine double")
 
 
 def rrf(dense_hits: DataFrame, text_hits: DataFrame, key: str, weight: float = WEIGHT, priority: DataFrame | None = None) -> DataFrame:
@@ -210,8 +257,6 @@ def gram(pairs: DataFrame, q: str = "q", p: str = "p") -> DataFrame:
 
 def fit_query_adapter(pairs: DataFrame, ridge: float) -> list[list[float]]:
     """The d x d matrix (Q'Q + ridge I)^-1 Q'P; only d * d sums reach the driver."""
-    import numpy as np
-
     rows = gram(pairs).collect()
     d = 1 + max((r["i"] for r in rows), default=-1)
     qq, qp = np.zeros((d, d)), np.zeros((d, d))

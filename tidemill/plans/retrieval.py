@@ -13,10 +13,10 @@ from tidemill.plans.registry import query
 from tidemill.plans.relational import TODAY, live
 
 TOKENS = f"list_filter(string_split(trim(regexp_replace({FOLD.format('@')}, '[^\\p{{L}}\\p{{N}}\\p{{Mn}}_]+', ' ', 'g')), ' '), lambda x: x <> '')"
-INDEX = f"""toks AS (SELECT doc_id, {TOKENS.replace('@', 'text')} AS w FROM documents),
-  post AS (SELECT doc_id, term, count(*) AS tf, any_value(length) AS length FROM (SELECT doc_id, unnest(w) AS term, len(w) AS length FROM toks) GROUP BY 1, 2),
+INDEX = f"""toks AS MATERIALIZED (SELECT doc_id, {TOKENS.replace('@', 'text')} AS w FROM documents),
+  post AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf, any_value(length) AS length FROM (SELECT doc_id, unnest(w) AS term, len(w) AS length FROM toks) GROUP BY 1, 2),
   stat AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM toks),
-  raw AS (SELECT term, count(*) AS df, ln((SELECT n FROM stat) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post GROUP BY 1),
+  raw AS MATERIALIZED (SELECT term, count(*) AS df, ln((SELECT n FROM stat) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post GROUP BY 1),
   idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
   ask AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({TOKENS.replace('@', 'text')}) AS term FROM benchmark) GROUP BY 1, 2),
   bm AS (SELECT query_id, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / (SELECT mean FROM stat)))) AS bm25
@@ -36,12 +36,14 @@ def dense_hits(t):
 
 
 def text_hits(t):
-    """Another leg over the same pairs: how near two vector ids are."""
-    near = F.col("vec_id") - F.col("query_id")
-    return dense_hits(t).select("query_id", "vec_id", (F.lit(5.0) - F.abs(near)).alias("bm25"))
+    """BM25 of the documents for the queries' texts: the benchmark passage of each query vector's number."""
+    asked = t.benchmark.select((F.col("item_id") * 25).alias("query_id"), F.col("text").alias("query"))
+    asked = asked.join(t.v_queries.select("query_id"), "query_id", "left_semi")
+    return r.bm25(asked, t.documents).withColumnRenamed("doc_id", "vec_id")
 
 
-FUSED = f"""{DENSE}, txt AS (SELECT query_id, vec_id, 5.0 - abs(vec_id - query_id) AS bm25 FROM den),
+FUSED = f"""{DENSE}, {INDEX.replace('item_id AS query_id', 'item_id * 25 AS query_id')},
+  txt AS (SELECT query_id, doc_id AS vec_id, bm25 FROM bm WHERE query_id IN (SELECT query_id FROM v_queries)),
   dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, vec_id) AS dr FROM den),
   br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, vec_id) AS br FROM txt WHERE bm25 > 0),
   fus AS (SELECT query_id, vec_id, cosine, bm25, (1 - 0.7) * coalesce(1 / (60 + dr), 0) + 0.7 * coalesce(1 / (60 + br), 0) AS fused FROM dr FULL JOIN br USING (query_id, vec_id)),
