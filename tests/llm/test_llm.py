@@ -286,6 +286,44 @@ def test_apply_mix_repeats_rows(spark):
     assert got == copies
 
 
+def test_mix_of_one_key(spark):
+    """All rows have the same key, or none: they meet in groups all the same, and the target is met."""
+    rows = [(None if i % 2 else 7, "w " * (1 + i % 3), "a" if i < 900 else "b") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    taken, goal = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        goal[r.source] = r.target
+    assert len(got) == 1000 and all(abs(taken[s] - goal[s]) <= 3 for s in goal)
+    applied = Counter((r.doc_id, r.source, len(r.text.split())) for r in mixing.apply_mix(docs).collect())
+    want = Counter()
+    for r in got:
+        want[(r.doc_id, r.source, r.size)] += r.copies
+    assert applied == +want
+
+
+def test_mix_against_brute_force_targets(spark, sf_dir):
+    """Sizes and targets by a plain loop: shares by weight, what is over three times a source's size shared again."""
+    docs = [(r.doc_id, r.source, len(words(r.text))) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    sizes = Counter()
+    for _, s, n in docs:
+        sizes[s] += n
+    weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))}
+    goal, open_, left = {}, set(sizes), float(sum(sizes.values()))
+    while open_:
+        share = left / sum(weights[s] for s in open_)
+        over = {s for s in open_ if weights[s] * share > 3 * sizes[s]}
+        for s in over or open_:
+            goal[s] = 3.0 * sizes[s] if over else weights[s] * share
+        left -= sum(goal[s] for s in over)
+        open_ = open_ - over if over else set()
+    rows = queries.QUERIES["op5_mixing"](spark, sf_dir).collect()
+    assert Counter((r.doc_id, r.source, r.size) for r in rows) == Counter(docs)
+    assert all(abs(r.target - goal[r.source]) < 1e-6 * goal[r.source] and r.source_size == sizes[r.source] for r in rows)
+    assert all(r.taken in (math.floor(goal[r.source] / sizes[r.source]) * r.size, math.ceil(goal[r.source] / sizes[r.source]) * r.size) for r in rows)
+
+
 # 6
 
 

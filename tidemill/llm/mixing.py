@@ -26,6 +26,8 @@ from tidemill.llm.common import cut, n_words, table
 GROUP = 64
 #: As many sources at most are broadcast; beyond that they are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
+#: Parts that equal rows with different numbers of copies are dealt to, by all their columns.
+DEALS = 64
 #: A fraction this near a whole number counts as whole.
 TINY = 1e-9
 
@@ -64,7 +66,7 @@ def _meet(a: Column, b: Column, level: int, seed: int) -> tuple[Column, Column]:
     a_room, b_room = (1 - a["p"]) * a["size"], (1 - b["p"]) * b["size"]
     a_has, b_has = a["p"] * a["size"], b["p"] * b["size"]
     to_a, to_b = F.least(a_room, b_has), F.least(a_has, b_room)
-    draw = uniform(F.lit(seed), F.lit(level), a["key"], b["key"])
+    draw = uniform(F.lit(seed), F.lit(level), a["then"], b["then"])
     up = draw * (to_a + to_b) < to_b
 
     def put(x: Column, p: Column) -> Column:
@@ -114,14 +116,18 @@ def mix(
 ) -> DataFrame:
     """How often the mix takes each document: (key, size, source, source_size, target, copies, taken).
 
-    ``size`` is the number of words (null text: 0), ``copies`` the times the mix takes the document and ``taken``
-    their words. Documents without words have 0 copies. Null sources are one source, null keys are documents like
-    any other. Repeated rows are separate documents; rows with equal key, size and source can stand for each
-    other. Copies never exceed ceil(cap). An empty table gives an empty table; other columns are left out.
-    The same input gives the same copies, whatever the partitioning. A source of any size is spread over groups
-    by a hash of the key.
+    ``size`` is the number of words (null text: 0) of the whole text, however long, ``copies`` the times the mix takes
+    the document and ``taken`` their words. Documents without words have 0 copies. Null sources are one source, null keys
+    are documents like any other. Repeated rows are separate documents; rows with equal key, size and source (ties) can
+    stand for each other: they are counted before anything is shuffled and told apart by a number. Copies never exceed
+    ceil(cap). An empty table gives an empty table; other columns are left out, so their names don't matter.
+    The same input gives the same copies, whatever the partitioning. A source or a key of any size is spread over groups
+    by a hash of key, size and that number.
     """
-    sized = cut(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")))
+    each = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+    equal = each.groupBy("key", "source", "size").agg(F.count("*").alias("times"))
+    numbered = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("same")
+    sized = cut(equal.select("key", "source", "size", numbered))
     sizes = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
     goals = cut(targets(sizes, weights, cap))
     n_sources, most = goals.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
@@ -131,7 +137,7 @@ def mix(
     joined = (
         sized.alias("d")
         .join(side.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
-        .select("key", "d.source", "size", "n", "source_size", "target")
+        .select("key", "same", "d.source", "size", "n", "source_size", "target")
         .withColumn("base", F.when(F.col("size") > 0, whole).otherwise(0).cast("long"))
         .withColumn("p", F.when(F.col("size") > 0, ratio - whole).otherwise(0.0))
     )
@@ -139,12 +145,12 @@ def mix(
     settled = joined.where(F.col("p") <= TINY)
     out = [settled.select("key", "size", *about, F.lit(0.0).alias("p"))]
 
-    spread = F.xxhash64(F.lit(seed), F.col("key"))
+    spread = F.xxhash64(F.lit(seed), F.col("key"), F.col("size"), F.col("same"))
     level, groups = 0, max(1, math.ceil(most / GROUP))
     items = (
         joined.where(F.col("p") > TINY)
         .withColumn("g", F.pmod(spread, F.greatest(F.lit(1), F.ceil(F.col("n") / GROUP))))
-        .select(*about, "g", F.struct((-F.col("size")).alias("order"), spread.alias("then"), "key", "size", "p").alias("item"))
+        .select(*about, "g", F.struct((-F.col("size")).alias("order"), spread.alias("then"), "key", "same", "size", "p").alias("item"))
     )
     while True:
         met = cut(_reduce_groups(items, [*about, "g"], level, seed))
@@ -154,7 +160,7 @@ def mix(
             break
         level, groups = level + 1, math.ceil(groups / GROUP)
         items = met.select(*about, F.floor(F.col("g") / GROUP).alias("g"), F.col("met.open").alias("item"))
-    last = F.when(uniform(F.lit(seed), F.lit(-1), F.col("met.open.key")) < F.col("met.open.p"), 1.0).otherwise(0.0)
+    last = F.when(uniform(F.lit(seed), F.lit(-1), F.col("met.open.then")) < F.col("met.open.p"), 1.0).otherwise(0.0)
     out.append(met.select("met.open.key", "met.open.size", *about, last.alias("p")))
     copies = (F.col("base") + F.col("p")).cast("long")
     return reduce(DataFrame.unionByName, out).select(
@@ -163,21 +169,37 @@ def mix(
 
 
 def apply_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as the mix takes it.
+    """The mix itself: the rows of docs, each as often as the mix takes it; the columns stay.
 
-    Rows with the same key, source and size are told apart by their rank in that set, which the join's own
-    partitioning gives without another shuffle.
+    Of rows with equal key, source and size, some may be taken once more than others. They are numbered through: each
+    task's rows by themselves, going on from the tasks before, so that equal rows are spread however many there are.
+    Rows without equals are not numbered. Nulls, empty texts and empty tables are as in ``mix``.
     """
     taken = mix(docs, key=key, text=text, source=source, **how)
-    same = F.struct(F.col(key).alias("k"), F.col(source).alias("s"), n_words(F.col(text)).alias("n"))
-    got = F.struct(F.col(key).alias("k"), F.col("source").alias("s"), F.col("size").alias("n"))
-    lists = taken.groupBy(got.alias("__id")).agg(F.array_sort(F.collect_list("copies")).alias("__copies"))
-    rank = F.row_number().over(W.partitionBy("__id").orderBy(F.col(text)))
-    own = docs.withColumn("__id", same).withColumn("__rank", rank)
-    each = own.join(lists, "__id").withColumn(
-        "__times", F.explode(F.sequence(F.lit(0), F.element_at("__copies", F.col("__rank")).cast("int")))
+    got = [F.col(key).alias("__k"), F.col("source").alias("__s"), F.col("size").alias("__n")]
+    same = [F.col(key).alias("__k"), F.col(source).alias("__s"), n_words(F.col(text)).alias("__n")]
+    levels = taken.groupBy(*got).agg(
+        F.count("*").alias("__rows"), F.min("copies").alias("__least"), F.sum("copies").alias("__all")
     )
-    return each.where(F.col("__times") > 0).select(*docs.columns)
+    more = F.col("__all") - F.col("__rows") * F.col("__least")  # so many of equal rows are taken once more
+    plan = levels.select("__k", "__s", "__n", "__rows", "__least", more.alias("__more"))
+    own = docs.select("*", *same).alias("d")
+    match = F.col("d.__k").eqNullSafe(F.col("p.__k")) & F.col("d.__s").eqNullSafe(F.col("p.__s")) & (F.col("d.__n") == F.col("p.__n"))
+    each = own.join(plan.alias("p"), match).select(*[F.col(f"d.`{c}`") for c in docs.columns], "d.__k", "d.__s", "d.__n", "__least", "__more", "__rows")
+    split = (F.col("__more") > 0) & (F.col("__more") < F.col("__rows"))
+    times = F.col("__least") + F.when(F.col("__more") > 0, 1).otherwise(0)
+    plain = each.where(~split).withColumn("__times", times)
+    dealt = each.where(split).withColumn("__deal", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(DEALS)))
+    ids = ["__k", "__s", "__n"]
+    sizes = dealt.groupBy(*ids, "__deal").agg(F.count("*").alias("__here"))
+    before = W.partitionBy(*ids).orderBy("__deal").rowsBetween(W.unboundedPreceding, -1)
+    begins = sizes.select(*[F.col(c).alias(f"b{c}") for c in (*ids, "__deal")], F.coalesce(F.sum("__here").over(before), F.lit(0)).alias("__begin"))
+    placed = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"b{c}")) for c in (*ids, "__deal")])
+    rank = F.row_number().over(W.partitionBy(*ids, "__deal").orderBy(F.col(text))) + F.col("__begin")
+    drawn = dealt.join(begins, placed).withColumn("__times", F.col("__least") + (rank <= F.col("__more")).cast("int"))
+    all_rows = reduce(DataFrame.unionByName, [x.select(*[F.col(f"`{c}`") for c in docs.columns], "__times") for x in (plain, drawn)])
+    repeated = all_rows.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__times").cast("int"))))
+    return repeated.where(F.col("__copy") > 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
