@@ -348,6 +348,32 @@ def test_search(spark):
     assert neighbours.search(df.where("false")).count() == 0
 
 
+def test_search_over_several_shards(spark, monkeypatch):
+    """Shards of 300 nodes, extra columns with names that the operator uses, and one vector of another length."""
+    monkeypatch.setattr(neighbours, "SHARD_NODES", 300)
+    x = np.random.default_rng(2).normal(size=(2000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), i, "s", [1.0], 0.5) for i, v in enumerate(x)] + [(5000, [1.0, 2.0], 0, "s", [1.0], 0.5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard int, query string, v array<double>, score double")
+    got = defaultdict(set)
+    for r in neighbours.search(df).collect():
+        got[r.query_id].add(r.vec_id)
+    near = [len(got[q] & {i for _, i in sorted((-float(s), i) for i, s in enumerate(x @ x[q]) if i != q)[:20]}) / 20 for q in range(0, 2000, 20)]
+    assert np.mean(near) >= 0.97 and set(got) == set(range(0, 2000, 20))
+
+
+def test_recall_of_a_whole_shard():
+    """One graph of as many nodes as a shard has, on vectors of length 1 that have no clusters: the hard case."""
+    x = np.random.default_rng(3).normal(size=(neighbours.SHARD_NODES, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    points = neighbours._lifted(x)[0]
+    graph, start = neighbours.build(points)
+    q = x[::50]
+    found, _ = neighbours.beam_search(points, graph, start, np.hstack([q, np.zeros((len(q), 1))]).astype(np.float32), neighbours.BEAM)
+    want = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    assert np.mean([len(set(w) & set(f)) / 20 for w, f in zip(want, found)]) >= 0.95
+
+
 # 7
 
 

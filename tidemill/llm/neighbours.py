@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by inner product on robust-pruned graphs.
 
-Distinct vectors are dealt to shards by a hash; each shard builds one directed graph and answers every query by beam
-search, and the shards' answers are merged. A graph is built in batches: greedy searches from the medoid propose
+Distinct vectors are dealt by a hash to shards of about SHARD_NODES, whatever their number; each shard builds one
+directed graph, which is written as a table, a row for each node. Then every query visits every shard: a task reads one
+shard's nodes and after them the queries, a batch at a time, answers each by beam search, and the answers are merged.
+So a task holds one graph and one batch of queries. A graph is built in batches: greedy searches from the medoid propose
 neighbours, and robust pruning keeps an edge only where no kept neighbour is closer by the factor ALPHA, so that
 edges point in different directions; edges are then added backwards and pruned again where there are too many.
 
@@ -13,9 +15,11 @@ Rows with equal vectors share one node, which keeps as many of their smallest id
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -28,8 +32,8 @@ DEGREE, ALPHA = 24, 1.2
 BUILD_BEAM, BEAM = 40, 96
 #: Nodes that are inserted, and queries that are answered, together.
 BATCH = 512
-#: Shards at least, and nodes of one shard about at most.
-SHARDS, SHARD_NODES = 12, 200_000
+#: Nodes of one shard, about.
+SHARD_NODES = 5_000
 
 
 def _distances(a: np.ndarray, points: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -145,6 +149,63 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0)
 
 
+def graphs(nodes: DataFrame) -> DataFrame:
+    """(shard, dim, v, edges, begins, ids) of nodes (shard, dim, v, ids): the node's edges, by places in the shard.
+
+    Rows come in the order of these places; searches begin at the node that ``begins``.
+    """
+    kind = nodes.schema["ids"].dataType.simpleString()
+
+    def built(group: pa.Table) -> pa.Table:
+        vectors = np.stack(group["v"].to_numpy())
+        order = np.lexsort(vectors.T[::-1])
+        vectors = vectors[order]
+        graph, start = build(_lifted(vectors)[0])
+        own = group.take(pa.array(order)).select(["shard", "dim", "v", "ids"])
+        own = own.append_column("place", pa.array(np.arange(len(order)), pa.int32()))
+        own = own.append_column("begins", pa.array(np.arange(len(order)) == start))
+        return own.append_column("edges", pa.array(list(graph.astype(np.int32)), pa.list_(pa.int32())))
+
+    schema = f"shard int, dim int, v array<double>, ids {kind}, place int, begins boolean, edges array<int>"
+    return nodes.groupBy("shard", "dim").applyInArrow(built, schema)
+
+
+def _lifted(exact: np.ndarray) -> tuple[np.ndarray, float]:
+    """Points of equal length by one more component, and that length squared."""
+    lengths = (exact**2).sum(1)
+    return np.hstack([exact, np.sqrt(np.maximum(lengths.max() - lengths, 0))[:, None]]).astype(np.float32), lengths.max()
+
+
+class Shard:
+    """A graph to search, from its nodes' rows."""
+
+    def __init__(self, rows: pa.Table, dim: int) -> None:
+        rows = rows.sort_by("place").combine_chunks()
+        self.exact = rows["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        self.points = _lifted(self.exact)[0]
+        self.graph = rows["edges"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1).astype(np.int64)
+        self.start = int(np.flatnonzero(rows["begins"].to_numpy())[0])
+        ids = rows["ids"].combine_chunks()
+        self.ids, self.counts = ids.flatten(), ids.value_lengths().to_numpy()
+        self.begins = np.cumsum(self.counts) - self.counts
+
+    def nearest(self, asked: pa.Table, k: int, beam: int) -> pa.RecordBatch:
+        """(query_id, vec_id, score) of the k + 1 best nodes of each query, all their ids but the query's own."""
+        q = asked["v"].combine_chunks().flatten().to_numpy().reshape(len(asked), -1)
+        wide = np.hstack([q, np.zeros((len(q), 1))]).astype(np.float32)
+        found, _ = beam_search(self.points, self.graph, self.start, wide, min(max(beam, k + 1), len(self.points)))
+        scores = np.where(found < 0, -np.inf, np.einsum("bd,bkd->bk", q, self.exact[np.maximum(found, 0)]))
+        best = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
+        node, score = np.take_along_axis(found, best, 1), np.take_along_axis(scores, best, 1)
+        row, at = np.nonzero(node >= 0)
+        node, score = node[row, at], score[row, at]
+        times = self.counts[node]
+        ends = np.cumsum(times)
+        place = np.repeat(self.begins[node] - ends + times, times) + np.arange(ends[-1] if len(ends) else 0)
+        made = pa.table([asked["query_id"].combine_chunks().take(pa.array(np.repeat(row, times))), self.ids.take(pa.array(place)), pa.array(np.repeat(score, times))], ["query_id", "vec_id", "score"])
+        return made.filter(pc.not_equal(made["query_id"], made["vec_id"]))
+
+
 def search(
     vectors: DataFrame, k: int = 20, queries: Column | None = None, key: str = "vec_id", vector: str = "embedding", beam: int = BEAM
 ) -> DataFrame:
@@ -152,52 +213,44 @@ def search(
 
     Queries are the rows where ``queries`` holds (every 20th key if not given); candidates are all rows but those with
     the query's key. Ties go to the smaller key. Vectors that are not usable and rows with a null key take no part;
-    vectors meet only those of the same length. Repeated rows count once. With fewer candidates than k, all are
-    returned; an empty table gives an empty one.
+    vectors meet only those of the same length, however long. Repeated rows count once. With fewer candidates than k,
+    all are returned; an empty table gives an empty one. Other columns are left out, so their names don't matter.
     """
-    known = vectors.where(usable(F.col(vector)) & F.col(key).isNotNull()).select(
-        F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")
-    )
+    good = usable(F.col(vector)) & F.col(key).isNotNull()
+    known = vectors.where(good).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     asked = F.pmod(F.col(key), F.lit(20)) == 0 if queries is None else queries
-    asking = vectors.where(usable(F.col(vector)) & F.col(key).isNotNull() & asked).select(
-        F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("q")
-    ).dropDuplicates(["query_id", "q"])
+    asking = vectors.where(good & asked).select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
     by_vector = W.partitionBy("v").orderBy("id")
     few = known.distinct().withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)
     nodes = cut(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
-    count = max(SHARDS, math.ceil(nodes.count() / SHARD_NODES))
-    dealt = nodes.select(F.pmod(F.xxhash64("v"), F.lit(count)).cast("int").alias("shard"), F.size("v").alias("dim"), "v", "ids")
-    shards = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    sent = asking.select(shards.alias("shard"), F.size("q").alias("dim"), "query_id", "q")
+    count = max(1, math.ceil(nodes.count() / SHARD_NODES))
+    shard = F.pmod(F.xxhash64("v"), F.lit(count)).cast("int").alias("shard")
+    base = cut(graphs(nodes.select(shard, F.size("v").alias("dim"), "v", "ids")))
+    shards = F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("shard")
+    sent = asking.dropDuplicates(["query_id", "v"]).select(shards, F.size("v").alias("dim"), "query_id", "v")
     kind = known.schema["id"].dataType.simpleString()
+    parts = base.unionByName(sent, allowMissingColumns=True).withColumn("query", F.col("place").isNull())
+    placed = parts.repartition("shard", "dim").sortWithinPartitions("shard", "dim", "query")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, graph = None, [], None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            where = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("shard", "dim", "query")], 1)
+            starts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]).any(1)])
+            for begin, end in zip(starts, np.r_[starts[1:], len(rows)]):
+                own, query = tuple(where[begin, :2]), bool(where[begin, 2])
+                if own != last:
+                    last, held, graph = own, [], None
+                if not query:
+                    held.append(rows.slice(begin, end - begin))
+                    continue
+                if held:
+                    graph, held = Shard(pa.concat_tables(held), int(own[1])), []
+                for at in range(begin, end if graph else begin, BATCH):
+                    yield from graph.nearest(rows.slice(at, min(BATCH, end - at)), k, beam).to_batches()
 
-    def answer(base: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        if base.empty or ask.empty:
-            return empty
-        exact = np.stack(base.v.to_numpy())
-        lengths = (exact**2).sum(1)
-        longest = lengths.max()
-        points = np.hstack([exact, np.sqrt(np.maximum(longest - lengths, 0))[:, None]]).astype(np.float32)
-        order = np.lexsort(exact.T[::-1])
-        exact, points, ids = exact[order], points[order], base.ids.to_numpy()[order]
-        graph, start = build(points)
-        out = []
-        for at in range(0, len(ask), BATCH):
-            q = np.stack(ask.q.iloc[at : at + BATCH].to_numpy())
-            wide = np.hstack([q, np.zeros((len(q), 1))]).astype(np.float32)
-            found, _ = beam_search(points, graph, start, wide, min(max(beam, k + 1), max(len(points), 1)))
-            scores = np.where(found < 0, -np.inf, np.einsum("bd,bkd->bk", q, exact[np.maximum(found, 0)]))
-            best = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
-            for query, nodes_, values in zip(ask.query_id.iloc[at : at + BATCH], np.take_along_axis(found, best, 1), np.take_along_axis(scores, best, 1)):
-                for node, value in zip(nodes_, values):
-                    if node >= 0:
-                        out += [(query, i, value) for i in ids[node] if i != query]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else empty
-
-    found = dealt.groupBy("shard", "dim").cogroup(sent.groupBy("shard", "dim")).applyInPandas(
-        answer, f"query_id {kind}, vec_id {kind}, score double"
-    )
+    found = placed.mapInArrow(answer, f"query_id {kind}, vec_id {kind}, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
