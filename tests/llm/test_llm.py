@@ -603,3 +603,23 @@ def test_pipeline(spark, sf_dir):
         if name == "repeats":
             assert docs.where("n_chars <> length(text)").count() == 0
         seen = keys
+
+
+def test_pipeline_edge_cases(spark, small, empty, tmp_path):
+    """Nulls, empty and long texts, repeated rows, one key with two texts, and columns with names that stages use."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(k, 0) for k in range(3, 12)] + [(None, 1), (4, None)], "doc_id long, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for docs, some in ((small, True), (empty, False)):
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, str(tmp_path)).cache()
+            rows = [r.asDict() for r in docs.collect()]
+            assert bool(rows) == some, name
+            if name == "near_duplicates" and some:
+                keys = Counter(r["doc_id"] for r in rows)
+                assert keys[3] == 1 and keys[9] == 2 and keys[None] == 1 and not {6, 7} & set(keys) and keys[1] == keys[2] == 1
+            if name == "mixing" and some:
+                assert all(words(r["text"]) for r in rows)
+            if name == "encoding" and some:
+                assert set(rows[0]) == {"doc_id", "ids"} and {8, 13} & {r["doc_id"] for r in rows}

@@ -15,6 +15,7 @@ one or more of its many parts, not all that a key has.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from tidemill.llm.packing import pack_places, split_by, unpack_places
 
 BLOCK = 7
 WINDOW = 2 * BLOCK - 1
+#: Bytes of text of a part, about; the number of parts and buckets follows the input.
+PART_BYTES = 12_000_000
 #: Probes that are packed together at most.
 BATCH = 4_000_000
 
@@ -223,11 +226,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     A word goes if some 13-word window over it, in the text as given, also starts in a document with a smaller key.
     Kept words are joined by one space and are unchanged; null texts have none. Keys are whole numbers; rows with a
     null key lose nothing and are no reference, rows with the same key are not earlier than each other. Columns
-    named like the three new ones are replaced; others stay. Texts under 13 words stay as they are. An empty
-    table gives an empty one.
+    named like the three new ones are replaced; others stay. Texts under 13 words stay as they are, of longer ones every
+    word is looked at; of equal texts (ties) the one with the smallest key stays whole, and repeated rows of one key lose
+    the same words. An empty table gives an empty one.
     """
-    count = 2 * shuffles(docs.sparkSession)
-    parts = max(24, count // 4)  # rows between buckets and parts are a few large ones, not many small ones
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(24, math.ceil(size / PART_BYTES))  # rows between buckets and parts are a few large ones, not many small ones
+    count = max(2 * shuffles(docs.sparkSession), 2 * parts)
     new = ("n_words", "n_removed", "kept")
     others = [c for c in docs.columns if c not in (*new, text)]
     row = F.struct(F.lit(0).alias("__row"), *[F.col(f"`{c}`") for c in others])
