@@ -2,6 +2,11 @@
 
 Toxic documents go; of each group of near duplicates one stays; passages that repeat an earlier document are cut out;
 sources are mixed to target weights, documents repeating as often as the mix takes them; what is left is encoded.
+
+Null and empty texts are not toxic, equal to nothing, have nothing to cut, are taken 0 times by the mix (they have no
+words), and so end there. Rows with a null key are not compared with others. Rows that repeat a key and a text are one
+document; a key with several texts keeps them. Texts are taken whole, whatever their length; ties go to the smallest key.
+Columns beyond those of documents are left out, so their names don't matter. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,7 +32,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The first document of each component, by shingles of five words and a likeness of 0.8."""
     found = minhash.near_components(docs, percent=80, size=5)
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    often = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    once = left.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(often, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
