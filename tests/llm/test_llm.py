@@ -148,7 +148,7 @@ def test_estimate_rules_out_hardly_any_pair_at_the_threshold():
     least = 0.80 - minhash.MARGIN
     most = int((1 - (least * (1 - 2.0**-minhash.BITS) + 2.0**-minhash.BITS)) * minhash.HASHES + 1e-6)
     n = minhash.HASHES
-    assert sum(math.comb(n, k) * unlike**k * (1 - unlike) ** (n - k) for k in range(most + 1, n + 1)) < 5e-6
+    assert sum(math.comb(n, k) * unlike**k * (1 - unlike) ** (n - k) for k in range(most + 1, n + 1)) < 5e-8
 
 
 def test_components_of_a_path(spark):

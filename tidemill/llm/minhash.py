@@ -27,13 +27,13 @@ from tidemill.llm.hashing import WordHashes, mix, rolling
 #: 32 bands of 4: a pair with likeness 0.8 shares no band with a chance of 4e-8.
 BANDS, ROWS = 32, 4
 #: Hash functions; the bands take the first ones, the estimate all.
-HASHES = 256
+HASHES = 512
 #: Low bits kept of each minimum.
 BITS = 4
 LANES = HASHES // 64
-#: An estimate this far below the threshold rules a pair out: six standard errors, which takes one pair in 50 million
-#: at 0.8, about as many as share no band.
-MARGIN = 0.15
+#: An estimate this far below the threshold rules a pair out: almost six standard errors, which takes one pair in 30
+#: million at 0.8, no more than share no band.
+MARGIN = 0.106
 #: Partners in each other component that a class is first compared with in a bucket; the rest follow if still needed.
 NEAREST = 3
 #: Members of a bucket that are compared in one piece.
