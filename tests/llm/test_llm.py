@@ -133,6 +133,39 @@ def test_chain_of_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def near_the_threshold():
+    """A family whose members share from 0.6 to 0.9 of their shingles with each other, and a few far from it."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(90):
+        words = [f"w{j}" for j in range(240)]
+        at = int(rng.integers(0, 200))
+        words[at : at + 6 + i % 25] = [f"n{i}_{j}" for j in range(6 + i % 25)]
+        rows.append((i, " ".join(words)))
+    return rows + [(1000 + i, " ".join(f"x{i}_{j}" for j in range(50))) for i in range(10)]
+
+
+@pytest.mark.parametrize("piece", [8, minhash.PIECE])
+def test_family_near_the_threshold(spark, monkeypatch, piece):
+    monkeypatch.setattr(minhash, "PIECE", piece)
+    rows = near_the_threshold()
+    for percent in (80, 84):
+        got = minhash.near_components(spark.createDataFrame(rows, "doc_id long, text string"), percent, 4).collect()
+        assert {r.doc_id: r.component_id for r in got} == brute_components(rows, 4, percent)
+
+
+def test_blocks_make_fewer_links_than_rows(spark):
+    """Classes of a family are all apart at first here; each two that meet are compared, but no more than joins them is returned."""
+    docs = spark.createDataFrame(near_the_threshold(), "doc_id long, text string")
+    signed = minhash.signatures(docs, 4, "doc_id", "text").where("n > 0")
+    members = signed.selectExpr("key AS rep", "key AS root", "n", "lo", "hi", "sig", "bands", "explode(bands) AS band", "100L AS members", "25000L AS shingles")
+    kept = minhash.not_ruled_out(minhash.in_blocks(members.drop("n")), 0.8 - minhash.MARGIN).cache()
+    links = minhash.links_in_blocks(kept, docs, 80, 4, "doc_id", "text", 0.8 - minhash.MARGIN).collect()
+    assert 0 < len(links) < kept.count() <= members.count()
+    sets = {k: {tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for k, t in near_the_threshold()}
+    assert all(r.a > r.b and 100 * len(sets[r.a] & sets[r.b]) >= 80 * len(sets[r.a] | sets[r.b]) for r in links)
+
+
 def test_estimate_is_near_the_truth():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 1000, dtype=np.uint64)

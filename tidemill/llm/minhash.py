@@ -6,9 +6,10 @@ that a pair's likeness is estimated with a few exclusive-ors and bit counts, cor
 the estimate doesn't rule out is confirmed on the full shingle sets.
 
 Documents with equal shingle sets are one class from the start. Within a band's bucket, each class is compared with
-the bucket's smallest one only; links found that way merge classes, and only pairs that are still apart and share a
-bucket are compared with each other after that. So a large group of copies costs as many comparisons as it has
-members.
+the bucket's smallest one only; links found that way merge classes. So a large group of copies costs as many
+comparisons as it has members. Classes that share a bucket and are still apart meet in blocks of it: a first pass keeps
+those with a partner that the estimate doesn't rule out, a second one has their full sets and returns the links that
+join components. Neither returns more rows than it reads, however many pairs are close to the threshold.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,10 +34,8 @@ LANES = HASHES // 64
 #: An estimate this far below the threshold rules a pair out: almost six standard errors, which takes one pair in 30
 #: million at 0.8, no more than share no band.
 MARGIN = 0.106
-#: Partners in each other component that a class is first compared with in a bucket; the rest follow if still needed.
-NEAREST = 3
-#: Members of a bucket that are compared in one piece.
-PIECE = 2048
+#: Members of a bucket that are compared in one piece, and their shingles (8 MB of hashes).
+PIECE, PIECE_SHINGLES = 2048, 1 << 20
 
 _rng = np.random.default_rng(20240101)
 _MULTIPLY = _rng.integers(0, 2**32, (HASHES, 1), dtype=np.uint32) | np.uint32(1)
@@ -191,7 +189,7 @@ def near_components(
         )
     )
     sigs = classes.select("rep", "sig")
-    buckets = classes.select("rep", F.explode("bands").alias("band"))
+    buckets = classes.select("rep", "n", F.explode("bands").alias("band"))
     least = 0.01 * percent - MARGIN
 
     def alike(pairs: DataFrame) -> DataFrame:
@@ -204,21 +202,19 @@ def near_components(
     tested = cut(alike(met.select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()))
     stars = cut(confirmed(tested, docs, percent, size, key, text))
 
-    links, roots = stars, components(stars)
-    shared = cut(buckets.join(firsts.select("band"), "band", "left_semi"))
-    for nearest in (NEAREST, None):
-        labelled = shared.join(roots, F.col("rep") == F.col("node"), "left").select(
-            "band", "rep", F.coalesce("root", "rep").alias("root")
-        )
-        ends = labelled.groupBy("band").agg(
-            F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")
-        )
-        apart = labelled.join(ends.where("lo <> hi").select("band", "members"), "band").join(classes.select("rep", "sig", "bands"), "rep")
-        rest = cut(alike_in_buckets(apart, least, nearest).join(tested, ["a", "b"], "left_anti"))
-        if rest.take(1):
-            tested = tested.unionByName(rest)
-            links = links.unionByName(cut(confirmed(rest, docs, percent, size, key, text)))
-            roots = components(links)
+    roots = components(stars)
+    shared = buckets.join(firsts.select("band"), "band", "left_semi")
+    labelled = shared.join(roots, F.col("rep") == F.col("node"), "left").select(
+        "band", "rep", "n", F.coalesce("root", "rep").alias("root")
+    )
+    ends = labelled.groupBy("band").agg(
+        F.min("root").alias("from"), F.max("root").alias("to"), F.count("*").alias("members"), F.sum("n").alias("shingles")
+    )
+    mixed = ends.where(F.col("from") != F.col("to")).select("band", "members", "shingles")
+    apart = labelled.drop("n").join(mixed, "band").join(classes.select("rep", "lo", "hi", "sig", "bands"), "rep")
+    links = cut(links_in_blocks(not_ruled_out(in_blocks(apart), least), docs, percent, size, key, text, least))
+    if links.take(1):
+        roots = components(stars.unionByName(links))
 
     of_class = classes.select("lo", "hi", "n", "rep").join(roots, F.col("rep") == F.col("node"), "left")
     of_class = of_class.select("lo", "hi", "n", F.coalesce("root", "rep").alias("component"))
@@ -232,56 +228,124 @@ def near_components(
     )
 
 
-def alike_in_buckets(members: DataFrame, least: float, nearest: int | None = None) -> DataFrame:
-    """Distinct pairs (a, b), a > b, of one bucket, with different roots and an estimate of ``least`` or more.
+BLOCK = ["band", "p", "q"]
 
-    A pair that shares several buckets leaves the one of its first common band only. With ``nearest``, only so many of
-    the most alike pairs of each two components in a bucket.
 
-    A bucket is cut into pieces of about PIECE members, and each two pieces meet by themselves, so what meets is bounded
-    and no pair leaves it that the estimate rules out. Many small buckets share a task's group.
+def in_blocks(members: DataFrame) -> DataFrame:
+    """The members of buckets, dealt to blocks (band, p, q) in which each two of a bucket meet once.
+
+    A bucket is cut into pieces of about PIECE members or PIECE_SHINGLES, and each two pieces are a block, so that what
+    meets is bounded. Many small blocks share a chunk.
     """
-    spark = members.sparkSession
-    pieces = F.ceil(F.col("members") / PIECE).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), pieces).cast("int")
-    other = F.explode(F.sequence(F.lit(0), pieces - 1))
-    dealt = members.withColumn("mine", mine).withColumn("other", other).select(
-        "band", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "rep", "root", "sig", "bands"
-    )
-    chunk = F.pmod(F.xxhash64("band", "p", "q"), F.lit(16 * shuffles(spark))).alias("chunk")
-    most = int((1 - (least * (1 - 2.0**-BITS) + 2.0**-BITS)) * HASHES + 1e-6)
+    count = F.greatest(F.ceil(F.col("members") / PIECE), F.ceil(F.col("shingles") / PIECE_SHINGLES)).cast("int")
+    mine = F.pmod(F.xxhash64("rep"), count).cast("int")
+    dealt = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    return dealt.select(
+        "band", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine",
+        "rep", "root", "lo", "hi", "sig", "bands",
+    )
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["band", "p", "q", "rep"], ignore_index=True)
-        sig = np.stack(pdf.sig.to_numpy()).view(np.uint64).reshape(len(pdf), BITS, LANES)
-        every = np.stack(pdf.bands.to_numpy())
-        rep, root, mine, where = pdf.rep.to_numpy(), pdf.root.to_numpy(), pdf.mine.to_numpy(), pdf[["band", "p", "q"]].to_numpy()
-        within, turn = where[:, 1] == where[:, 2], (every == where[:, :1]).argmax(1)
-        starts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]).any(1)])
-        out: list[pd.DataFrame] = []
-        for begin, end in zip(starts, np.r_[starts[1:], len(pdf)]):
-            if (root[begin:end] == root[begin]).all():
-                continue
-            found = []
-            for i in range(begin + 1, end):  # rows are in order of rep
-                js = begin + np.flatnonzero((root[begin:i] != root[i]) & (within[i] | (mine[begin:i] != mine[i])))
+
+def chunks(blocks: DataFrame) -> Column:
+    return F.pmod(F.xxhash64(*BLOCK), F.lit(16 * shuffles(blocks.sparkSession))).alias("chunk")
+
+
+def partners(rows: pa.Table, least: float) -> Iterator[tuple[np.ndarray, Iterator[tuple[int, np.ndarray]]]]:
+    """Of each block of rows, which are sorted by block and rep: its range, and (i, earlier rows) that may be alike.
+
+    Those have another root, an estimate of ``least`` or more, and no common band before the block's.
+    """
+    most = int((1 - (least * (1 - 2.0**-BITS) + 2.0**-BITS)) * HASHES + 1e-6)
+    sig = rows["sig"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rows), BITS, LANES)
+    every = rows["bands"].combine_chunks().flatten().to_numpy().reshape(len(rows), BANDS)
+    root = rows["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+    mine = rows["mine"].to_numpy()
+    where = np.stack([rows[c].to_numpy().astype(np.int64) for c in BLOCK], 1)
+    within, turn = where[:, 1] == where[:, 2], (every == where[:, :1]).argmax(1)
+
+    def pairs(begin: int, end: int) -> Iterator[tuple[int, np.ndarray]]:
+        for i in range(begin + 1, end):
+            js = begin + np.flatnonzero((root[begin:i] != root[i]) & (within[i] | (mine[begin:i] != mine[i])))
+            if len(js):
+                unlike = np.bitwise_count(np.bitwise_or.reduce(sig[js] ^ sig[i], axis=1)).sum(1)
+                js = js[unlike <= most]
+                js = js[(every[js] == every[i]).argmax(1) == turn[i]]
                 if len(js):
-                    unlike = np.bitwise_count(np.bitwise_or.reduce(sig[js] ^ sig[i], axis=1)).sum(1)
-                    js, unlike = js[unlike <= most], unlike[unlike <= most]
-                    first = (every[js] == every[i]).argmax(1) == turn[i]
-                    found.append((np.full(first.sum(), i), js[first], unlike[first]))
-            if not found:
-                continue
-            i, j, unlike = (np.concatenate(x) for x in zip(*found))
-            pairs = pd.DataFrame({"a": rep[i], "b": rep[j]})
-            if nearest is not None and len(pairs):
-                pairs["unlike"], pairs["x"], pairs["y"] = unlike, np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
-                pairs = pairs.sort_values(["unlike", "a", "b"]).groupby(["x", "y"]).head(nearest)
-            out.append(pairs[["a", "b"]])
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})
-
-    kind = members.schema["rep"].dataType.simpleString()
-    return dealt.withColumn("chunk", chunk).groupBy("chunk").applyInPandas(run, f"a {kind}, b {kind}")
+                    yield i, js
+
+    starts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]).any(1)])
+    for begin, end in zip(starts, np.r_[starts[1:], len(rows)]):
+        if (root[begin:end] != root[begin]).any():
+            yield np.arange(begin, end), pairs(begin, end)
+
+
+def _sorted(rows: pa.Table) -> pa.Table:
+    return rows.sort_by([(c, "ascending") for c in (*BLOCK, "rep")])
+
+
+def not_ruled_out(blocks: DataFrame, least: float) -> DataFrame:
+    """The rows of blocks that have a partner there."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = _sorted(rows)
+        keep = np.zeros(len(rows), bool)
+        for _, pairs in partners(rows, least):
+            for i, js in pairs:
+                keep[i] = keep[js] = True
+        return rows.drop_columns("chunk").filter(pa.array(keep))
+
+    return blocks.withColumn("chunk", chunks(blocks)).groupBy("chunk").applyInArrow(run, blocks.schema)
+
+
+def links_in_blocks(
+    blocks: DataFrame, docs: DataFrame, percent: int, size: int, key: str, text: str, least: float
+) -> DataFrame:
+    """Links (a, b), a > b, that join components in a block, by full shingle sets: fewer than the block's rows."""
+    blocks = cut(blocks)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in pieces(batches, 100):
+            found = [shingles(t.as_py(), words, size) for t in batch.column(1).cast(pa.binary())]
+            lo = [x.sum().view(np.int64) for x in found]
+            hi = [mix(x ^ _SALT).sum().view(np.int64) for x in found]
+            items = pa.array([x.tobytes() for x in found], pa.binary())
+            yield pa.record_batch([batch.column(0), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), items], ["rep", "lo", "hi", "items"])
+
+    wanted = blocks.select("rep").distinct()
+    texts = docs.select(F.col(key).alias("rep"), F.col(text).alias("text")).join(wanted, "rep", "left_semi")
+    named = texts.mapInArrow(sets, f"rep {kind}, lo long, hi long, items binary").dropDuplicates(["rep", "lo", "hi"])
+    full = blocks.join(named, ["rep", "lo", "hi"])
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = _sorted(rows)
+        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["items"].combine_chunks()]
+        component = rows["root"].combine_chunks().dictionary_encode().indices.to_numpy().copy()
+        a, b = [], []
+        for own, pairs in partners(rows, least):
+            first, sizes = own[0], np.array([len(items[i]) for i in own])
+            shingle, ids = np.unique(np.concatenate([items[i] for i in own]), return_inverse=True)
+            ends = np.cumsum(sizes)
+            of = [ids[e - n : e] for e, n in zip(ends, sizes)]
+            marked = np.zeros(len(shingle), bool)
+            for i, js in pairs:
+                js = js[component[js] != component[i]]
+                if not len(js):
+                    continue
+                lengths = sizes[js - first]
+                marked[of[i - first]] = True
+                hits = marked[np.concatenate([of[j - first] for j in js])]
+                marked[of[i - first]] = False
+                both = np.add.reduceat(hits, np.cumsum(lengths) - lengths, dtype=np.int64)
+                for j in js[100 * both >= percent * (lengths + sizes[i - first] - both)]:
+                    if component[j] != component[i]:
+                        component[own[component[own] == component[j]]] = component[i]
+                        a.append(i)
+                        b.append(j)
+        return pa.table([rows["rep"].take(pa.array(a, pa.int64())), rows["rep"].take(pa.array(b, pa.int64()))], ["a", "b"])
+
+    return full.withColumn("chunk", chunks(full)).groupBy("chunk").applyInArrow(run, f"a {kind}, b {kind}")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
