@@ -38,7 +38,7 @@ LENGTH = 200
 #: Bytes of the runs that name buckets, at first and in each further round.
 GRAMS = (64, 132, 166, 183, 192, 196, 198, 199, 200)
 #: Distinct contexts of a bucket that go to one cell, and bytes of a cell, about.
-MOST, CELL_BYTES = 2_000, 3_000_000
+MOST, CELL_BYTES = 2_000, 800_000
 #: Bytes that tell buckets apart at first.
 Q = 8
 #: Windows that are looked at together.
