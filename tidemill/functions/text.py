@@ -36,6 +36,13 @@ def search_tokens(c: Column) -> Column:
     return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
 
 
+def index_tokens(c: Column) -> Column:
+    """What search_tokens gives, by a shorter way for ASCII texts, which have no accents to take off."""
+    spaced = F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9_]+", " "))
+    short = F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+    return F.when(F.octet_length(c) == F.char_length(c), short).otherwise(search_tokens(c))
+
+
 def normalized_key(c: Column) -> Column:
     """What two texts have in common that differ in case, accents, punctuation and spacing only."""
     return F.array_join(search_tokens(c), " ")

@@ -36,13 +36,18 @@ def searchable_chunks(chunks: DataFrame, documents: DataFrame, sources: DataFram
     return chunks.where(F.col("embedding").isNotNull()).join(kept, "document_id")
 
 
-def visible(rows: DataFrame, level: str, today: Column) -> DataFrame:
-    """Rows whose tier the caller reaches and whose validity holds today; an unknown tier is out of reach."""
+def is_visible(level: str, today: Column) -> Column:
+    """Whether the caller reaches a row's tier and its validity holds today; an unknown tier is out of reach."""
     tiers = F.create_map(*[F.lit(x) for pair in LEVELS.items() for x in pair])
     needed = F.coalesce(F.try_element_at(tiers, F.col("tier")), F.lit(UNREACHABLE))
     from_ = F.coalesce("effective_from", F.lit("0001-01-01").cast("date"))
     to = F.coalesce("effective_to", F.lit("9999-12-31").cast("date"))
-    return rows.where((needed <= LEVELS.get(level, -1)) & (from_ <= today) & (to >= today))
+    return (needed <= LEVELS.get(level, -1)) & (from_ <= today) & (to >= today)
+
+
+def visible(rows: DataFrame, level: str, today: Column) -> DataFrame:
+    """Rows that the caller may see today."""
+    return rows.where(is_visible(level, today))
 
 
 def in_sources(rows: DataFrame, names: Sequence[str]) -> DataFrame:

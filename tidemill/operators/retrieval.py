@@ -164,39 +164,22 @@ def gate_and_rank(scored: DataFrame, key: str, threshold: float, top_k: int, col
 
 
 def expand_context(matches: DataFrame, chunks: DataFrame, radius: int, cap: int) -> DataFrame:
-    """(query_id, chunk_id, slot): the best match among its neighbours, then the others, ``cap`` at most.
+    """(query_id, chunk_id, slot): the best match among its neighbours in reading order, then the others by rank.
 
-    Neighbours give way to matches where there is not room for all.
+    At most ``cap``: neighbours give way to matches where there is not room for all, and the farthest go first. A
+    neighbour that is a match itself stays where it is read.
     """
+    matches = matches.where(F.col("rank") <= cap)
     first = matches.where("rank = 1").select("query_id", "chunk_id", "document_id", "position")
     near = neighbours(chunks, first.select("document_id", "chunk_id", "position").distinct(), radius)
     around = first.select("query_id", "chunk_id").join(near, "chunk_id").select("query_id", F.col("neighbour_id").alias("chunk_id"), "distance")
-    around = around.join(matches.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    n = matches.groupBy("query_id").agg(F.count("*").alias("n"))
-    turn = F.row_number().over(W.partitionBy("query_id").orderBy(F.abs("distance"), "distance"))
-    fits = around.join(n, "query_id").withColumn("turn", turn).where(F.col("turn") <= F.lit(cap) - F.col("n")).select("query_id", "chunk_id", F.col("distance").cast("double").alias("place"))
-    own = matches.select("query_id", "chunk_id", F.when(F.col("rank") == 1, 0.0).otherwise(F.col("rank") + 1000.0).alias("place"))
-    slot = F.row_number().over(W.partitionBy("query_id").orderBy("place"))
-    return fits.unionByName(own).withColumn("slot", slot).where(F.col("slot") <= cap).drop("place")
-
-
-def hybrid_search(
-    queries: DataFrame, chunks: DataFrame, top_k: int = 10, threshold: float = 0.0, weight: float = WEIGHT, key: str = "doc_id", text: str = "text",
-    candidates: DataFrame | None = None,
-) -> DataFrame:
-    """(query_id, key, rank, relevance, cosine, bm25): a batch of queries (query_id, query) end to end.
-
-    Text statistics are of all chunks. Only ``candidates`` (key, priority), if given, are ranked, all of them by both
-    legs. Vectors are word hashes here; others come in through ``dense`` and ``rrf``.
-    """
-    vectors = tx.hash_embed(chunks, key, text)
-    asked = tx.hash_embed(queries, "query_id", "query").withColumnRenamed("embedding", "vector")
-    text_hits = bm25(queries, chunks, key, text)
-    if candidates is not None:
-        vectors, text_hits = (df.join(candidates.select(key), key, "left_semi") for df in (vectors, text_hits))
-    hits = rerank(pool_of(rrf(dense(asked, vectors, key), text_hits, key, weight, candidates), key, top_k))
-    ranked = gate_and_rank(hits, key, threshold, top_k, priority=None if candidates is None else "priority")
-    return ranked.select("query_id", key, "rank", "relevance", "cosine", "bm25")
+    known = matches.select("query_id", "chunk_id", "rank").join(around, ["query_id", "chunk_id"], "full")
+    by_turn = W.partitionBy("query_id", F.col("rank").isNull()).orderBy(F.abs("distance"), "distance")
+    room = F.lit(cap) - F.count("rank").over(W.partitionBy("query_id"))
+    fits = known.withColumn("turn", F.row_number().over(by_turn)).withColumn("room", room).where(F.col("rank").isNotNull() | (F.col("turn") <= F.col("room")))
+    place = F.when(F.col("rank") == 1, 0).otherwise(F.coalesce("distance", F.col("rank") + 1_000_000))
+    slot = F.row_number().over(W.partitionBy("query_id").orderBy(place))
+    return fits.withColumn("slot", slot).select("query_id", "chunk_id", "slot")
 
 
 def assemble_context(results: DataFrame, most: int) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tidemill.functions import text as tx
 from tidemill.operators import evaluation as e
 from tidemill.operators import relational as rel
 from tidemill.operators import retrieval as r
+from tidemill.operators import search as s
 from tidemill.plans.corpus import FOLD
 from tidemill.plans.registry import query
 from tidemill.plans.relational import TODAY, live
@@ -108,19 +110,89 @@ def r7(t):
     return gated(t).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("best", 6).alias("best"))
 
 
-@query("r8_expand_context")
+#: Places of a pool's matches and of the best one's neighbours; ``mat`` has (query_id, chunk_id, document_id, position, rank).
+EXPAND = """near AS (SELECT m.query_id, c.chunk_id, c.position - m.position AS distance FROM mat m JOIN @chunks c USING (document_id)
+    WHERE m.rank = 1 AND abs(c.position - m.position) = 1),
+  knw AS (SELECT query_id, chunk_id, rank, distance FROM mat FULL JOIN near USING (query_id, chunk_id)),
+  trn AS (SELECT *, row_number() OVER (PARTITION BY query_id, rank IS NULL ORDER BY abs(distance), distance) AS turn, @cap - count(rank) OVER (PARTITION BY query_id) AS room FROM knw),
+  slt AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank = 1 THEN 0 ELSE coalesce(distance, rank + 1000000) END) AS slot
+    FROM trn WHERE rank IS NOT NULL OR turn <= room)"""
+
+
+@query("r8_expand_context", f"""WITH {FUSED}, mat AS (SELECT query_id, chunk_id, document_id, position, rank FROM gat JOIN v_chunks ON chunk_id = vec_id),
+  {EXPAND.replace('@chunks', 'v_chunks').replace('@cap', '6')} SELECT query_id, chunk_id, slot FROM slt""")
 def r8(t):
     matches = gated(t).withColumnRenamed("vec_id", "chunk_id").join(t.v_chunks.select("chunk_id", "document_id", "position"), "chunk_id")
     return r.expand_context(matches, t.v_chunks, 1, 6)
 
 
-@query("r9_hybrid_search")
+#: CRC-32 of a word as a sum over its bytes; ``crc`` has the table of 256 values in ``t``.
+CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(1, 2 * octet_length(encode(term)), 2), lambda i: CAST('0x' || substr(hex(encode(term)), i, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+CRC_TABLE = "crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"
+LINES = "string_split(text, chr(10))"
+SEARCH = f"""pas AS (SELECT doc_id * 1000000 + pos AS chunk_id, doc_id, CAST(doc_id AS VARCHAR) AS document_id, pos AS position, line
+    FROM (SELECT doc_id, unnest({LINES}) AS line, unnest(range(len({LINES}))) AS pos FROM documents) WHERE trim(line) <> ''),
+  fnd AS (SELECT p.*, s.priority, CASE d.tier WHEN 'anonymous' THEN 0 WHEN 'user' THEN 1 ELSE 9 END <= 1 AND coalesce(d.effective_from, DATE '0001-01-01') <= DATE '2024-02-10'
+      AND coalesce(d.effective_to, DATE '9999-12-31') >= DATE '2024-02-10' AS seen
+    FROM pas p JOIN v_documents d ON d.id = p.doc_id JOIN v_sources s ON s.name = d.source
+    WHERE d.status = 'ready' AND d.review = 'approved' AND d.enabled AND s.enabled AND coalesce(d.effective_to, DATE '9999-12-31') >= DATE '2024-02-10'),
+  toks AS MATERIALIZED (SELECT chunk_id, seen, priority, {TOKENS.replace('@', 'line')} AS w FROM fnd),
+  post AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf, any_value(length) AS length FROM (SELECT chunk_id, unnest(w) AS term, len(w) AS length FROM toks) GROUP BY 1, 2),
+  stat AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM toks),
+  raw AS MATERIALIZED (SELECT term, count(*) AS df, ln((SELECT n FROM stat) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post GROUP BY 1),
+  flo AS MATERIALIZED (SELECT 0.25 * avg(raw) AS floor FROM raw),
+  idf AS (SELECT term, CASE WHEN raw < 0 THEN floor ELSE raw END AS idf FROM raw, flo),
+  ask AS MATERIALIZED (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({TOKENS.replace('@', 'text')}) AS term FROM benchmark) GROUP BY 1, 2),
+  bm AS (SELECT query_id, chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / (SELECT mean FROM stat)))) AS bm25
+    FROM post JOIN idf USING (term) JOIN ask USING (term) GROUP BY 1, 2),
+  {CRC_TABLE},
+  plc AS MATERIALIZED (SELECT term, {CRC} % 64 AS p FROM (SELECT term FROM raw UNION SELECT term FROM ask), crc),
+  cv AS MATERIALIZED (SELECT chunk_id, p, sum(tf) AS x FROM post JOIN plc USING (term) GROUP BY 1, 2),
+  qv AS MATERIALIZED (SELECT query_id, p, sum(times) AS x FROM ask JOIN plc USING (term) GROUP BY 1, 2),
+  dts AS MATERIALIZED (SELECT query_id, chunk_id, sum(q.x * c.x) AS dot FROM qv q JOIN cv c USING (p) GROUP BY 1, 2),
+  cn AS (SELECT chunk_id, sqrt(sum(x * x)) AS norm FROM cv GROUP BY 1), qn AS (SELECT query_id, sqrt(sum(x * x)) AS norm FROM qv GROUP BY 1),
+  den AS (SELECT b.item_id AS query_id, k.chunk_id, k.priority, coalesce(dot / (qn.norm * cn.norm), 0) AS cosine FROM benchmark b CROSS JOIN (SELECT * FROM toks WHERE seen) k
+    LEFT JOIN dts ON dts.query_id = b.item_id AND dts.chunk_id = k.chunk_id LEFT JOIN cn ON cn.chunk_id = k.chunk_id LEFT JOIN qn ON qn.query_id = b.item_id),
+  both_ AS (SELECT den.*, coalesce(bm25, 0) AS bm25 FROM den LEFT JOIN bm USING (query_id, chunk_id)),
+  rks AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, chunk_id) AS dr,
+      CASE WHEN bm25 > 0 THEN row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, chunk_id) END AS br FROM both_),
+  fus AS (SELECT *, ((1 - 0.7) * coalesce(1 / (60 + dr), 0) + 0.7 * coalesce(1 / (60 + br), 0)) * priority AS fused FROM rks),
+  pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 12) DESC, chunk_id) AS pool_rank FROM fus) WHERE pool_rank <= 40),
+  rel AS (SELECT *, fused + 0.25 * cosine + 0.1 * CASE WHEN bm25 > 0 THEN 1 ELSE 0 END AS relevance FROM pool),
+  gat AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(relevance * priority, 9) DESC, chunk_id) AS rank FROM rel WHERE relevance >= 0.0) WHERE rank <= 10)"""
+
+
+def passages(t):
+    """The lines of the documents, as chunks; blank ones leave a gap in the positions."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "content"))
+    chunk_id, document = (F.col("doc_id") * 1_000_000 + F.col("position")).alias("chunk_id"), F.col("doc_id").cast("string").alias("document_id")
+    return lines.where(F.trim("content") != "").select(chunk_id, document, F.col("position").cast("long").alias("position"), "content", F.lit(True).alias("embedding"))
+
+
+def searched(t):
+    """(the index of all passages that can be searched, those passages); the ones a user may see today have a priority."""
+    found = rel.searchable_chunks(passages(t), t.v_documents, t.v_sources, F.expr(TODAY))
+    seen = found.withColumn("priority", F.when(rel.is_visible("user", F.expr(TODAY)), F.col("priority")))
+    return s.build_index(seen, "chunk_id", "content", ["priority"]), found
+
+
+@query("r9_hybrid_search", f"""WITH {SEARCH}, mat AS (SELECT query_id, chunk_id, document_id, position, rank FROM gat JOIN fnd USING (chunk_id)),
+  {EXPAND.replace('@chunks', 'fnd').replace('@cap', '12')} SELECT query_id, chunk_id, slot, gat.rank, round(relevance, 6) AS relevance FROM slt LEFT JOIN gat USING (query_id, chunk_id)""")
 def r9(t):
-    """Over the documents that can be searched and that a user may see today; each is one chunk, so has no neighbours."""
-    each = t.documents.select("doc_id", "text", F.col("doc_id").cast("string").alias("document_id"), F.lit(True).alias("embedding"))
-    found = rel.searchable_chunks(each, t.v_documents, t.v_sources, F.expr(TODAY))
-    seen = rel.in_sources(rel.visible(found, "user", F.expr(TODAY)), [])
-    return r.hybrid_search(benchmark_queries(t), found.select("doc_id", "text"), candidates=seen.select("doc_id", "priority"))
+    """Every passage that a user may see today is ranked by both legs; the best one comes with its neighbours."""
+    index, found = searched(t)
+    hits = s.hybrid_search(index, benchmark_queries(t), found)
+    return hits.select("query_id", "chunk_id", F.col("slot").cast("long").alias("slot"), F.col("rank").cast("long").alias("rank"), F.round("relevance", 6).alias("relevance"))
+
+
+@query("r3_nearest_by_lists")
+def r3_lists(t):
+    """The 20 nearest of each query vector, itself apart, by inverted lists with a recall of 0.95 on a sample of queries."""
+    found = s.nearest(t.spark, t.embeddings, t.v_queries.select("query_id", "vector"), "vec_id", 21)
+    others = found.where(F.col("vec_id") != F.col("query_id"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
+    return others.withColumn("rank", rank).where("rank <= 20").select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("cosine", 6).alias("cosine"))
 
 
 @query("r10_assemble_context", f"""WITH {FUSED}, blk AS (SELECT query_id, rank, '<document title="Doc ' || vec_id || '">' || chr(10) || replace(replace(replace(replace(coalesce(d.text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')

@@ -6,6 +6,7 @@ table. A batch of a sink has its own folder, so that a batch that is tried again
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -22,8 +23,16 @@ LATE = "1 day"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a local one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemill-")
+    """A new folder in the one that driver and executors share, spark.checkpoint.dir.
+
+    Only a session without executors of its own may name none; it gets a temporary one.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tidemill-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/tidemill-stream/{uuid.uuid4().hex}"
 
 
