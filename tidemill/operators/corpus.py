@@ -242,35 +242,6 @@ def dedup_normalized(docs: DataFrame) -> DataFrame:
     return keyed.groupBy(F.sha2("key", 256).alias("key")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
-def dedup_near(vectors: DataFrame, group: str, cosine: float = 0.95, piece: int = 512) -> DataFrame:
-    """Rows that are not too like an earlier kept one of their group: greedy in key order.
-
-    Keeping depends on what was kept before, so a group is one task's work; it holds its kept vectors, and compares in
-    pieces. Groups are meant to be small (questions of a chunk); large ones belong to the near-duplicate operators.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        pdf = pdf.sort_values("vec_id")
-        x = np.stack(pdf.embedding.to_numpy()).astype(float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        kept: list[int] = []
-        for at in range(0, len(x), piece):
-            part = x[at : at + piece]
-            near = (part @ x[kept].T > cosine).any(1) if kept else np.zeros(len(part), bool)
-            own = part @ part.T > cosine
-            mine: list[int] = []
-            for i in np.flatnonzero(~near):
-                if not own[i, mine].any():
-                    mine.append(i)
-            kept += [at + i for i in mine]
-        return pdf.iloc[kept][["vec_id", group]]
-
-    kind = vectors.schema[group].dataType.simpleString()
-    return vectors.select("vec_id", group, "embedding").groupBy(group).applyInPandas(run, f"vec_id long, {group} {kind}")
-
-
 def decontaminate(docs: DataFrame, golden: DataFrame) -> DataFrame:
     """Documents whose normalized text is none of the evaluation set's."""
     keys = golden.select(tx.normalized_key(F.col("text")).alias("key")).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import text as tx
 from tidemill.operators import corpus as c
+from tidemill.operators import neardup
 from tidemill.operators import interchange
 from tidemill.plans.registry import query
 
@@ -160,7 +161,7 @@ def c22(t):
 
 @query("c23_dedup_near")
 def c23(t):
-    return c.dedup_near(t.embeddings, "label")
+    return neardup.dedup_near(t.embeddings, "label")
 
 
 @query("c24_decontaminate", f"SELECT doc_id FROM documents WHERE {KEY} NOT IN (SELECT {KEY} FROM benchmark)")
