@@ -96,10 +96,25 @@ def context_name(context: bytes) -> int:
 
 
 def _context_rows(h: bytes, times: int, text: bytes, gram: int) -> Iterator[pa.RecordBatch]:
+    """A row of each distinct context of a text, and rows with ``times`` 0 for windows that the text repeats itself.
+
+    A context that the text has twice counts twice, as that of a text that is there twice.
+    """
     for keys, at, sizes in contexts(text, gram):
-        names = [context_name(text[a : a + n + LENGTH - 1]) for a, n in zip(at.tolist(), sizes.tolist())]
+        names = np.array([context_name(text[a : a + n + LENGTH - 1]) for a, n in zip(at.tolist(), sizes.tolist())], np.int64)
+        _, first, which, often = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
+        count = np.minimum(times * often[which], 2)[first]
+        own = [keys[first], names[first], at[first], sizes[first], count]
+        if len(first) < len(names) and times == 1:
+            again = often[which] > 1
+            edges = np.flatnonzero(np.diff(np.r_[False, again, False]))
+            begins, ends = edges[::2], edges[1::2] - 1
+            none = np.zeros(len(begins), np.int64)
+            marks = [none, none, at[begins], at[ends] + sizes[ends] - at[begins], none]
+            own = [np.concatenate(x) for x in zip(own, marks)]
+        key, name, start, wins, n = own
         yield pa.record_batch(
-            [pa.array(keys), pa.array(names, pa.int64()), pa.array([h] * len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(np.full(len(at), times, np.int32))],
+            [pa.array(key), pa.array(name), pa.array([h] * len(key), pa.binary()), *[pa.array(x.astype(np.int32)) for x in (start, wins, n)]],
             ["key", "name", "h", "start", "wins", "times"],
         )
 
@@ -129,11 +144,15 @@ def find_contexts(texts: DataFrame) -> DataFrame:
 
 def settle(rows: DataFrame) -> DataFrame:
     """rows of buckets with two or more, with ``n``, how often their context is there, ``names``, the bucket's distinct
-    contexts, and ``chosen``, true for one row of each context."""
+    contexts, and ``chosen``, true for one row of each context.
+
+    What is known of a context is a table before rows are joined with it, so that Spark can split a frequent one.
+    """
     place = F.xxhash64("h", "start")
     named = rows.groupBy("key", "name").agg(F.sum("times").alias("n"), F.min(place).alias("first"))
-    buckets = named.groupBy("key").agg(F.count("*").alias("names"), F.sum("n").alias("total")).where("total > 1").drop("total")
-    return cut(rows.join(named, ["key", "name"]).join(buckets, "key").withColumn("chosen", place == F.col("first")).drop("first"))
+    of_bucket = named.groupBy("key").agg(F.count("*").alias("names"), F.sum("n").alias("total")).where("total > 1").drop("total")
+    known = cut(named.join(of_bucket, "key"))
+    return cut(rows.join(known, ["key", "name"]).withColumn("chosen", place == F.col("first")).drop("first"))
 
 
 def _marks(settled: DataFrame) -> DataFrame:
@@ -279,10 +298,11 @@ def distinct_texts(docs: DataFrame, text: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """(h, n_removed, n_spans, spans, kept) of each distinct text that loses something; h is ``text_id``."""
     texts = distinct_texts(docs, text)
-    found = cut(find_contexts(texts))
-    often = found.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1").select("key")
+    every = cut(find_contexts(texts))
+    found = every.where("times > 0")
+    often = cut(found.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1").select("key"))
     settled = settle(found.join(often, "key", "left_semi"))
-    marks, wanted = [_marks(settled)], fetch(texts, _open(settled))
+    marks, wanted = [every.where("times = 0").select("h", "start", "wins"), _marks(settled)], fetch(texts, _open(settled))
     small = [wanted.where(F.col("names") <= MOST)]
     hot = wanted.where(F.col("names") > MOST)
     for gram in GRAMS[1:]:
