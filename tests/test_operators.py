@@ -85,12 +85,6 @@ def test_typos_drop_or_swap(spark):
     assert 0.01 < lost / 4000 < 0.05 and Counter(r.variant) - Counter(text) == Counter() and r.variant != text.replace("a", "")
 
 
-def test_dedup_near(spark):
-    rows = [(0, 0, [1.0, 0.0]), (1, 0, [0.999, 0.01]), (2, 0, [0.0, 1.0]), (3, 1, [1.0, 0.0])]
-    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
-    assert sorted(x.vec_id for x in corpus.dedup_near(df, "label").collect()) == [0, 2, 3]
-
-
 def test_unknown_tier_is_out_of_reach(spark):
     rows = spark.createDataFrame([("a", "anonymous"), ("b", "typo"), ("c", "premium"), ("d", None)], "id string, tier string")
     rows = rows.withColumn("effective_from", F.lit(None).cast("date")).withColumn("effective_to", F.lit(None).cast("date"))
@@ -133,19 +127,6 @@ def test_overlay(spark):
     assert row.first()["m"] == {"a": "2"}
 
 
-def test_alerts_batch_and_stream(spark, tmp_path):
-    hour = 3600
-    checks = [("a", 0, True), ("a", hour, True), ("a", 7 * hour, True), ("a", 8 * hour, False), ("a", 9 * hour, False), ("b", 5, False)]
-    df = spark.createDataFrame(checks, "rule string, at_s long, firing boolean")
-    want = [("a", 0, "fired"), ("a", 7 * hour, "repeated"), ("a", 8 * hour, "resolved")]
-    assert sorted(map(tuple, live.alert_state_batch(df).collect())) == want
-    path = str(tmp_path / "checks")
-    df.where("at_s < 7200").coalesce(1).write.parquet(path)
-    df.where("at_s >= 7200").coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    assert sorted(map(tuple, live.finish(live.alert_state(stream), "append").drop("batch").collect())) == want
-
-
 def test_counts_with_late_files(spark, tmp_path, sf_dir):
     """Events over five files, some a file later than their time: the last state is the batch's."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -163,7 +144,7 @@ def test_registered_streams_over_shuffled_files(spark, tmp_path, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     for i in range(5):
         events.where(F.pmod(F.xxhash64("event_id"), F.lit(5)) == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
-    for name in ("t2_usage_counters", "t3_error_spikes", "t5_rollup_stream", "t6_first_binding"):
+    for name in ("t2_usage_counters", "t3_error_spikes", "t6_first_binding"):
         run = registry.queries()[name]
         got, want = run(spark, str(tmp_path)), run(spark, sf_dir)
         assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())), name

@@ -172,7 +172,7 @@ def _scores(batch: pa.RecordBatch, asked: _Asked) -> tuple[np.ndarray, np.ndarra
     ends = np.cumsum(sizes)
     at = np.repeat(asked.starts[term] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
     cells = np.repeat(row, sizes) * nq + asked.query[at]
-    text = np.bincount(cells, np.repeat(part, sizes) * asked.weight[at], minlength=n * nq).reshape(n, nq)
+    text = np.bincount(cells, np.repeat(part, sizes) * asked.weight[at], minlength=n * nq).astype(float).reshape(n, nq)  # ints if there are none
     return np.round(vectors @ asked.vectors.T, 12), text
 
 

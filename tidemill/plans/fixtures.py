@@ -176,6 +176,12 @@ class Inputs:
         self.spark, self.sf_dir = settle(spark), sf_dir
         self._held: dict[str, DataFrame] = {}
 
+    def over(self, **tables: DataFrame) -> Inputs:
+        """The same inputs with other tables, such as streams, in the place of some."""
+        other = Inputs(self.spark, self.sf_dir)
+        other._held |= tables
+        return other
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in (*TABLES, *VIEWS):
             raise AttributeError(name)

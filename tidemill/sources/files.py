@@ -35,13 +35,18 @@ def parse_events(lines: DataFrame, schema: str, column: str = "value", most: int
     return lines.where(F.length(column) <= most).select(parsed.alias("e")).where(F.col(f"e.{first}").isNotNull()).select("e.*")
 
 
-def event_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
-    """The event files of a directory as a stream, so many files a batch; without a number, all there are.
+def file_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """The parquet files of a directory as a stream, so many files a batch; without a number, all there are.
 
-    Files that are not in the order of time need one batch: later batches drop what is behind the watermark by then.
+    Files that are not in the order of time need one batch where a job goes by a watermark: later batches drop what is
+    behind it by then.
     """
     schema = spark.read.parquet(path).schema
     one = f"{path[:-1]}[{path[-1]}]"  # a pattern, as a stream takes a single file by a pattern only
     reader = spark.readStream.schema(schema)
-    raw = (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(one)
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(one)
+
+
+def event_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """``file_stream`` of events, with ``ts`` as a time."""
+    return file_stream(spark, path, files).withColumn("ts", F.col("ts").cast("timestamp"))

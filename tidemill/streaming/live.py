@@ -6,18 +6,18 @@ table. A batch of a sink has its own folder, so that a batch that is tried again
 
 from __future__ import annotations
 
+import datetime
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import astuple, dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemill.operators.metrics import local_day
-
 #: How late an event may be.
 LATE = "1 day"
 
@@ -74,12 +74,6 @@ def error_spikes(events: DataFrame, least: int = 5, share: float = 0.2) -> DataF
     return seen.select(F.unix_timestamp("w.end").alias("end_s"), "turns", "errors", spike.alias("spike"))
 
 
-def daily_counts(events: DataFrame) -> DataFrame:
-    """(day, turns, errors) by local day; late events update their day."""
-    day = F.date_format(local_day(F.col("ts")), "yyyy-MM-dd").alias("day")
-    return events.withWatermark("ts", LATE).groupBy(F.window("ts", "1 hour").alias("w"), day).agg(F.count("*").alias("turns"), F.count_if(F.col("event_type") == "error").alias("errors")).select(F.unix_timestamp("w.start").alias("hour_s"), "day", "turns", "errors")
-
-
 def first_binding(uses: DataFrame, key: str = "jti") -> DataFrame:
     """The first use of each key until the watermark passes it."""
     return uses.withWatermark("ts", LATE).dropDuplicatesWithinWatermark([key])
@@ -87,43 +81,98 @@ def first_binding(uses: DataFrame, key: str = "jti") -> DataFrame:
 
 #: Seconds after which an alert that goes on is sent again.
 COOL_DOWN = 6 * 3600
-ALERTS = "rule string, at_s long, kind string"
-
-
-def _next_alerts(rows: Iterator[tuple[int, bool]], active: bool, sent: int) -> tuple[list[tuple[int, str]], bool, int]:
+ALERTS = "rule string, at_s long, kind string, amount long"
+CHECKS = "rule string, kind string, at_s long, firing boolean, level int, seen long, delivered boolean"
+
+
+@dataclass
+class AlertState:
+    """What is known of a rule between checks; -1: nothing yet."""
+
+    active: bool = False
+    sent: int = -1
+    month: int = -1
+    level: int = 0
+    seen: int = -1
+
+    def check(self, kind: str, at: int, firing: bool, level: int, seen: int, delivered: bool) -> tuple[str, int] | None:
+        """The alert that a check sends, with its level or number. One that is not delivered is due again next time."""
+        if kind == "condition":
+            return self._condition(at, firing, delivered)
+        sent = self._level(at, level) if kind == "level" else self._count(seen)
+        if sent and delivered:
+            self._note(kind, at, level, seen)
+            return sent
+        return None
+
+    def _condition(self, at: int, firing: bool, delivered: bool) -> tuple[str, int] | None:
+        if not firing:
+            was, self.active = self.active, False
+            return ("resolved", 0) if was and delivered else None
+        due = not self.active or self.sent < 0 or at - self.sent >= COOL_DOWN
+        if not due or not delivered:
+            return None
+        sent = ("repeated" if self.active else "fired", 0)
+        self.active, self.sent = True, at
+        return sent
+
+    def _level(self, at: int, level: int) -> tuple[str, int] | None:
+        """Each level once a month; a lower one says nothing after a higher one."""
+        reached = self.level if self.month == month_of(at) else 0
+        return ("reached", level) if level > reached else None
+
+    def _count(self, seen: int) -> tuple[str, int] | None:
+        """What came since the last alert; the first check only remembers where it is."""
+        if self.seen < 0:
+            self.seen = seen
+            return None
+        return ("failed", seen - self.seen) if seen > self.seen else None
+
+    def _note(self, kind: str, at: int, level: int, seen: int) -> None:
+        self.sent = at
+        if kind == "level":
+            self.month, self.level = month_of(at), level
+        else:
+            self.seen = seen
+
+
+def month_of(at_s: int) -> int:
+    moment = datetime.datetime.fromtimestamp(at_s, datetime.timezone.utc)
+    return 12 * moment.year + moment.month
+
+
+def _alerts(rule: str, checks: pd.DataFrame, state: AlertState) -> pd.DataFrame:
     out = []
-    for at, firing in rows:
-        if firing and (not active or at - sent >= COOL_DOWN):
-            out.append((at, "repeated" if active else "fired"))
-            active, sent = True, at
-        elif active and not firing:
-            out.append((at, "resolved"))
-            active = False
-    return out, active, sent
+    for c in checks.sort_values(["at_s", "firing", "level", "seen"], na_position="first").itertuples():
+        level, seen = (0 if pd.isna(x) else int(x) for x in (c.level, c.seen))
+        if sent := state.check(c.kind, int(c.at_s), bool(c.firing), level, seen, bool(c.delivered)):
+            out.append((rule, int(c.at_s), *sent))
+    return pd.DataFrame(out, columns=["rule", "at_s", "kind", "amount"])
 
 
 def alert_state(checks: DataFrame) -> DataFrame:
-    """Alerts out of checks (rule, at_s, firing): sent on start, again after the cool-down, and once when over."""
+    """Alerts out of checks, of three kinds of rules; CHECKS has the columns.
+
+    condition: sent when ``firing`` begins, again after the cool-down, and once when it is over.
+    level:     each ``level`` (1, 2, ...) once a calendar month, UTC.
+    count:     how far ``seen``, a running number of failures, went since the last alert.
+
+    An alert that was not ``delivered`` changes nothing, so that it is tried again.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        active, sent = state.get if state.exists else (False, 0)
-        pdf = pd.concat(list(batches)).sort_values("at_s")
-        out, active, sent = _next_alerts(zip(pdf.at_s.tolist(), pdf.firing.tolist()), active, sent)
-        state.update((active, sent))
-        yield pd.DataFrame([(key[0], *row) for row in out], columns=["rule", "at_s", "kind"])
+        own = AlertState(*state.get) if state.exists else AlertState()
+        out = _alerts(key[0], pd.concat(list(batches)), own)
+        state.update(astuple(own))
+        yield out
 
-    return checks.groupBy("rule").applyInPandasWithState(run, ALERTS, "active boolean, sent long", "append", GroupStateTimeout.NoTimeout)
+    kept = "active boolean, sent long, month long, level long, seen long"
+    return checks.groupBy("rule").applyInPandasWithState(run, ALERTS, kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def alert_state_batch(checks: DataFrame) -> DataFrame:
     """What alert_state gives for all checks at once."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at_s")
-        out, _, _ = _next_alerts(zip(pdf.at_s.tolist(), pdf.firing.tolist()), False, 0)
-        return pd.DataFrame([(pdf.rule.iloc[0], *row) for row in out], columns=["rule", "at_s", "kind"])
-
-    return checks.groupBy("rule").applyInPandas(run, ALERTS)
+    return checks.groupBy("rule").applyInPandas(lambda pdf: _alerts(pdf.rule.iloc[0], pdf, AlertState()), ALERTS)
 
 
 def overdue(tickets: DataFrame, now, cursor) -> DataFrame:
