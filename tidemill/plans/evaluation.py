@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as tx
-from tidemill.operators import corpus, evaluation as e
+from tidemill.operators import corpus, curation, evaluation as e
 from tidemill.operators import retrieval as r
-from tidemill.plans.corpus import questions
 from tidemill.plans.registry import query
 from tidemill.plans.retrieval import DENSE, ROUTES, benchmark_queries, dense_hits, routed
 
@@ -146,12 +145,21 @@ def e11(t):
     return drift.select(*[F.round(c, 8).alias(c) for c in drift.columns])
 
 
+def generated(t):
+    """(questions, ranks of their own chunks, chunks): the users' turns as questions on 97 chunks."""
+    query_id = F.col("conv_id") * 1000 + F.col("turn")
+    turns = t.conversations.where("role = 'user'").select(
+        query_id.alias("query_id"), F.col("text").alias("question"), (F.col("conv_id") % 97).alias("chunk_id"),
+        F.element_at(F.array(F.lit("plain"), F.lit("chat"), F.lit("short")), (F.col("turn") % 3 + 1).cast("int")).alias("style"),
+        (((F.col("conv_id") * 31 + F.col("turn") * 7) % 101) / 101).alias("score"),
+    )
+    vectors = tx.hash_embed(turns, "query_id", "question")
+    ranks = turns.select("query_id", ((F.col("query_id") * 13) % 5 + 1).alias("rank"))
+    return turns.join(vectors, "query_id"), ranks, t.conversations.select((F.col("conv_id") % 101).alias("chunk_id"))
+
+
 @query("e12_filter_report")
 def e12(t):
-    """How many questions each curation step leaves, by style."""
-    every = questions(t)
-    capped = corpus.cap_per_chunk(every, 3)
-    kept = corpus.train_val_split(capped)
-    steps = [("all", every), ("capped", capped), ("validation", kept.where("validation"))]
-    counts = [df.groupBy("style").agg(F.lit(n).alias("step"), F.count("*").alias("n")) for n, df in steps]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    """What every curation step drops and what is kept, of all generated questions."""
+    questions, ranks, chunks = generated(t)
+    return curation.filter_report(questions, t.benchmark, ranks, chunks)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemill.functions import text as tx
-from tidemill.operators import evaluation as e
+from tidemill.operators import adapter
 from tidemill.operators import relational as rel
 from tidemill.operators import retrieval as r
 from tidemill.operators import search as s
@@ -230,16 +230,10 @@ def r12(t):
 
 @query("r13_select_lambda")
 def r13(t):
-    """Validation MRR of each ridge on the queries; one small solve for each, scored in one job."""
-    pairs = adapter_pairs(t)
-    grid = {None: None} | {x: r.fit_query_adapter(pairs, x) for x in (0.1, 1.0, 10.0)}
-    variants = F.array(*[F.struct(F.lit(-1.0 if k is None else k).alias("ridge"), r.apply_adapter(F.col("vector"), m).alias("q")) for k, m in grid.items()])
-    asked = t.v_queries.select("query_id", "expected", F.explode(variants).alias("v")).select("query_id", "expected", "v.ridge", "v.q")
-    units = t.embeddings.select("vec_id", "label", tx.unit(F.col("embedding")).alias("e"))
-    scored = units.join(r.checked_broadcast(asked), F.col("vec_id") != F.col("query_id")).select(
-        "ridge", "query_id", "vec_id", (F.col("label") == F.col("expected")).alias("hit"), tx.dot(F.col("q"), F.col("e")).alias("score")
-    )
-    return e.mrr_by(scored, "ridge", 10)
+    """Ridges by five folds of the pairs: a query is ranked by adapters that its fold had no part in."""
+    left = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    pairs = left.join(t.embeddings.select((F.col("vec_id") - 10).alias("query_id"), F.col("embedding").alias("p")), "query_id")
+    return adapter.ridge_report(pairs, t.v_queries, t.embeddings, (0.1, 1.0, 10.0))
 
 
 ROUTES = f"""{DENSE}, rts AS (SELECT query_id, 'route' || label AS route, max(cosine) AS score FROM den GROUP BY 1, 2),
