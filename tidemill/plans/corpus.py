@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import text as tx
 from tidemill.operators import corpus as c
-from tidemill.operators import neardup
+from tidemill.operators import neardup, tables
 from tidemill.operators import interchange
 from tidemill.plans.registry import query
 
@@ -96,18 +96,60 @@ def c12(t):
     return c.chunk_qa_pairs(written.withColumnRenamed("conv_id", "doc_id"))
 
 
-NATION = ["n_nationkey", "n_name", "n_regionkey"]
+#: Text of a turn as a cell: one line, without bars.
+CELL = "trim(regexp_replace(coalesce({0}, ''), '[|\\s]+', ' ', 'g'))"
 
 
-@query("c13_chunk_table_rows", """SELECT position, (min(n) + 1) || '-' || (max(n) + 1) AS rows, 'n_nationkey | n_name | n_regionkey' || chr(10) || string_agg(line, chr(10) ORDER BY n) AS content
-  FROM (SELECT n, n // 10 AS position, line FROM (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS n, n_nationkey || ' | ' || n_name || ' | ' || n_regionkey AS line FROM nation)) GROUP BY position""")
+def cell(c):
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[|\s]+", " "))
+
+
+def in_order(c, by):
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, c.alias("line")))), lambda x: x["line"]), "\n")
+
+
+@query("c12_qa_in_tables", f"""WITH qa AS (SELECT conv_id, turn, {CELL.format('question')} AS q, {CELL.format('answer')} AS a FROM v_qa),
+  kept AS (SELECT *, CASE WHEN turn % 4 = 1 THEN 1 ELSE 0 END AS leg FROM qa WHERE turn % 4 = 1 OR (lower(q) NOT IN ('', 'nan', 'none') AND lower(a) NOT IN ('', 'nan', 'none')))
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY leg, turn) - 1 AS position, left(q, 300) AS question, 'Hỏi: ' || q || chr(10) || 'Đáp: ' || a AS content FROM kept""")
+def c12_tables(t):
+    """Questions and answers of each conversation, partly as a table with numbers, partly as numbered lines, read back."""
+    qa = t.v_qa.select("conv_id", "turn", cell(F.col("question")).alias("q"), cell(F.col("answer")).alias("a"))
+    number = F.col("turn").cast("string")
+    row = F.concat(F.lit("| "), number, F.lit(" | "), "q", F.lit(" | "), "a", F.lit(" |"))
+    lines = F.concat(F.lit("**Câu hỏi "), number, F.lit(":** "), "q", F.lit("\n\nTrả lời "), number, F.lit(": "), "a")
+    own = qa.groupBy("conv_id").agg(in_order(F.when(F.col("turn") % 4 != 1, row), "turn").alias("table"), in_order(F.when(F.col("turn") % 4 == 1, lines), "turn").alias("lines"))
+    text = F.concat(F.lit("Intro\n| No | Câu hỏi | Trả lời |\n|---|:---:|---|\n| | nan | |\n"), "table", F.lit("\n\n"), "lines")
+    return tables.chunk_qa(own.select("conv_id", text.alias("text")), "conv_id")
+
+
+ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus"]
+
+
+@query("c13_chunk_table_rows", """SELECT position, (min(n) + 1) || '-' || (max(n) + 1) AS rows, 'o_orderkey | o_custkey | o_orderstatus' || chr(10) || string_agg(line, chr(10) ORDER BY n) AS content
+  FROM (SELECT n, n // 10 AS position, line FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS n, o_orderkey || ' | ' || o_custkey || ' | ' || o_orderstatus AS line FROM orders)) GROUP BY position""")
 def c13(t):
-    return c.chunk_table_rows(t.nation, NATION, "n_nationkey", 10)
+    return c.chunk_table_rows(t.orders, ORDERS, "o_orderkey", 10)
+
+
+@query("c13_tables_in_text", f"""WITH turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, '| ' || turn || ' | ' || role || ' | ' || {CELL.format('text')} || ' |' AS line FROM conversations),
+  parts AS (SELECT conv_id, 1 + n // 3 AS position, (min(n) + 1) || '-' || (max(n) + 1) AS rows, string_agg(line, chr(10) ORDER BY n) AS body FROM turns GROUP BY conv_id, n // 3),
+  ends AS (SELECT conv_id, max(position) + 1 AS position FROM parts GROUP BY 1)
+  SELECT conv_id, 0 AS position, NULL AS rows, NULL AS sheet, NULL AS heading, 'Talk of ' || conv_id AS content FROM ends
+  UNION ALL SELECT conv_id, position, rows, 'conv ' || conv_id, 'Turns', '### Turns' || chr(10) || '| turn | role | text |' || chr(10) || body FROM parts
+  UNION ALL SELECT conv_id, position, NULL, NULL, NULL, 'End of ' || conv_id FROM ends""")
+def c13_tables(t):
+    """Each conversation as a sheet with a table of its turns between lines of text."""
+    row = F.concat(F.lit("| "), F.col("turn").cast("string"), F.lit(" | "), "role", F.lit(" | "), cell(F.col("text")), F.lit(" |"))
+    own, number = t.conversations.groupBy("conv_id").agg(in_order(row, "turn").alias("table")), F.col("conv_id").cast("string")
+    text = F.concat(
+        F.lit("## Sheet: conv "), number, F.lit("\nTalk of "), number, F.lit("\n\n### Turns\n\n| turn | role | text |\n|---|---|---|\n"), "table", F.lit("\n| nan |  | NaN |\n\nEnd of "), number
+    )
+    return tables.chunk_tables(own.select("conv_id", text.alias("text")), 3, key="conv_id")
 
 
 @query("c14_pack_rows_by_chars")
 def c14(t):
-    rows = t.nation.withColumn("line", c.table_text(t.nation, NATION))
+    rows = t.nation.withColumn("line", c.table_text(t.nation, ["n_nationkey", "n_name", "n_regionkey"]))
     return c.pack_rows_by_chars(rows, "n_regionkey", "n_nationkey", "line", 80)
 
 
