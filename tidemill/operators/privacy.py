@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,6 +156,63 @@ def subject_delete(subject: DataFrame, tickets: DataFrame) -> DataFrame:
     return subject.join(hold, "conv_id", "left").withColumn("held", F.col("legal_hold") | F.coalesce("__held", F.lit(False))).drop("__held")
 
 
+def subjects_tickets(subjects: DataFrame, conversations: DataFrame, tickets: DataFrame) -> DataFrame:
+    """(subject_id, ticket_id, conv_id, held) of a batch of subjects (subject_id, user_id, visitor_id, email).
+
+    A ticket is a person's who opened it signed in, whose e-mail it has in any case of letters, or in whose conversation as
+    a visitor it was opened. What is null or empty of a person matches nothing. ``held``: it or its conversation is
+    on hold.
+    """
+    own = tickets.join(conversations.select("conv_id", "user_id", F.col("end_user_id").alias("visitor_id"), F.col("legal_hold").alias("__held")), "conv_id", "left")
+    own = own.select("ticket_id", "conv_id", "user_id", "visitor_id", F.lower("email").alias("email"), (F.col("legal_hold") | F.coalesce("__held", F.lit(False))).alias("held"))
+    keyed = subjects.withColumn("email", F.lower("email"))
+    found = [own.join(_known(keyed, c), c).select("subject_id", "ticket_id", "conv_id", "held") for c in ("user_id", "visitor_id", "email")]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def subjects_conversations(subjects: DataFrame, conversations: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(subject_id, conv_id, held): theirs as user or visitor, and those behind their tickets; held by themselves or by a ticket."""
+    own = conversations.select("conv_id", "user_id", F.col("end_user_id").alias("visitor_id"), "legal_hold")
+    found = [own.join(_known(subjects, c), c).select("subject_id", "conv_id", "legal_hold") for c in ("user_id", "visitor_id")]
+    found.append(theirs.select("subject_id", "conv_id").distinct().join(own, "conv_id").select("subject_id", "conv_id", "legal_hold"))
+    holds = theirs.where("held").select("subject_id", "conv_id", F.lit(True).alias("__held")).distinct()
+    every = reduce(DataFrame.unionByName, found).distinct().join(holds, ["subject_id", "conv_id"], "left")
+    return every.select("subject_id", "conv_id", (F.col("legal_hold") | F.coalesce("__held", F.lit(False))).alias("held"))
+
+
+def _known(subjects: DataFrame, column: str) -> DataFrame:
+    return subjects.where(F.col(column).isNotNull() & (F.col(column) != "")).select("subject_id", column)
+
+
+def subjects_export(subjects: DataFrame, conversations: DataFrame, tickets: DataFrame, messages: DataFrame, feedback: DataFrame) -> DataFrame:
+    """(subject_id, conv_id, messages, tickets): each conversation with its messages and ratings, and the person's tickets in it."""
+    theirs = subjects_tickets(subjects, conversations, tickets)
+    own = subjects_conversations(subjects, conversations, theirs)
+    rated = messages.join(feedback.select("message_id", "rating"), "message_id", "left")
+    told = rated.join(own.select("conv_id").distinct(), "conv_id", "left_semi").groupBy("conv_id")
+    nested = told.agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content", "rating"))).alias("messages"))
+    of_tickets = theirs.join(tickets.select("ticket_id", "status", "reason", "created_at"), "ticket_id").groupBy("subject_id", "conv_id")
+    listed = of_tickets.agg(F.array_sort(F.collect_list(F.struct("ticket_id", "status", "reason", "created_at"))).alias("tickets"))
+    return own.join(nested, "conv_id", "left").join(listed, ["subject_id", "conv_id"], "left").select("subject_id", "conv_id", "messages", "tickets")
+
+
+def subjects_delete(subjects: DataFrame, conversations: DataFrame, tickets: DataFrame, messages: DataFrame, feedback: DataFrame) -> DataFrame:
+    """(subject_id, conversations, messages, ratings, tickets, held_conversations, held_tickets): what goes, and what a hold keeps.
+
+    A conversation that is kept keeps its messages and ratings; a ticket that is kept keeps its conversation.
+    """
+    theirs = subjects_tickets(subjects, conversations, tickets)
+    own = subjects_conversations(subjects, conversations, theirs)
+    gone = own.where("NOT held").select("subject_id", "conv_id")
+    counts = {
+        "conversations": gone, "messages": gone.join(messages.select("conv_id"), "conv_id"), "ratings": gone.join(feedback.select("conv_id"), "conv_id"),
+        "tickets": theirs.where("NOT held"), "held_conversations": own.where("held"), "held_tickets": theirs.where("held"),
+    }
+    rows = reduce(DataFrame.unionByName, [df.groupBy("subject_id").agg(F.count("*").alias("n")).withColumn("kind", F.lit(k)) for k, df in counts.items()])
+    summed = rows.groupBy("subject_id").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in counts])
+    return subjects.select("subject_id").join(summed, "subject_id", "left").fillna(0, list(counts))
+
+
 def retention_purge(conversations: DataFrame, tickets: DataFrame, cutoff: Column) -> DataFrame:
     """Conversations that go: idle since the cutoff, not on hold, and without an open or held ticket."""
     keeps = tickets.where(F.col("status").isin("open", "assigned") | F.col("legal_hold"))

@@ -87,6 +87,43 @@ def g8(t):
     return p.subject_delete(subject(t), t.v_handoffs).select("conv_id", "held")
 
 
+SUBJECTS = """subjects AS (SELECT user_id AS subject_id, user_id, min(end_user_id) AS visitor_id, 'PERSON' || min(conv_id + conv_id % 2) || '@mail.example' AS email
+    FROM v_conversations WHERE user_id IS NOT NULL GROUP BY user_id),
+  tk AS (SELECT h.*, c.user_id, c.end_user_id, h.legal_hold OR c.legal_hold AS held FROM v_handoffs h JOIN v_conversations c USING (conv_id)),
+  st AS (SELECT DISTINCT s.subject_id, k.ticket_id, k.conv_id, k.held FROM subjects s JOIN tk k ON k.user_id = s.user_id OR k.end_user_id = s.visitor_id OR lower(k.email) = lower(s.email)),
+  sc AS (SELECT DISTINCT s.subject_id, c.conv_id, c.legal_hold FROM subjects s JOIN v_conversations c ON c.user_id = s.user_id OR c.end_user_id = s.visitor_id
+    OR c.conv_id IN (SELECT conv_id FROM st WHERE st.subject_id = s.subject_id)),
+  sh AS (SELECT subject_id, conv_id, legal_hold OR EXISTS (SELECT 1 FROM st WHERE st.subject_id = sc.subject_id AND st.conv_id = sc.conv_id AND st.held) AS held FROM sc)"""
+
+
+def subjects(t):
+    """Every signed-in user, with the first visitor id they had and an e-mail in other letters."""
+    number = F.min(F.col("conv_id") + F.col("conv_id") % 2).cast("string")
+    known = t.v_conversations.where("user_id IS NOT NULL").groupBy("user_id")
+    own = known.agg(F.min("end_user_id").alias("visitor_id"), F.concat(F.lit("PERSON"), number, F.lit("@mail.example")).alias("email"))
+    return own.select(F.col("user_id").alias("subject_id"), "user_id", "visitor_id", "email")
+
+
+@query("g7_subjects_bundle", f"""WITH {SUBJECTS}, told AS (SELECT conv_id, sha256(string_agg(turn || '|' || role || '|' || coalesce(content, '') || '|' || coalesce(CAST(rating AS VARCHAR), '-'), chr(10) ORDER BY turn)) AS messages
+    FROM v_messages LEFT JOIN (SELECT message_id, rating FROM v_feedback) USING (message_id) GROUP BY 1)
+  SELECT subject_id, conv_id, messages, (SELECT string_agg(ticket_id || ':' || status || ':' || coalesce(reason, '-'), ',' ORDER BY ticket_id) FROM st JOIN v_handoffs h USING (ticket_id)
+    WHERE st.subject_id = sc.subject_id AND st.conv_id = sc.conv_id) AS tickets FROM sc LEFT JOIN told USING (conv_id)""")
+def g7_bundle(t):
+    """All that is kept of every user, nested rows written out."""
+    out = p.subjects_export(subjects(t), t.v_conversations, t.v_handoffs, t.v_messages, t.v_feedback)
+    message = F.transform("messages", lambda m: F.concat_ws("|", m["turn"].cast("string"), m["role"], F.coalesce(m["content"], F.lit("")), F.coalesce(m["rating"].cast("string"), F.lit("-"))))
+    ticket = F.transform("tickets", lambda k: F.concat_ws(":", k["ticket_id"].cast("string"), k["status"], F.coalesce(k["reason"], F.lit("-"))))
+    return out.select("subject_id", "conv_id", F.sha2(F.array_join(message, "\n"), 256).alias("messages"), F.array_join(ticket, ",").alias("tickets"))
+
+
+@query("g8_subjects_delete_counts", f"""WITH {SUBJECTS}, gone AS (SELECT subject_id, conv_id FROM sh WHERE NOT held)
+  SELECT subject_id, (SELECT count(*) FROM gone g WHERE g.subject_id = s.subject_id) AS conversations, (SELECT count(*) FROM gone g JOIN v_messages USING (conv_id) WHERE g.subject_id = s.subject_id) AS messages,
+    (SELECT count(*) FROM gone g JOIN v_feedback USING (conv_id) WHERE g.subject_id = s.subject_id) AS ratings, (SELECT count(*) FROM st WHERE st.subject_id = s.subject_id AND NOT held) AS tickets,
+    (SELECT count(*) FROM sh WHERE sh.subject_id = s.subject_id AND held) AS held_conversations, (SELECT count(*) FROM st WHERE st.subject_id = s.subject_id AND held) AS held_tickets FROM subjects s""")
+def g8_counts(t):
+    return p.subjects_delete(subjects(t), t.v_conversations, t.v_handoffs, t.v_messages, t.v_feedback)
+
+
 @query("g9_retention_purge", f"WITH {PURGED} SELECT conv_id FROM purged")
 def g9(t):
     return purged(t).select("conv_id")
