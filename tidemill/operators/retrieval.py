@@ -121,6 +121,37 @@ def _cosines(block: DataFrame, units: DataFrame, types: dict[str, str], pool: in
     return units.mapInArrow(run, f"query_id {types['query_id']}, key {types['key']}, cosine double")
 
 
+def best_cosine(vectors: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """(key, best): each vector's largest cosine to one of the others; both have ``embedding``. No row without others.
+
+    The others go to every task as matrices, in blocks of at most about BROADCAST_ROWS; a task sends on one figure a vector.
+    """
+    sides = others.where(F.col("embedding").isNotNull()).select(tx.unit(F.col("embedding")).alias("v"))
+    n = sides.count()
+    parts = max(1, -(-n // BROADCAST_ROWS))
+    units = vectors.where(F.col("embedding").isNotNull()).select(F.col(key).alias("key"), tx.unit(F.col("embedding")).alias("v"))
+    kind = vectors.schema[key].dataType.simpleString()
+    scored = []
+    for part in range(parts if n else 0):
+        block = sides.where(F.pmod(F.xxhash64("v"), F.lit(parts)) == part).distinct().toArrow()
+        matrix = np.array(block.column("v").to_pylist(), float).reshape(len(block), -1)
+        sent = vectors.sparkSession.sparkContext.broadcast(matrix)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            step = max(1, CELLS // max(1, len(sent.value)))
+            for batch in batches if len(sent.value) else ():
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+                best = np.concatenate([(x[at : at + step] @ sent.value.T).max(axis=1) for at in range(0, len(x), step)]) if len(x) else np.zeros(0)
+                yield pa.record_batch([batch.column(0), pa.array(best)], ["key", "best"])
+
+        scored.append(units.mapInArrow(run, f"key {kind}, best double"))
+    if not scored:
+        return units.where("false").select(F.col("key").alias(key), F.lit(0.0).alias("best"))
+    if len(scored) > 1:
+        return reduce(DataFrame.unionByName, scored).groupBy(F.col("key").alias(key)).agg(F.max("best").alias("best"))
+    return scored[0].withColumnRenamed("key", key)
+
+
 def rrf(dense_hits: DataFrame, text_hits: DataFrame, key: str, weight: float = WEIGHT, priority: DataFrame | None = None) -> DataFrame:
     """(query_id, key, cosine, bm25, fused): ranks of both legs fused; text scores of 0 or less don't rank.
 
