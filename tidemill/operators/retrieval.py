@@ -252,16 +252,6 @@ def off_topic(lead: Column, best: Column) -> Column:
     return (lead >= 0.02) | ((best < 0.001) & (lead > -0.02))
 
 
-def answer_confidence(question: Column, answer: Column) -> Column:
-    """0.40 for words shared with the question, 0.20 for length, 0.30 for distinct words, 0.10 for no hedging."""
-    q, a = F.array_distinct(tx.search_tokens(question)), tx.search_tokens(answer)
-    shared = F.size(F.array_intersect(q, a)) / F.greatest(F.size(q), F.lit(1))
-    length = F.least(F.size(a) / 50.0, F.lit(1.0))
-    variety = F.size(F.array_distinct(a)) / F.greatest(F.size(a), F.lit(1))
-    hedge = F.when(tx.fold(answer).rlike(r"\b(khong chac|co the|maybe|perhaps|not sure)\b"), 0.0).otherwise(1.0)
-    return F.round(0.4 * shared + 0.2 * length + 0.3 * variety + 0.1 * hedge, 3)
-
-
 def gram(pairs: DataFrame, q: str = "q", p: str = "p") -> DataFrame:
     """(i, j, qq, qp): sums of products of query and passage components, over all pairs, by one aggregation."""
     each = pairs.select(F.posexplode(q).alias("i", "x"), F.col(q).alias("qs"), F.col(p).alias("ps"))

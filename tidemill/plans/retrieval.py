@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidemill.functions import text as tx
+from tidemill.functions import confidence as cf
 from tidemill.operators import adapter
 from tidemill.operators import relational as rel
 from tidemill.operators import retrieval as r
@@ -270,10 +270,44 @@ def r16(t):
     return model.transform(weighted.where("vec_id % 5 = 0")).select("vec_id", F.col("label").cast("long").alias("label"), F.col("prediction").cast("long").alias("predicted"))
 
 
-@query("r17_answer_confidence")
+def sql_list(words):
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+#: Words that carry content, a band's score, and how many phrases a text has, in DuckDB.
+CONTENT = f"list_filter(list_distinct(regexp_extract_all(lower({{0}}), '[\\p{{{{L}}}}\\p{{{{N}}}}_]+')), lambda w: length(w) > 1 AND NOT list_contains({sql_list(cf.STOPWORDS)}, w))"
+BAND = "CASE WHEN {0} < {1} THEN {0} / {1} WHEN {0} <= {2} THEN 1.0 ELSE greatest(0.0, 1 - ({0} - {2}) / {2}) END"
+PHRASES = "len(list_filter({1}, lambda p: contains({0}, p)))"
+CONFIDENCE = rf"""asked AS (SELECT message_id, a.answer, a.question FROM v_qa a JOIN v_messages m ON m.conv_id = a.conv_id AND m.turn = a.turn),
+  told AS (SELECT message_id, string_agg(coalesce(d.text, ''), chr(10) ORDER BY c."at") AS context, avg(CAST((message_id * 7 + c."at" * 31) % 97 AS DOUBLE) / 97) AS found
+    FROM v_citations c JOIN documents d ON CAST(d.doc_id AS VARCHAR) = c.document_id GROUP BY 1),
+  txt AS (SELECT message_id, coalesce(answer, '') AS a, coalesce(question, '') AS q, coalesce(context, '') AS c, found FROM asked LEFT JOIN told USING (message_id)),
+  kws AS (SELECT *, {CONTENT.format('c')} AS ck, {CONTENT.format('a')} AS ak, len(regexp_extract_all(a, '\S+')) AS an, len(regexp_extract_all(q, '\S+')) AS qn,
+      length(a) / length(c) AS ratio, list_filter(regexp_split_to_array(lower(a), '[.!?]+'), lambda s: trim(regexp_replace(s, '\s+', '', 'g')) <> '') AS st, regexp_extract_all(lower(a), '\S+') AS aw,
+      {PHRASES.format('lower(a)', sql_list(cf.DOUBT))} AS dn FROM txt),
+  fct AS (SELECT message_id,
+      CASE WHEN trim(regexp_replace(c, '\s+', '', 'g')) = '' THEN 0.3 WHEN len(ck) = 0 THEN 0.5 ELSE
+        0.4 * len(list_intersect(ck, ak)) / len(ck) + 0.3 * {BAND.format('ratio', 0.1, 0.5)} + 0.3 * CASE WHEN found IS NULL THEN 0.5 ELSE least(1.0, found) END END AS alignment,
+      CASE WHEN qn <= 5 THEN {BAND.format('an', 10, 50)} WHEN qn <= 15 THEN {BAND.format('an', 20, 100)} ELSE {BAND.format('an', 30, 200)} END AS length,
+      CASE WHEN len(st) <= 1 THEN 1.0 ELSE 0.6 * least(1.0, list_sum(list_transform(st, lambda s: {PHRASES.format('s', sql_list(cf.CONNECTORS))})) / len(st)) + 0.4 * len(list_distinct(aw)) / len(aw) END AS coherence,
+      CASE WHEN dn <= 3 THEN 1 - 0.2 * dn ELSE greatest(0.0, 1 - 0.1 * (dn - 3)) END AS certainty FROM kws)"""
+
+
+@query("r17_answer_confidence", f"""WITH {CONFIDENCE}, ovr AS (SELECT *, 0.4 * alignment + 0.2 * length + 0.3 * coherence + 0.1 * certainty AS score FROM fct)
+  SELECT message_id, round(CAST(alignment AS DOUBLE), 6) AS alignment, round(CAST(length AS DOUBLE), 6) AS length, round(CAST(coherence AS DOUBLE), 6) AS coherence, round(CAST(certainty AS DOUBLE), 6) AS certainty,
+    round(CAST(score AS DOUBLE), 6) AS score, CASE WHEN score >= 0.8 THEN 'High' WHEN score >= 0.6 THEN 'Moderate' WHEN score >= 0.4 THEN 'Low' ELSE 'Very Low' END AS level FROM ovr""")
 def r17(t):
-    asked = rel.question_before(t.v_messages)
-    return asked.select("message_id", r.answer_confidence(F.coalesce("question", F.lit("")), F.col("content")).alias("confidence"))
+    """Every answer against its question and the documents that it cites, with a score for each of them."""
+    asked = rel.question_before(t.v_messages).where("question IS NOT NULL").select("message_id", "question", F.col("content").alias("answer"))
+    cited = t.v_citations.join(t.documents.select(F.col("doc_id").cast("string").alias("document_id"), "text"), "document_id")
+    each = cited.groupBy("message_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n").alias("context"),
+        F.avg(((F.col("message_id") * 7 + F.col("at") * 31) % 97) / 97).alias("found"),
+    )
+    parts = cf.factors(F.col("question"), F.col("answer"), F.col("context"), F.col("found"))
+    scored = asked.join(each, "message_id", "left").select("message_id", *[p.alias(n) for n, p in parts.items()])
+    score = cf.overall({n: F.col(n) for n in parts})
+    return scored.withColumn("score", score).select("message_id", *[F.round(n, 6).alias(n) for n in (*parts, "score")], cf.level(F.col("score")).alias("level"))
 
 
 @query("a27_index_stats", """SELECT d.source, count(*) AS n FROM v_chunks c JOIN v_documents d USING (document_id) JOIN v_sources s ON s.name = d.source
