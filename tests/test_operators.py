@@ -33,12 +33,6 @@ def test_chunk_by_heading(spark):
     assert rows[1].content == "# One\n## Empty\n## Two\nbody"
 
 
-def test_chunk_by_legal_article(spark):
-    text = "Chương I\nQuy định\nĐiều 1. Phạm vi\nnội dung\nĐiều 2. Đối tượng\nkhác\nChương II\nĐiều 3. Cuối"
-    rows = corpus.chunk_by_legal_article(docs(spark, text)).orderBy("position").collect()
-    assert [x.labels for x in rows] == ["chuong i · dieu 1", "chuong i · dieu 2", "chuong ii · dieu 3"]
-
-
 def test_chunk_qa_pairs(spark):
     rows = corpus.chunk_qa_pairs(docs(spark, "Q: one?\nA: yes\nmore\nHỏi: hai?\nĐáp: có\nQ: none?")).orderBy("position").collect()
     assert [(x.question, x.answer) for x in rows] == [("one?", "yes\nmore"), ("hai?", "có")]

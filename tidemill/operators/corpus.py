@@ -92,39 +92,6 @@ def chunk_by_heading(docs: DataFrame, level: int = 2, size: int = 1_000) -> Data
     return _per_document(docs, lambda t: split_by_heading(t, level, size), "doc_id long, position long, heading string, content string")
 
 
-#: The folded names of the levels of a Vietnamese law, outermost first.
-LEGAL = ("chuong", "muc", "dieu", "khoan")
-
-
-def chunk_by_legal_article(docs: DataFrame, split_at: str = "dieu") -> DataFrame:
-    """(doc_id, position, labels, content): one chunk for each unit of the level, under its enclosing labels.
-
-    Lines are numbered in each text; the last marker of each level, since the last one of an enclosing level, is a
-    window over the document's lines.
-    """
-    lines = docs.select("doc_id", F.posexplode(F.split("text", r"\r?\n")).alias("at", "line"))
-    folded = tx.fold(F.trim(F.regexp_replace("line", r"[#*]", "")))
-    order = W.partitionBy("doc_id").orderBy("at")
-    depth = LEGAL.index(split_at)
-    out = lines
-    for i, name in enumerate(LEGAL[: depth + 1]):
-        mark = F.regexp_extract(folded, rf"^({name}\s+[0-9ivxlc]+[a-z]?)\b", 1)
-        out = out.withColumn(f"m{i}", F.nullif(mark, F.lit("")))
-    for i in range(depth + 1):
-        outer = [F.col(f"m{j}").isNotNull() for j in range(i)]
-        reset = F.sum(F.when(F.greatest(*[o.cast("int") for o in outer], F.lit(0)) == 1, 1).otherwise(0)).over(order) if outer else F.lit(0)
-        out = out.withColumn(f"r{i}", reset)
-    for i in range(depth + 1):
-        out = out.withColumn(f"l{i}", F.last(f"m{i}", ignorenulls=True).over(W.partitionBy("doc_id", f"r{i}").orderBy("at")))
-    out = out.withColumn("unit", F.sum(F.col(f"m{depth}").isNotNull().cast("int")).over(order))
-    labels = F.array_join(F.array(*[f"l{i}" for i in range(depth + 1)]), " · ")
-    titles = F.coalesce(*[F.col(f"m{i}") for i in range(depth)], F.lit(None)).isNotNull()  # lines that open what encloses later units
-    kept = out.where((F.col("unit") > 0) & ~titles).groupBy("doc_id", "unit").agg(
-        F.min_by(labels, "at").alias("labels"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("content")
-    )
-    return kept.select("doc_id", (F.col("unit") - 1).alias("position"), "labels", "content")
-
-
 def chunk_qa_pairs(docs: DataFrame) -> DataFrame:
     """(doc_id, position, question, answer) of lines that start with a question or answer mark, as pairs."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", r"\r?\n")).alias("at", "line"))

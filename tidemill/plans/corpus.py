@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tidemill.functions import text as tx
 from tidemill.operators import corpus as c
-from tidemill.operators import neardup, tables
+from tidemill.operators import legal, neardup, tables
 from tidemill.operators import interchange
 from tidemill.plans.registry import query
 
@@ -78,12 +79,30 @@ def c10(t):
     return c.chunk_by_heading(texts(t))
 
 
-@query("c11_chunk_by_legal_article", """SELECT doc_id, 0 AS position, 'chuong i · dieu 1' AS labels, 'Điều 1. Tên' || chr(10) || text AS content FROM documents
-  UNION ALL SELECT doc_id, 1, 'chuong ii · dieu 2', 'Điều 2. Sau' || chr(10) || CAST(doc_id AS VARCHAR) FROM documents""")
+#: Text of a turn as a cell: one line, without bars.
+CELL = "trim(regexp_replace(coalesce({0}, ''), '[|\\s]+', ' ', 'g'))"
+
+
+def cell(c):
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[|\s]+", " "))
+
+
+def in_order(c, by):
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, c.alias("line")))), lambda x: x["line"]), "\n")
+
+
+@query("c11_chunk_by_legal_article", f"""WITH art AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, {CELL.format('text')} AS body FROM conversations)
+  SELECT conv_id, n - 1 AS position, CASE WHEN n <= 3 THEN 'Chương I' ELSE 'Chương II' END AS chapter, CASE WHEN n <= 3 THEN 'Mục 1' END AS section, 'Điều ' || n AS article, NULL AS clause,
+    CASE WHEN n <= 3 THEN 'Chương I Quy định ' || conv_id || ' › Mục 1. Phần đầu' ELSE 'Chương II Phần cuối' END || chr(10) || '## Điều ' || n || '. ' || role
+    || CASE WHEN regexp_full_match(body, '[\\s|+:=_-]*') THEN '' ELSE chr(10) || body END AS content FROM art""")
 def c11(t):
-    """Each document as the first article of a law, with a second one in another chapter."""
-    law = F.concat(F.lit("Chương I\nĐiều 1. Tên\n"), F.col("text"), F.lit("\nChương II\nĐiều 2. Sau\n"), F.col("doc_id").cast("string"))
-    return c.chunk_by_legal_article(t.documents.select("doc_id", law.alias("text")))
+    """Each conversation as a law: turns are articles, three of them in a section of the first chapter, the rest in a second one."""
+    turns = t.conversations.withColumn("n", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")))
+    second = F.when(F.col("n") == 4, F.lit("**Chương II**\nPhần cuối\n")).otherwise("")
+    article = F.concat(second, F.lit("## Điều "), F.col("n").cast("string"), F.lit(". "), "role", F.lit("\n\n"), cell(F.col("text")))
+    laws = turns.groupBy("conv_id").agg(in_order(article, "n").alias("articles"))
+    text = F.concat(F.lit("Chương I\n\nQuy định "), F.col("conv_id").cast("string"), F.lit("\nMục 1. Phần đầu\n"), "articles")
+    return legal.chunk_by_legal_unit(laws.select("conv_id", text.alias("text")), size=1_000_000, key="conv_id")
 
 
 @query("c12_chunk_qa_pairs", """SELECT conv_id AS doc_id, 0 AS position, trim(regexp_replace(question, '\\s+', ' ', 'g')) AS question, trim(regexp_replace(answer, '\\s+', ' ', 'g')) AS answer FROM (SELECT conv_id,
@@ -96,18 +115,6 @@ def c12(t):
     return c.chunk_qa_pairs(written.withColumnRenamed("conv_id", "doc_id"))
 
 
-#: Text of a turn as a cell: one line, without bars.
-CELL = "trim(regexp_replace(coalesce({0}, ''), '[|\\s]+', ' ', 'g'))"
-
-
-def cell(c):
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[|\s]+", " "))
-
-
-def in_order(c, by):
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, c.alias("line")))), lambda x: x["line"]), "\n")
-
-
 @query("c12_qa_in_tables", f"""WITH qa AS (SELECT conv_id, turn, {CELL.format('question')} AS q, {CELL.format('answer')} AS a FROM v_qa),
   kept AS (SELECT *, CASE WHEN turn % 4 = 1 THEN 1 ELSE 0 END AS leg FROM qa WHERE turn % 4 = 1 OR (lower(q) NOT IN ('', 'nan', 'none') AND lower(a) NOT IN ('', 'nan', 'none')))
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY leg, turn) - 1 AS position, left(q, 300) AS question, 'Hỏi: ' || q || chr(10) || 'Đáp: ' || a AS content FROM kept""")
