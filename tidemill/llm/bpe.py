@@ -79,8 +79,8 @@ def encode(
 
     With ``decoded``, also the bytes that the ids decode to, by the task that has put them in place, so that a
     second Python process beside it is not needed.
-    Null and empty texts have no ids. Repeated rows repeat, null keys stay, other columns are left out; an empty
-    table gives an empty one. The input must give the same rows in the same order each time it is read.
+    Null and empty texts have no ids. Very long texts are taken whole, each within one block; a pre-token may have any
+    length. Repeated rows repeat, null keys stay, other columns are left out; an empty table gives an empty one. The input must give the same rows in the same order each time it is read.
     """
     ranks = read_ranks(path or public_tokenizers.path(RANKS))
     spark = docs.sparkSession

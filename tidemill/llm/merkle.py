@@ -315,3 +315,40 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.when(tampered, F.translate(text, "\n", "")).otherwise(text)
     found = manifest(docs, "source", "doc_id", digest(*fields, text), digest(*fields, now))
     return found.drop("source")
+
+
+def _part(column: str) -> str:
+    value = f"CAST({column} AS VARCHAR)"
+    return f"coalesce(octet_length(encode({value})) || ':' || {value}, '-')"
+
+
+def _leaf(*columns: str) -> str:
+    return f"sha256({' || '.join(map(_part, columns))})"
+
+
+_BYTES = "list_transform(range(1, 2 * length(CAST(doc_id AS VARCHAR)), 2), lambda i: CAST('0x' || substr(hex(encode(CAST(doc_id AS VARCHAR))), i, 2) AS BIGINT))"
+#: CRC-32 of the decimal key, by the table ``t``.
+_CRC = f"xor(list_reduce(list_prepend(4294967295, {_BYTES}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+#: Levels of the sources' trees and of the one above them by recursion; every leaf is folded with the runs on its way.
+ORACLE = f"""
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+docs AS (SELECT *, CASE WHEN {_CRC} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS now FROM documents, crc),
+trees AS (SELECT source AS name, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, n FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)),
+leaves AS MATERIALIZED (SELECT doc_id, tree, n, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS idx, {_leaf('doc_id', 'source', 'lang', 'n_chars', 'text')} AS leaf,
+    {_leaf('doc_id', 'source', 'lang', 'n_chars', 'now')} AS received FROM docs JOIN trees ON source IS NOT DISTINCT FROM name),
+lower_ AS (SELECT tree, 0 AS l, idx, n, leaf AS h FROM leaves
+  UNION ALL SELECT tree, l + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM lower_ WHERE n > 1 GROUP BY tree, l, idx // 3, n),
+subs AS (SELECT tree, l AS top, h AS subroot FROM lower_ WHERE n = 1),
+upper_ AS (SELECT 0 AS l, tree AS idx, (SELECT count(*) FROM trees) AS n, subroot AS h FROM subs
+  UNION ALL SELECT l + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM upper_ WHERE n > 1 GROUP BY l, idx // 3, n),
+nodes AS MATERIALIZED (SELECT tree, l, idx, h FROM lower_ WHERE n > 1 UNION ALL SELECT s.tree, s.top + u.l, u.idx, u.h FROM upper_ u, subs s WHERE u.n > 1),
+ways AS MATERIALIZED (SELECT doc_id, leaves.tree, l, CASE WHEN l < top THEN idx ELSE leaves.tree END // CAST(pow(3, CASE WHEN l < top THEN l ELSE l - top END) AS BIGINT) AS idx
+  FROM leaves JOIN subs USING (tree) JOIN (SELECT DISTINCT tree, l FROM nodes) USING (tree)),
+steps AS MATERIALIZED (SELECT doc_id, w.l, list(CASE WHEN k.idx = w.idx THEN NULL ELSE k.h END ORDER BY k.idx) AS hs FROM ways w JOIN nodes k ON k.tree = w.tree AND k.l = w.l AND k.idx // 3 = w.idx // 3 GROUP BY 1, 2),
+fold AS (SELECT doc_id, 0 AS l, received AS x FROM leaves
+  UNION ALL SELECT f.doc_id, f.l + 1, sha256(array_to_string(list_transform(s.hs, lambda h: coalesce(h, f.x)), '')) FROM fold f JOIN steps s ON s.doc_id = f.doc_id AND s.l = f.l),
+proofs AS (SELECT doc_id, string_agg(array_to_string(hs, ''), '' ORDER BY l) AS p FROM steps GROUP BY 1),
+root_ AS (SELECT h AS root FROM upper_ WHERE n = 1)
+SELECT leaves.doc_id, leaf, subroot, root, sha256(coalesce(p, '')) AS proof_sha256, x AS folded_root, x = root AS verified
+FROM leaves JOIN subs USING (tree) CROSS JOIN root_ LEFT JOIN proofs USING (doc_id) JOIN (SELECT doc_id, arg_max(x, l) AS x FROM fold GROUP BY 1) USING (doc_id)
+"""

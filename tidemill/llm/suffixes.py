@@ -382,3 +382,22 @@ def op11_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = {c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_spans")}
     joined = rows.withColumn("h", h).join(found, F.col("h") == F.col("found"), "left")
     return joined.select("doc_id", "n_bytes", *number.values(), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+
+
+#: Texts as hex digits, in parts of 1,000 windows, so that a window is not looked for from the start of a long text.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+parts AS MATERIALIZED (SELECT doc_id, n, p, substr(h, 2000 * p + 1, 2398) AS h FROM (SELECT doc_id, n, h, unnest(range((n - 200) // 1000 + 1)) AS p FROM d WHERE n >= 200)),
+win AS MATERIALIZED (SELECT doc_id, 1000 * p + i AS i, md5(substr(h, 2 * i + 1, 400)) AS s FROM (SELECT doc_id, p, h, unnest(range(least(1000, n - 199 - 1000 * p))) AS i FROM parts)),
+again AS (SELECT doc_id, i FROM win WHERE s IN (SELECT s FROM win GROUP BY s HAVING count(*) > 1)),
+runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM again)),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM runs GROUP BY doc_id, run),
+gone AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM spans GROUP BY doc_id),
+left_over AS (
+  SELECT doc_id, n, h, n_removed, n_spans, list_transform(range(len(a) + 1), lambda k: [CASE WHEN k = 0 THEN 0 ELSE z[k] END, CASE WHEN k = len(a) THEN n ELSE a[k + 1] END]) AS kept
+  FROM d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(from_hex(CASE WHEN kept IS NULL THEN h ELSE array_to_string(list_transform(kept, lambda s: substr(h, 2 * s[1] + 1, 2 * (s[2] - s[1]))), '') END)) AS kept_sha256
+FROM left_over
+"""

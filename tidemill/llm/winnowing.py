@@ -102,7 +102,11 @@ def digest(fingerprint: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """(key, fingerprint) of every whole text. One pass, no shuffle; repeated rows repeat, other columns go."""
+    """(key, fingerprint) of every whole text. One pass, no shuffle; repeated rows repeat, other columns go.
+
+    Null and empty texts have an empty fingerprint; very long ones are taken whole, in blocks of an array; keys are of any
+    type and may be null or equal; an empty table gives an empty one.
+    """
     return docs.select(F.col(key), winnow(F.col(text), gram, window).alias("fingerprint"))
 
 
@@ -127,7 +131,8 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
 def beside_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, W]:
     """Rows (bucket, guest, key, text) and a window in which the next document of each is the row after it.
 
-    Order is by descending key, nulls last, equal keys by text; after the last comes the first. Keys are dealt
+    Order is by descending key, nulls last, equal keys by text; after the last comes the first. Keys are numbers (others
+    fail); an empty table has no rows; rows of one key, or without any, are sorted in one task. Keys are dealt
     into ranges of about equal size, eight for each shuffle partition, by approximate quantiles. The first document
     of a range also visits the range before, as a guest at its end, so that one shuffle of the texts is enough. The
     visits are a row for each range, which bounds what is broadcast and what the driver sees.
