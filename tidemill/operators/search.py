@@ -16,7 +16,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -191,19 +191,61 @@ def _best(scores: np.ndarray, most: int) -> np.ndarray:
     return scores >= np.partition(scores, -most, axis=0)[-most] - 1e-9
 
 
+@dataclass
+class _Best:
+    """The best ``most`` of each query and leg, of what a task has seen; ties go by key, so that it is never more."""
+
+    most: int
+    queries: int
+    held: list[tuple] = field(default_factory=list)
+    size: int = 0
+    least: tuple[np.ndarray, np.ndarray] | None = None
+
+    def add(self, part: pa.RecordBatch, cosine: np.ndarray, text: np.ndarray, mine: np.ndarray) -> None:
+        if self.least is None:
+            keep = _best(cosine, self.most) | (_best(text, self.most) & (text > 0))
+        else:
+            keep = (cosine >= self.least[0]) | ((text >= self.least[1]) & (text > 0))
+        i, j = np.nonzero(keep & mine)
+        self.held.append((j, cosine[i, j], text[i, j], part.column(0).take(pa.array(i)), part.column(1).take(pa.array(i))))
+        self.size += len(j)
+        if self.size > 6 * self.most * self.queries:
+            self.prune()
+
+    def prune(self) -> None:
+        """Leaves the best; ``least`` are the scores that a chunk needs by now to be one of them."""
+        q, cosine, text = (np.concatenate([h[k] for h in self.held]) for k in range(3))
+        keys, priority = (pa.concat_arrays([h[k] for h in self.held]) for k in (3, 4))
+        by_key = keys.to_numpy(zero_copy_only=False)
+        keep, least = np.zeros(len(q), bool), []
+        for score, among in ((np.round(cosine, 9), np.ones(len(q), bool)), (np.round(text, 9), text > 0)):
+            own = np.flatnonzero(among)
+            order = own[np.lexsort((by_key[own], -score[own], q[own]))]
+            counts = np.bincount(q[order], minlength=self.queries)
+            place = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts)
+            keep[order[place < self.most]] = True
+            last = np.full(self.queries, -np.inf)
+            at = order[place == self.most - 1]
+            last[q[at]] = score[at] - 1e-9
+            least.append(last)
+        at = np.flatnonzero(keep)
+        self.held = [(q[at], cosine[at], text[at], keys.take(pa.array(at)), priority.take(pa.array(at)))]
+        self.size, self.least = len(at), tuple(least)
+
+
 def _tops(rows: DataFrame, asked: _Asked, most: int, wanted: np.ndarray) -> DataFrame:
     """(query_id, key, cosine, bm25, priority, dr, br) of the best of either leg; a rank over ``most`` is not known yet."""
     sent = rows.sparkSession.sparkContext.broadcast((asked, wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, mine = sent.value
+        best = _Best(most, len(own.ids))
         for part, cosine, text in _parts(batches, own):
-            keep = (_best(cosine, most) | (_best(text, most) & (text > 0))) & mine
-            i, j = np.nonzero(keep)
-            yield pa.record_batch(
-                [own.ids.take(pa.array(j)), part.column(0).take(pa.array(i)), pa.array(cosine[i, j]), pa.array(text[i, j]), part.column(1).take(pa.array(i))],
-                ["query_id", "key", "cosine", "bm25", "priority"],
-            )
+            best.add(part, cosine, text, mine)
+        if best.held:
+            best.prune()
+            q, cosine, text, keys, priority = best.held[0]
+            yield pa.record_batch([own.ids.take(pa.array(q)), keys, pa.array(cosine), pa.array(text), priority], ["query_id", "key", "cosine", "bm25", "priority"])
 
     kind = rows.schema["key"].dataType.simpleString()
     asked_kind = "string" if pa.types.is_string(asked.ids.type) else "long"
