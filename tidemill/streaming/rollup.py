@@ -10,16 +10,12 @@ from __future__ import annotations
 import datetime
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.operators import interchange, metrics
 from tidemill.streaming.live import work_dir
 
-#: Days computed in one job; a longer backlog takes several.
-DAYS = 400
-
-
 @dataclass
 class Facts:
     """What the rollup joins with messages: tables with ``created_at``, as of now."""
@@ -30,18 +26,16 @@ class Facts:
     prices: DataFrame
 
 
-def _of_days(df: DataFrame, days: list[datetime.date], day: Column) -> DataFrame:
-    return df.where(day.isin(days))
-
-
 def recompute(messages: DataFrame, facts: Facts, days: list[datetime.date], path: str, zone: str = metrics.ZONE) -> None:
-    """Replaces these days of the rollup at ``path``; days without messages have no row."""
+    """Replaces these days of the rollup at ``path``, all in one job; days without messages have no row.
+
+    The days are a calendar's, so they are broadcast.
+    """
+    wanted = F.broadcast(messages.sparkSession.createDataFrame([(d,) for d in days], "__day date"))
     day = metrics.local_day(F.col("created_at"), zone)
-    for at in range(0, len(days), DAYS):
-        own = days[at : at + DAYS]
-        parts = [_of_days(df, own, day) for df in (messages, facts.handoffs, facts.steps, facts.usage)]
-        rolled = metrics.daily_rollup(*parts, facts.prices, zone)
-        interchange.upsert_daily(rolled.withColumn("day", F.col("day").cast("string")), path)
+    parts = [df.join(wanted, day == F.col("__day"), "left_semi") for df in (messages, facts.handoffs, facts.steps, facts.usage)]
+    rolled = metrics.daily_rollup(*parts, facts.prices, zone)
+    interchange.upsert_daily(rolled.withColumn("day", F.col("day").cast("string")), path)
 
 
 def keep_rollup(messages: DataFrame, facts: Facts, zone: str = metrics.ZONE, recent: int = 2, where: str | None = None) -> DataFrame:
@@ -68,7 +62,8 @@ def keep_rollup(messages: DataFrame, facts: Facts, zone: str = metrics.ZONE, rec
         newest = stored().where(F.col("day").isNotNull()).agg(F.max("day")).first()[0]
         touched |= {newest - datetime.timedelta(days=i) for i in range(recent)}
         days = sorted(d for d in touched if d is not None)
-        recompute(stored().where(F.col("day").isin(days)).drop("day", "batch"), facts, days, f"{where}/rollup", zone)
+        known = F.broadcast(spark.createDataFrame([(d,) for d in days], "day date"))
+        recompute(stored().join(known, "day", "left_semi").drop("day", "batch"), facts, days, f"{where}/rollup", zone)
 
     query = messages.writeStream.option("checkpointLocation", f"{where}/state").trigger(availableNow=True).foreachBatch(each).start()
     query.awaitTermination()
