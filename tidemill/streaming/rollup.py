@@ -54,7 +54,7 @@ def keep_rollup(messages: DataFrame, facts: Facts, zone: str = metrics.ZONE, rec
         return spark.read.schema(schema).parquet(f"{where}/messages")
 
     def each(df: DataFrame, batch: int) -> None:
-        df.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(f"{where}/messages/batch={batch}")
+        df.withColumn("day", day).repartition("day").write.mode("overwrite").partitionBy("day").parquet(f"{where}/messages/batch={batch}")
         new = stored().where(F.col("batch") == batch).select("day").distinct()
         touched = {r["day"] for r in new.toLocalIterator()}  # days, so few
         if not touched:
