@@ -67,20 +67,24 @@ def confusion(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("expected", "predicted").agg(F.count("*").alias("n"))
 
 
-def routing_report(pairs: DataFrame, labels: Sequence[str], default: str) -> DataFrame:
-    """(accuracy, macro_f1, stolen): stolen are default questions that another route took; labels that never occur count 0."""
-    counts = confusion(pairs)
-    each = counts.select(F.explode(F.array(F.struct(F.col("expected").alias("label"), F.lit(1).alias("e"), F.lit(0).alias("p")), F.struct(F.col("predicted").alias("label"), F.lit(0).alias("e"), F.lit(1).alias("p")))).alias("x"), "n", (F.col("expected") == F.col("predicted")).alias("same"))
-    by_label = each.groupBy("x.label").agg(
-        F.sum(F.col("x.e") * F.col("n")).alias("expected"), F.sum(F.col("x.p") * F.col("n")).alias("predicted"), F.sum(F.when(F.col("same"), F.col("x.e") * F.col("n")).otherwise(0)).alias("right")
-    )
-    f1 = F.sum(F.when(F.col("label").isin(*labels), 2 * F.col("right") / (F.col("expected") + F.col("predicted"))).otherwise(0.0)) / len(labels)
-    score = by_label.agg(F.round(f1, 9).alias("macro_f1"))
-    right = counts.agg(
-        (F.sum(F.when(F.col("expected") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"),
-        F.sum(F.when((F.col("expected") == default) & (F.col("predicted") != default), F.col("n")).otherwise(0)).alias("stolen"),
+def routing_report(pairs: DataFrame, labels: Sequence[str], default: str, count: bool = False) -> DataFrame:
+    """(accuracy, macro_f1, stolen): stolen are default questions that another route took; labels that never occur count 0.
+
+    One aggregation of the confusion counts, so that the pairs are worked out once. ``count`` adds their number, n.
+    """
+    e, p, n = F.col("expected"), F.col("predicted"), F.col("n")
+
+    def total(when: Column) -> Column:
+        return F.coalesce(F.sum(F.when(when, n)), F.lit(0))
+
+    f1 = [F.coalesce(2 * total((e == x) & (p == x)) / F.nullif(total(e == x) + total(p == x), F.lit(0)), F.lit(0.0)) for x in labels]
+    out = confusion(pairs).agg(
+        (total(e == p) / F.sum("n")).alias("accuracy"),
+        F.sum(F.when((e == default) & (p != default), n).otherwise(0)).alias("stolen"),
+        F.round(sum(f1, F.lit(0.0)) / len(labels), 9).alias("macro_f1"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
     )
-    return right.crossJoin(score)
+    return out if count else out.drop("n")
 
 
 def grouped_accuracy(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -115,13 +119,17 @@ def compare_configs(metrics: DataFrame, baseline: str) -> DataFrame:
 def regression_gate(now: DataFrame, baseline: DataFrame) -> DataFrame:
     """(rule, failed) from one-row tables (n, recall, mrr, accuracy, cases, stolen)."""
     b = baseline.select(*[F.col(c).alias(f"b_{c}") for c in baseline.columns])
-    both = now.crossJoin(b)
+    return gate_rules(now.crossJoin(F.broadcast(b)).withColumn("base", F.struct(*[F.col(f"b_{c}").alias(c) for c in baseline.columns])))  # one row
+
+
+def gate_rules(both: DataFrame) -> DataFrame:
+    """(rule, failed) from a row with a run's figures and its baseline's in the struct ``base``."""
     allowed = F.greatest(F.lit(0.02), 2 / F.col("cases"))
     rules = {
-        "set_changed": F.col("n") != F.col("b_n"),
-        "recall_dropped": F.col("recall") < F.col("b_recall"),
-        "mrr_dropped": F.col("mrr") < F.col("b_mrr") - 0.02,
-        "accuracy_dropped": F.col("accuracy") < F.col("b_accuracy") - allowed,
+        "set_changed": F.col("n") != F.col("base.n"),
+        "recall_dropped": F.col("recall") < F.col("base.recall"),
+        "mrr_dropped": F.col("mrr") < F.col("base.mrr") - 0.02,
+        "accuracy_dropped": F.col("accuracy") < F.col("base.accuracy") - allowed,
         "stolen": F.col("stolen") > 0,
     }
     return both.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("failed")) for k, v in rules.items()])).alias("r")).select("r.rule", "r.failed")

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window as W
 
 from tidemill.functions import text as tx
@@ -76,49 +77,154 @@ def bm25(queries: DataFrame, chunks: DataFrame, key: str = "doc_id", text: str =
     return posts.join(wanted, "term").groupBy("query_id", key).agg(F.sum(F.col("times") * F.col("idf") * part).alias("bm25"))
 
 
-def dense(queries: DataFrame, vectors: DataFrame, key: str, pool: int | None = None) -> DataFrame:
+#: Queries of a block, whose vectors are broadcast together.
+BLOCK = 4_096
+
+
+def _blocks(queries: DataFrame, *more: str) -> list[tuple[pa.Table, np.ndarray]]:
+    """Queries (query_id, vector, *more) in blocks of about BLOCK rows, each with its unit vectors as one matrix."""
+    asked = queries.where(F.col("vector").isNotNull()).select("query_id", *more, tx.unit(F.col("vector")).alias("q"))
+    parts = max(1, -(-asked.count() // BLOCK))
+    out = []
+    for part in range(parts):
+        own = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        rows = own.toArrow().combine_chunks()  # bounded by the block's size
+        if len(rows) or part == 0:
+            flat = rows.column("q").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            out.append((rows.drop_columns(["q"]), flat.reshape(len(rows), -1).T if len(rows) else np.zeros((0, 0))))
+    return out
+
+
+def _units(vectors: DataFrame, key: str, *more: str) -> DataFrame:
+    return vectors.where(F.col("embedding").isNotNull()).select(F.col(key).alias("key"), tx.unit(F.col("embedding")).alias("v"), *more)
+
+
+def _steps(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, apart: bool) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Pieces of vectors (key, v, ...) with their products with all queries; ``apart`` takes out those of equal ids, as -inf."""
+    rows = max(1, CELLS // max(1, len(ids)))
+    order = np.argsort(ids, kind="stable") if apart else None
+    for batch in batches:
+        for at in range(0, len(batch) if len(ids) else 0, rows):
+            part = batch.slice(at, rows)
+            scores = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1) @ q
+            if apart:
+                keys = part.column(0).to_numpy(zero_copy_only=False)
+                low, high = (np.searchsorted(ids, keys, side, sorter=order) for side in ("left", "right"))
+                for i in np.flatnonzero(high > low):
+                    scores[i, order[low[i] : high[i]]] = -np.inf
+            yield part, scores
+
+
+def _pool(q: np.ndarray, keys: np.ndarray, cosine: np.ndarray, pool: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the pairs are among the best ``pool`` of their query, what a pair needs to be so); ties go by key."""
+    score = np.round(cosine, 9)
+    order = np.lexsort((keys, -score, q))
+    counts = np.bincount(q, minlength=n)
+    place = np.arange(len(q)) - np.repeat(np.cumsum(counts) - counts, counts)
+    least = np.full(n, -np.inf)
+    last = order[place == pool - 1]
+    least[q[last]] = score[last] - 2e-9
+    return order[place < pool], least
+
+
+def dense(queries: DataFrame, vectors: DataFrame, key: str, pool: int | None = None, apart: bool = False) -> DataFrame:
     """(query_id, key, cosine) of queries (query_id, vector) and vectors (key, embedding).
 
-    A stated batch of queries meets all vectors, in blocks of at most BROADCAST_ROWS queries: a block is sent to every
-    task as one matrix, and a task multiplies a piece of its vectors with it. With ``pool``, each query keeps its best
-    ones, which a task prunes to before the shuffle. Vectors are all of one length.
+    A stated batch of queries meets all vectors, in blocks of about BLOCK queries: a block is sent to every task as one
+    matrix, and a task multiplies a piece of its vectors with it. With ``pool``, each query keeps its best ones, and a
+    task sends on no more than the best of all its pieces. ``apart`` leaves out vectors with the query's own id.
+    Vectors are all of one length.
     """
-    asked = queries.where(F.col("vector").isNotNull()).select("query_id", tx.unit(F.col("vector")).alias("q"))
-    n = asked.count()
-    number = F.pmod(F.xxhash64("query_id"), F.lit(-(-n // BROADCAST_ROWS)))  # blocks of about that many
-    blocks = [asked.where(number == i) for i in range(-(-n // BROADCAST_ROWS))] if n > BROADCAST_ROWS else [asked]
-    units = vectors.where(F.col("embedding").isNotNull()).select(F.col(key).alias("key"), tx.unit(F.col("embedding")).alias("v"))
     types = {"query_id": queries.schema["query_id"].dataType.simpleString(), "key": vectors.schema[key].dataType.simpleString()}
-    scored = reduce(DataFrame.unionByName, [_cosines(block, units, types, pool) for block in blocks])
+    units, spark = _units(vectors, key), queries.sparkSession
+
+    def scored(rows: pa.Table, q: np.ndarray) -> DataFrame:
+        sent = spark.sparkContext.broadcast((rows.column("query_id").combine_chunks(), q))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, q = sent.value
+            held, size, least = [], 0, np.full(len(own), -np.inf)
+            for part, scores in _steps(batches, own.to_numpy(zero_copy_only=False), q, apart):
+                i, j = np.nonzero(~np.isneginf(scores) if pool is None else (scores >= least) & ~np.isneginf(scores))
+                found = [j, part.column(0).take(pa.array(i)), np.round(scores[i, j], 12)]
+                if pool is None:
+                    yield pa.record_batch([own.take(pa.array(j)), found[1], pa.array(found[2])], ["query_id", "key", "cosine"])
+                    continue
+                held.append(found)
+                size += len(j)
+                if size > 6 * pool * len(own):
+                    held, least = pruned(held, len(own))
+                    size = len(held[0][0])
+            if held:
+                j, keys, cosine = pruned(held, len(own))[0][0]
+                yield pa.record_batch([own.take(pa.array(j)), keys, pa.array(cosine)], ["query_id", "key", "cosine"])
+
+        def pruned(held: list, n: int) -> tuple[list, np.ndarray]:
+            j, cosine = (np.concatenate([h[k] for h in held]) for k in (0, 2))
+            keys = pa.concat_arrays([h[1] for h in held])
+            at, least = _pool(j, keys.to_numpy(zero_copy_only=False), cosine, pool, n)
+            return [[j[at], keys.take(pa.array(at)), cosine[at]]], least
+
+        return units.mapInArrow(run, f"query_id {types['query_id']}, key {types['key']}, cosine double")
+
+    out = reduce(DataFrame.unionByName, [scored(*block) for block in _blocks(queries)])
     if pool is not None:
         rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "key"))
-        scored = scored.withColumn("rank", rank).where(F.col("rank") <= pool).drop("rank")
-    return scored.withColumnRenamed("key", key)
-
-
-def _cosines(block: DataFrame, units: DataFrame, types: dict[str, str], pool: int | None) -> DataFrame:
-    """(query_id, key, cosine) of one block of queries; of each piece of vectors ``pool`` a query, with ties."""
-    rows = block.toArrow().combine_chunks()  # bounded by the block's size
-    ids = rows.column("query_id").combine_chunks()
-    matrix = np.array(rows.column("q").to_pylist(), float).reshape(len(rows), -1).T
-    sent = units.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, q = sent.value
-        rows = max(1, CELLS // max(1, len(own)))
-        for batch in batches:
-            for at in range(0, len(batch) if len(own) else 0, rows):
-                part = batch.slice(at, rows)
-                v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
-                cosine = np.round(v @ q, 12).T  # a row for each query
-                keep = np.ones(cosine.shape, bool)
-                if pool is not None and pool < len(part):
-                    keep = cosine >= np.partition(cosine, -pool, axis=1)[:, -pool, None] - 1e-9
-                i, j = np.nonzero(keep)
-                columns = [own.take(pa.array(i)), part.column(0).take(pa.array(j)), pa.array(cosine[i, j])]
-                yield pa.record_batch(columns, ["query_id", "key", "cosine"])
-
-    return units.mapInArrow(run, f"query_id {types['query_id']}, key {types['key']}, cosine double")
+        out = out.withColumn("rank", rank).where(F.col("rank") <= pool).drop("rank")
+    return out.withColumnRenamed("key", key)
+
+
+def best_by(queries: DataFrame, vectors: DataFrame, key: str, group: str) -> DataFrame:
+    """(query_id, group, score): each query's largest cosine to the vectors of each group, those with its own id apart.
+
+    A task keeps one figure for each of its groups and a block's queries, so that what is shuffled follows queries x
+    groups x tasks, never pairs.
+    """
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {group} {vectors.schema[group].dataType.simpleString()}, score double"
+    units, spark = _units(vectors, key, group), queries.sparkSession
+
+    def scored(rows: pa.Table, q: np.ndarray) -> DataFrame:
+        sent = spark.sparkContext.broadcast((rows.column("query_id").combine_chunks(), q))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, q = sent.value
+            best: dict = {}
+            for part, scores in _steps(batches, own.to_numpy(zero_copy_only=False), q, True):
+                groups = part.column(2).dictionary_encode("encode")
+                codes = groups.indices.to_numpy(zero_copy_only=False)
+                for code, name in enumerate(groups.dictionary.to_pylist()):
+                    most = scores[codes == code].max(axis=0)
+                    best[name] = np.maximum(best[name], most) if name in best else most
+            for name, most in best.items():
+                at = np.flatnonzero(np.isfinite(most))
+                names = pa.array([name], kind).take(pa.array(np.zeros(len(at), np.int64)))
+                yield pa.record_batch([own.take(pa.array(at)), names, pa.array(np.round(most[at], 12))], ["query_id", group, "score"])
+
+        return units.mapInArrow(run, kinds)
+
+    kind = to_arrow_type(vectors.schema[group].dataType)
+    out = reduce(DataFrame.unionByName, [scored(*block) for block in _blocks(queries)])
+    return out.groupBy("query_id", group).agg(F.max("score").alias("score"))
+
+
+def count_over(queries: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """(query_id, n): of queries (query_id, vector, bar), how many vectors, those of its own id apart, have a larger cosine than the bar."""
+    units, spark = _units(vectors, key), queries.sparkSession
+
+    def scored(rows: pa.Table, q: np.ndarray) -> DataFrame:
+        sent = spark.sparkContext.broadcast((rows.column("query_id").combine_chunks(), rows.column("bar").to_numpy(), q))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, bars, q = sent.value
+            n = np.zeros(len(own), np.int64)
+            for _, scores in _steps(batches, own.to_numpy(zero_copy_only=False), q, True):
+                n += (np.round(scores, 12) > bars).sum(axis=0)
+            yield pa.record_batch([own, pa.array(n)], ["query_id", "n"])
+
+        return units.mapInArrow(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, n long")
+
+    out = reduce(DataFrame.unionByName, [scored(*block) for block in _blocks(queries, "bar")])
+    return out.groupBy("query_id").agg(F.sum("n").alias("n"))
 
 
 def best_cosine(vectors: DataFrame, others: DataFrame, key: str) -> DataFrame:

@@ -34,7 +34,7 @@ def benchmark_queries(t):
 
 def dense_hits(t):
     asked = t.v_queries.select("query_id", "vector")
-    return r.dense(asked, t.embeddings, "vec_id").where(F.col("vec_id") != F.col("query_id"))
+    return r.dense(asked, t.embeddings, "vec_id", apart=True)
 
 
 def text_hits(t):
@@ -86,7 +86,8 @@ def r3(t):
 
 @query("j7_scoring_join", f"WITH {DENSE} SELECT query_id, max(round(cosine, 6)) AS best FROM den GROUP BY 1")
 def j7(t):
-    return dense_hits(t).groupBy("query_id").agg(F.max(F.round("cosine", 6)).alias("best"))
+    best = r.best_by(t.v_queries.select("query_id", "vector"), t.embeddings.select("vec_id", "embedding", F.lit(0).alias("any")), "vec_id", "any")
+    return best.select("query_id", F.round("score", 6).alias("best"))
 
 
 @query("r4_rrf", f"WITH {FUSED} SELECT query_id, vec_id, round(fused + 3.1e-13, 9) AS fused FROM fus")
@@ -243,8 +244,8 @@ ROUTES = f"""{DENSE}, rts AS (SELECT query_id, 'route' || label AS route, max(co
 
 
 def routed(t):
-    scores = dense_hits(t).join(t.embeddings.select("vec_id", F.concat(F.lit("route"), F.col("label").cast("string")).alias("route")), "vec_id")
-    return r.best_routes(scores.select("query_id", "route", F.col("cosine").alias("score")), 0.3, 0.02, "rag_question")
+    examples = t.embeddings.select("vec_id", "embedding", F.concat(F.lit("route"), F.col("label").cast("string")).alias("route"))
+    return r.best_routes(r.best_by(t.v_queries.select("query_id", "vector"), examples, "vec_id", "route"), 0.3, 0.02, "rag_question")
 
 
 @query("r14_route_nearest", f"WITH {ROUTES} SELECT query_id, route, round(score, 6) AS score FROM routed")
