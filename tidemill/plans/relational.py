@@ -143,7 +143,7 @@ def j9(t):
 
 
 @query("j10_working_deadline", """
-  WITH days AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS n FROM (SELECT DATE '2023-12-25' + CAST(g AS INTEGER) AS day FROM range(200) t(g))
+  WITH days AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS n FROM (SELECT DATE '2023-12-25' + CAST(unnest(range((SELECT date_diff('day', DATE '2023-12-25', CAST(max(created_at) AS DATE)) + 60 FROM v_handoffs))) AS INTEGER) AS day)
     WHERE isodow(day) < 6 AND day <> DATE '2024-01-08'),
   slots AS (SELECT day, n, s, n * 32400 + s AS at FROM days, (SELECT 0 AS s) z),
   t AS (SELECT ticket_id, created_at, CAST(created_at AS DATE) AS day, epoch_us(created_at) // 1000000 - epoch_us(CAST(CAST(created_at AS DATE) AS TIMESTAMP)) // 1000000 AS sec FROM v_handoffs),
