@@ -71,3 +71,29 @@ def test_report_counts_pairs(spark):
     pairs = spark.createDataFrame([("a", "a"), ("a", "b"), ("z", "a")], "expected string, predicted string")
     got = e.routing_report(pairs, ["a", "b"], "z", count=True).first()
     assert (round(got.accuracy, 6), got.stolen, got.macro_f1, got.n) == (0.333333, 1, 0.25, 3)
+
+
+def test_fused_pool_is_that_of_all_pairs(small, spark):
+    """Queries with many text hits, with few, with ties, without any, and with hits that have no vector."""
+    queries, vectors, _ = small
+    rng = np.random.default_rng(3)
+    hits = [(q, int(v), float(rng.integers(-1, 6))) for q, n in ((0, 118), (5, 90), (10, 20), (15, 3), (20, 40)) for v in rng.permutation(120)[:n]]
+    hits = spark.createDataFrame(hits, "query_id long, vec_id long, bm25 double")
+    want = r.pool_of(r.rrf(r.dense(queries, vectors, "vec_id", apart=True), hits, "vec_id"), "vec_id", 5)
+
+    def rows(df):
+        return sorted((x.query_id, x.pool_rank, x.vec_id, round(x.fused, 12), x.bm25, x.cosine and round(x.cosine, 9)) for x in df.collect())
+
+    got = r.fused_pool(queries, vectors, hits, "vec_id", 5)
+    assert rows(got) == rows(want)
+
+
+def test_fused_pool_counts_beyond_the_best(small, spark, monkeypatch):
+    """With a smaller constant and pool, candidates lie far beyond the best of the other leg."""
+    queries, vectors, _ = small
+    monkeypatch.setattr(r, "RRF_K", 1)
+    hits = spark.createDataFrame([(q, v, float((v * 37 + q) % 89 + 1)) for q in (0, 25, 50) for v in range(90)], "query_id long, vec_id long, bm25 double")
+    want = r.pool_of(r.rrf(r.dense(queries, vectors, "vec_id", apart=True), hits, "vec_id"), "vec_id", 5)
+    got = r.fused_pool(queries, vectors, hits, "vec_id", 5)
+    columns = ["query_id", "vec_id", "pool_rank", "bm25"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))

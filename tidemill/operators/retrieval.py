@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -14,6 +17,7 @@ from pyspark.sql.window import Window as W
 
 from tidemill.functions import text as tx
 from tidemill.operators.relational import neighbours
+from tidemill.streaming.live import work_dir
 
 #: Fixed values of Okapi BM25, of reciprocal rank fusion, and of the share of the text leg.
 K1, B, EPSILON, RRF_K, WEIGHT = 1.5, 0.75, 0.25, 60, 0.7
@@ -23,58 +27,161 @@ BROADCAST_ROWS = 20_000
 CELLS = 1 << 20
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the folder that driver and executors share."""
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df as the broadcast side if it has at most ``most`` rows, else as it is."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def _repeated(chunks: DataFrame, key: str) -> bool:
+    """Whether a key has several rows, whose terms count together then."""
+    return not chunks.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
+def _counted(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(row, term, count) of the distinct terms of each row, and the terms' names."""
+    coded = tokens.flatten().dictionary_encode()
+    n_terms = max(1, len(coded.dictionary))
+    row = np.repeat(np.arange(len(tokens)), tokens.value_lengths().to_numpy(zero_copy_only=False))
+    cells, often = np.unique(row * n_terms + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    return cells // n_terms, cells % n_terms, often, coded.dictionary
+
+
 def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf, length) of every distinct term of a chunk; a chunk's length goes with its postings."""
-    tokens = chunks.select(F.col(key), tx.search_tokens(F.col(text)).alias("tokens"))
-    each = tokens.select(key, F.size("tokens").cast("long").alias("length"), F.explode("tokens").alias("term"))
-    return each.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    """(term, key, tf, length) of every distinct term of a chunk; a chunk's length goes with its postings.
+
+    A chunk's terms are counted where it is read. Only where keys repeat are the counts of a key's rows added up.
+    """
+    tokens = chunks.select(F.col(key), tx.index_tokens(F.col(text)).alias("tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                row, term, often, names = _counted(part.column(1))
+                lengths = part.column(1).value_lengths().cast(pa.int64())
+                take = pa.array(row)
+                yield pa.record_batch([names.take(pa.array(term)), part.column(0).take(take), pa.array(often.astype(np.int64)), lengths.take(take)], ["term", key, "tf", "length"])
+
+    own = tokens.mapInArrow(run, f"term string, {key} {chunks.schema[key].dataType.simpleString()}, tf long, length long")
+    return own.groupBy("term", key).agg(F.sum("tf").alias("tf"), F.first("length").alias("length")) if _repeated(chunks, key) else own
 
 
-def term_stats(posts: DataFrame, key: str, n: int) -> DataFrame:
-    """(term, df, idf): negative values become EPSILON times the mean over all terms."""
-    counted = posts.groupBy("term").agg(F.count("*").alias("df"))
-    raw = counted.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def tokenized(chunks: DataFrame, key: str, text: str) -> DataFrame:
+    return chunks.select(F.col(key), tx.index_tokens(F.col(text)).alias("tokens")).withColumn("length", F.size("tokens").cast("long"))
+
+
+def document_counts(tokens: DataFrame, key: str) -> DataFrame:
+    """(term, df, tokens) of tokenized chunks: in how many each term is; the row of the null term counts all rows and their tokens."""
+    each = tokens.select(key, "length", F.explode(F.array_append(F.array_distinct("tokens"), F.lit(None).cast("string"))).alias("term"))
+    if _repeated(tokens, key):
+        each = each.where("term IS NOT NULL").dropDuplicates(["term", key]).unionByName(each.where("term IS NULL"))
+    return each.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("tokens"))
+
+
+def term_stats(counted: DataFrame) -> DataFrame:
+    """(term, df, idf) of document_counts: negative values become EPSILON times the mean over all terms."""
+    n = counted.where("term IS NULL").select(F.col("df").alias("n"))  # one row
+    raw = counted.where("term IS NOT NULL").crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select(  # one row
         "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf")
     )
 
 
-def corpus_stats(chunks: DataFrame, text: str) -> tuple[int, float]:
-    """Number of chunks and their mean length, in one aggregation to the driver."""
-    row = chunks.agg(F.count("*").alias("n"), F.avg(F.size(tx.search_tokens(F.col(text)))).alias("mean")).first()
-    return row["n"], row["mean"] or 1.0
+#: Queries whose text scores a task works out together.
+ASKED = 1_000
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(query_id, key, bm25) of queries (query_id, query) over chunks that share a term.
 
-    A repeated query term counts again. Two passes over the texts: one counts in how many chunks each term is (and, in
-    the row of the null term, chunks and tokens), combined before its shuffle; the other keeps the asked terms alone, so
-    that no other posting is ever shuffled.
+    A repeated query term counts again. The texts are tokenized once, into a table. Two passes over it: one counts in how many chunks each term is, combined
+    before its shuffle, and is stored; in the other a chunk is scored for all queries where it is read, against the asked
+    terms with their queries and weights, which go to every task in blocks of ASKED queries. No posting or score is
+    shuffled; only where keys repeat are the counts of a key's rows added up first.
     """
-    tokens = chunks.select(F.col(key), tx.search_tokens(F.col(text)).alias("tokens")).withColumn("length", F.size("tokens").cast("long"))
-    distinct = F.explode(F.array_append(F.array_distinct("tokens"), F.lit(None).cast("string"))).alias("term")
-    counted = tokens.select(distinct, "length").groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("tokens"))
-    whole = counted.where("term IS NULL").select(F.col("df").alias("n"), (F.col("tokens") / F.col("df")).alias("mean"))  # one row
-    known = counted.where("term IS NOT NULL").crossJoin(F.broadcast(whole))
-    raw = known.select("term", "mean", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    usual = raw.agg((EPSILON * F.avg("raw")).alias("floor"))  # one row
-    words = queries.select("query_id", F.explode(tx.search_tokens(F.col("query"))).alias("term"))
+    spark = chunks.sparkSession
+    tokens = stored(tokenized(chunks, key, text))
+    counted = stored(document_counts(tokens, key))
+    n, total = counted.where("term IS NULL").agg(F.max("df"), F.max("tokens")).first()
+    mean = max((total or 0) / max(1, n or 0), 1e-9)
+    words = queries.select("query_id", F.explode(tx.index_tokens(F.col("query"))).alias("term"))
     asked = words.groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    terms = asked.join(raw, "term").crossJoin(F.broadcast(usual))
-    idf = F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw"))
-    wanted = terms.select("query_id", "term", "times", "mean", idf.alias("idf"))
-    each = tokens.select(key, "length", F.explode("tokens").alias("term"))
-    mine = each.join(checked_broadcast(asked.select("term").distinct()), "term", "left_semi")
-    posts = mine.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.greatest("mean", F.lit(1e-9))))
-    return posts.join(wanted, "term").groupBy("query_id", key).agg(F.sum(F.col("times") * F.col("idf") * part).alias("bm25"))
+    weighed = asked.join(term_stats(counted), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
+    wanted = weighed.orderBy("query_id", "term").toArrow()  # the queries' own words
+    blocks = [_Terms.of(wanted, at) for at in _cuts(wanted.column("query_id"))]
+    sent = spark.sparkContext.broadcast(blocks)
+    if _repeated(tokens, key):
+        tokens = _joined(tokens, key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own in sent.value:
+                step = max(1, CELLS // len(own.ids))
+                for at in range(0, len(batch), step):
+                    part = batch.slice(at, step)
+                    i, j, score = own.scores(part.column(1), part.column(2).to_numpy(zero_copy_only=False), mean)
+                    yield pa.record_batch([own.ids.take(pa.array(j)), part.column(0).take(pa.array(i)), pa.array(score)], ["query_id", key, "bm25"])
+
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {chunks.schema[key].dataType.simpleString()}, bm25 double"
+    return tokens.mapInArrow(run, kinds)
+
+
+def _joined(tokens: DataFrame, key: str) -> DataFrame:
+    """(key, tokens, length) with the tokens of all rows of a key, and the length of one of them."""
+    return tokens.groupBy(key).agg(F.flatten(F.collect_list("tokens")).alias("tokens"), F.first("length").alias("length"))
+
+
+def _cuts(ids: pa.ChunkedArray) -> list[tuple[int, int]]:
+    """Ranges of sorted ids with ASKED different ones each."""
+    number = np.cumsum(np.r_[0, pc.not_equal(ids[1:], ids[:-1]).to_numpy()]) // ASKED if len(ids) else np.zeros(0, int)
+    starts = np.searchsorted(number, np.arange(number[-1] + 2 if len(number) else 1))
+    return list(zip(starts[:-1].tolist(), starts[1:].tolist()))
+
+
+@dataclass
+class _Terms:
+    """A block of queries: its words, and for each of them which queries have it and with which weight."""
+
+    ids: pa.Array
+    terms: pa.Array
+    starts: np.ndarray
+    sizes: np.ndarray
+    query: np.ndarray
+    weight: np.ndarray
+
+    @staticmethod
+    def of(wanted: pa.Table, at: tuple[int, int]) -> _Terms:
+        rows = wanted.slice(at[0], at[1] - at[0]).combine_chunks()
+        ids, terms = (pc.dictionary_encode(rows.column(c).combine_chunks()) for c in ("query_id", "term"))
+        term = terms.indices.to_numpy(zero_copy_only=False)
+        order, sizes = np.argsort(term, kind="stable"), np.bincount(term)
+        query, weight = ids.indices.to_numpy(zero_copy_only=False)[order], rows.column("weight").to_numpy()[order]
+        return _Terms(ids.dictionary, terms.dictionary, np.cumsum(sizes) - sizes, sizes, query, weight)
+
+    def scores(self, tokens: pa.Array, length: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, query, score) of the rows and queries that share a word."""
+        n, nq = len(tokens), len(self.ids)
+        row = np.repeat(np.arange(n), tokens.value_lengths().to_numpy(zero_copy_only=False))
+        found = pc.index_in(tokens.flatten(), value_set=self.terms).fill_null(-1).to_numpy(zero_copy_only=False)
+        cells, tf = np.unique(row[found >= 0] * len(self.terms) + found[found >= 0], return_counts=True)
+        row, term = cells // len(self.terms), cells % len(self.terms)
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / mean))
+        sizes = self.sizes[term]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[term] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        pair = np.repeat(row, sizes) * nq + self.query[at]
+        score = np.bincount(pair, np.repeat(part, sizes) * self.weight[at], minlength=n * nq)
+        both = np.flatnonzero(np.bincount(pair, minlength=n * nq))
+        return both // nq, both % nq, score[both].astype(float)
 
 
 #: Queries of a block, whose vectors are broadcast together.
@@ -267,13 +374,80 @@ def rrf(dense_hits: DataFrame, text_hits: DataFrame, key: str, weight: float = W
     d = dense_hits.withColumn("dr", F.row_number().over(by.orderBy(F.desc(F.round("cosine", 9)), key)))
     b = text_hits.where(F.col("bm25") > 0).withColumn("br", F.row_number().over(by.orderBy(F.desc(F.round("bm25", 9)), key)))
     both = d.join(b, ["query_id", key], "full")
-    fused = (1 - weight) * F.coalesce(1 / (RRF_K + F.col("dr")), F.lit(0.0)) + weight * F.coalesce(1 / (RRF_K + F.col("br")), F.lit(0.0))
-    out = both.select("query_id", key, "cosine", "bm25", fused.alias("fused"))
+    out = both.select("query_id", key, "cosine", "bm25", _fused(weight).alias("fused"))
     if priority is None:
         return out
     return out.join(priority.select(key, "priority"), key, "left").withColumn("fused", F.col("fused") * F.coalesce("priority", F.lit(1.0)))
 
 
+def _places(pairs: DataFrame, bars: DataFrame, key: str) -> DataFrame:
+    """bars (query_id, key, score) with ``place``: one more than how many pairs (query_id, key, score) come before.
+
+    The larger score comes first, then the smaller key. The bars go to every task; a task sends on a count for each.
+    """
+    rows = bars.select("query_id", F.col(key).alias("key"), F.round("score", 9).alias("score")).distinct().toPandas()  # candidates beyond a leg's best
+    ids = pa.array(sorted(set(rows["query_id"])), pa.from_numpy_dtype(rows["query_id"].dtype)) if len(rows) else pa.array([], pa.int64())
+    number = pc.index_in(pa.array(rows["query_id"]), value_set=ids).to_numpy() if len(rows) else np.zeros(0, int)
+    sent = bars.sparkSession.sparkContext.broadcast((ids, number, rows["key"].to_numpy(), rows["score"].to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, number, keys, scores = sent.value
+        n, before = len(number), np.zeros(len(number), np.int64)
+        for batch in batches if n else ():
+            found = pc.index_in(batch.column(0), value_set=own).fill_null(-1).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(found >= 0)
+            q = np.r_[number, found[at]]
+            key = np.r_[keys, batch.column(1).to_numpy(zero_copy_only=False)[at]]
+            score = np.r_[scores, np.round(batch.column(2).to_numpy(zero_copy_only=False)[at], 9)]
+            order = np.lexsort((np.arange(len(q)) >= n, key, -score, q))  # a bar before the pair that it is
+            seen = np.cumsum(order >= n)
+            first = np.searchsorted(q[order], np.arange(len(own)))
+            start = np.r_[0, seen][first]
+            where = np.flatnonzero(order < n)
+            before[order[where]] += seen[where] - start[q[order[where]]]
+        yield pa.record_batch([own.take(pa.array(number)), pa.array(keys), pa.array(before)], ["query_id", key_name, "before"])
+
+    key_name = key
+    kinds = f"query_id {bars.schema['query_id'].dataType.simpleString()}, {key} {bars.schema[key].dataType.simpleString()}, before long"
+    counted = pairs.select("query_id", key, "score").mapInArrow(run, kinds).groupBy("query_id", key).agg((F.sum("before") + 1).alias("place"))
+    return bars.join(counted, ["query_id", key])
+
+
+def fused_pool(queries: DataFrame, vectors: DataFrame, text_hits: DataFrame, key: str, top_k: int, weight: float = WEIGHT) -> DataFrame:
+    """(query_id, key, cosine, bm25, fused, pool_rank): what pool_of(rrf(dense, text_hits)) gives, without all pairs.
+
+    queries (query_id, vector), vectors (key, embedding), of which a query's own id is left out; text_hits (query_id,
+    key, bm25) are stored. Only the best of each leg are candidates: with ``most`` of them, what is in neither leg's best
+    has at most 1 / (RRF_K + most + 1), less than the last of as many text hits as the pool has; with fewer text hits all
+    of them are candidates, and the rest of the pool is the best by cosine. Ranks of candidates beyond the best of a
+    leg are counted, over the stored hits and over the vectors for queries with text hits.
+    """
+    size = max(4 * top_k, 30)
+    most = max(2 * size, int((RRF_K + size) / weight) - RRF_K) + 8
+    by, pair = W.partitionBy("query_id"), ["query_id", key]
+    hits = stored(text_hits.where(F.col("bm25") > 0).select(*pair, "bm25"))
+    text = stored(hits.withColumn("br", F.row_number().over(by.orderBy(F.desc(F.round("bm25", 9)), key))).where(F.col("br") <= most))
+    near = dense(queries, vectors, key, pool=most, apart=True)
+    near = stored(near.withColumn("dr", F.row_number().over(by.orderBy(F.desc(F.round("cosine", 9)), key))))
+    worded = text.select("query_id").distinct()
+    asked = queries.join(checked_broadcast(worded), "query_id", "left_semi")
+    far = text.join(near, pair, "left_anti").where(F.col("query_id") != F.col(key)).select(*pair)
+    units = _units(vectors, key).withColumnRenamed("key", key).join(checked_broadcast(far, 1 << 20), key)
+    far = units.join(asked.select("query_id", tx.unit(F.col("vector")).alias("q")), "query_id").select(*pair, F.round(tx.dot(F.col("q"), F.col("v")), 12).alias("score"))
+    far = _places(dense(asked, vectors, key, apart=True).withColumnRenamed("cosine", "score"), stored(far), key)
+    rest = near.join(checked_broadcast(worded), "query_id", "left_semi").join(text, pair, "left_anti").select(*pair)
+    rest = stored(hits.withColumnRenamed("bm25", "score").join(checked_broadcast(rest, 1 << 20), pair, "left_semi"))
+    rest = _places(hits.withColumnRenamed("bm25", "score"), rest, key)
+    d = near.select(*pair, "cosine", F.col("dr").cast("long")).unionByName(far.withColumnsRenamed({"score": "cosine", "place": "dr"}))
+    b = text.select(*pair, "bm25", F.col("br").cast("long")).unionByName(rest.withColumnsRenamed({"score": "bm25", "place": "br"}))
+    both = d.join(b, pair, "full").withColumn("fused", _fused(weight))
+    return pool_of(both.select(*pair, "cosine", "bm25", "fused"), key, top_k)
+
+
+def _fused(weight: float) -> Column:
+    return (1 - weight) * F.coalesce(1 / (RRF_K + F.col("dr")), F.lit(0.0)) + weight * F.coalesce(1 / (RRF_K + F.col("br")), F.lit(0.0))
+
+
 def pool_of(hits: DataFrame, key: str, top_k: int) -> DataFrame:
     """The best max(4 * top_k, 30) of each query by fused score."""
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("fused", 12)), key))

@@ -13,7 +13,6 @@ lie over it are asked again with more, so that the pool is that of all pairs.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -26,8 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemill.functions import text as tx
-from tidemill.operators.retrieval import B, EPSILON, K1, RRF_K, WEIGHT, expand_context, gate_and_rank, rerank
-from tidemill.streaming.live import work_dir
+from tidemill.operators.retrieval import B, EPSILON, K1, RRF_K, WEIGHT, expand_context, gate_and_rank, rerank, stored
 
 #: Queries of a block, which is broadcast, and scores that a task works out together.
 BLOCK, CELLS = 1_000, 1 << 20
@@ -36,14 +34,6 @@ LEG = 256
 DIM = 64
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that driver and executors share."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _counts(tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     """(row, term, count) of the distinct terms of each row, sorted, and the terms' names."""
     coded = tokens.flatten().dictionary_encode()

@@ -59,8 +59,12 @@ def fused(t):
     return r.rrf(dense_hits(t), text_hits(t), "vec_id")
 
 
+def pooled(t):
+    return r.fused_pool(t.v_queries.select("query_id", "vector"), t.embeddings, text_hits(t), "vec_id", 5)
+
+
 def gated(t):
-    return r.gate_and_rank(r.rerank(r.pool_of(fused(t), "vec_id", 5)), "vec_id", 0.1, 5)
+    return r.stored(r.gate_and_rank(r.rerank(pooled(t)), "vec_id", 0.1, 5))
 
 
 @query("r1_build_index", f"WITH {INDEX} SELECT doc_id, term, tf, length FROM post")
@@ -70,8 +74,7 @@ def r1(t):
 
 @query("r1_term_stats", f"WITH {INDEX} SELECT term, df, round(idf, 9) AS idf FROM idf")
 def r1_stats(t):
-    n, _ = r.corpus_stats(t.documents, "text")
-    return r.term_stats(r.postings(t.documents, "doc_id", "text"), "doc_id", n).withColumn("idf", F.round("idf", 9))
+    return r.term_stats(r.stored(r.document_counts(r.tokenized(t.documents, "doc_id", "text"), "doc_id"))).withColumn("idf", F.round("idf", 9))
 
 
 @query("r2_bm25", f"WITH {INDEX} SELECT query_id, doc_id, round(bm25, 6) AS bm25 FROM bm")
@@ -98,12 +101,12 @@ def r4(t):
 
 @query("r5_pool", f"WITH {FUSED} SELECT query_id, vec_id FROM pool")
 def r5(t):
-    return r.pool_of(fused(t), "vec_id", 5).select("query_id", "vec_id")
+    return pooled(t).select("query_id", "vec_id")
 
 
 @query("r6_rerank", f"WITH {FUSED} SELECT query_id, vec_id, round(relevance, 6) AS relevance FROM rel")
 def r6(t):
-    return r.rerank(r.pool_of(fused(t), "vec_id", 5)).select("query_id", "vec_id", F.round("relevance", 6).alias("relevance"))
+    return r.rerank(pooled(t)).select("query_id", "vec_id", F.round("relevance", 6).alias("relevance"))
 
 
 @query("r7_gate_and_rank", f"WITH {FUSED} SELECT query_id, vec_id, rank, round(best, 6) AS best FROM gat")
@@ -203,7 +206,9 @@ def r3_lists(t):
   SELECT query_id, sha256(string_agg(CASE WHEN f = 1 THEN block ELSE left(block, 4000) END, chr(10) ORDER BY rank)) AS context FROM fit WHERE f = 1 OR rank = 1 GROUP BY 1""")
 def r10(t):
     texts = t.documents.select(F.col("doc_id").alias("vec_id"), "text")
-    named = gated(t).join(texts, "vec_id", "left").select(
+    matches = gated(t)
+    texts = texts.join(r.checked_broadcast(matches.select("vec_id").distinct(), 1 << 20), "vec_id", "left_semi")
+    named = matches.join(texts, "vec_id", "left").select(
         "query_id", "rank", F.concat(F.lit("Doc "), F.col("vec_id").cast("string")).alias("title"), F.coalesce("text", F.lit("")).alias("content")
     )
     return r.assemble_context(named, 4000).select("query_id", F.sha2("context", 256).alias("context"))
