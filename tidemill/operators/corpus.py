@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemill.functions import text as tx
-from tidemill.operators.retrieval import best_cosine
+from tidemill.operators.retrieval import best_cosine, stored
 
 #: A chunk is never longer than this, whatever the strategy.
 MOST_CHARS = 20_000
@@ -118,11 +118,13 @@ def table_text(df: DataFrame, columns: Sequence[str]) -> Column:
 def chunk_table_rows(df: DataFrame, columns: Sequence[str], order: str, rows: int) -> DataFrame:
     """(position, rows, content): so many rows a chunk under the repeated header, in the order of a column.
 
-    Rows are numbered by a range-partitioned sort and the sizes of the ranges, not in one task.
+    Rows are numbered by a range-partitioned sort and the sizes of the ranges, not in one task; equal ones go by their
+    text. The ranges come from a sample that is drawn anew each time, so the numbers inside them are stored before the
+    sizes are counted.
     """
     header = " | ".join(columns)
-    placed = df.select(F.col(order).alias("__o"), table_text(df, columns).alias("line")).repartitionByRange("__o").sortWithinPartitions("__o")
-    placed = placed.withColumn("__p", F.spark_partition_id()).withColumn("__n", F.monotonically_increasing_id() % (1 << 33))
+    placed = df.select(F.col(order).alias("__o"), table_text(df, columns).alias("line")).repartitionByRange("__o", "line").sortWithinPartitions("__o", "line")
+    placed = stored(placed.select(F.spark_partition_id().alias("__p"), (F.monotonically_increasing_id() % (1 << 33)).alias("__n"), "line"))
     sizes = placed.groupBy("__p").agg(F.count("*").alias("size"))
     before = sizes.select("__p", (F.sum("size").over(W.orderBy("__p")) - F.col("size")).alias("before"))  # a row for each range
     numbered = placed.join(F.broadcast(before), "__p").withColumn("n", F.col("before") + F.col("__n"))

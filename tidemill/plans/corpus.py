@@ -133,7 +133,7 @@ ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus"]
 
 
 @query("c13_chunk_table_rows", """SELECT position, (min(n) + 1) || '-' || (max(n) + 1) AS rows, 'o_orderkey | o_custkey | o_orderstatus' || chr(10) || string_agg(line, chr(10) ORDER BY n) AS content
-  FROM (SELECT n, n // 10 AS position, line FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS n, o_orderkey || ' | ' || o_custkey || ' | ' || o_orderstatus AS line FROM orders)) GROUP BY position""")
+  FROM (SELECT n, n // 10 AS position, line FROM (SELECT row_number() OVER (ORDER BY o_orderkey, line) - 1 AS n, line FROM (SELECT o_orderkey, o_orderkey || ' | ' || o_custkey || ' | ' || o_orderstatus AS line FROM orders))) GROUP BY position""")
 def c13(t):
     return c.chunk_table_rows(t.orders, ORDERS, "o_orderkey", 10)
 
