@@ -97,3 +97,12 @@ def test_fused_pool_counts_beyond_the_best(small, spark, monkeypatch):
     got = r.fused_pool(queries, vectors, hits, "vec_id", 5)
     columns = ["query_id", "vec_id", "pool_rank", "bm25"]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+
+
+def test_fused_pairs_are_all_pairs(small, spark):
+    queries, vectors, _ = small
+    hits = [(q, v, float((v * 7 + q) % 5 - 1)) for q in (0, 25, 50) for v in range(0, 120, 3)]
+    hits = spark.createDataFrame(hits, "query_id long, vec_id long, bm25 double")
+    want = r.rrf(r.dense(queries, vectors, "vec_id", apart=True), hits, "vec_id").select("query_id", "vec_id", "fused")
+    got = r.fused_pairs(queries, vectors, hits, "vec_id")
+    assert sorted((a, b, round(c, 12)) for a, b, c in got.collect()) == sorted((a, b, round(c, 12)) for a, b, c in want.collect())
