@@ -16,6 +16,8 @@ from tidemill.operators.retrieval import best_cosine, stored
 
 #: A chunk is never longer than this, whatever the strategy.
 MOST_CHARS = 20_000
+#: Characters of texts whose chunks leave a task together.
+PIECE = 2_000_000
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _HEADING = re.compile(r"^(#{1,6})\s+(\S.*)$")
 
@@ -74,12 +76,19 @@ def split_by_heading(text: str, level: int, size: int) -> list[tuple[str | None,
 
 
 def _per_document(docs: DataFrame, split, schema: str) -> DataFrame:
-    """One pass over each text by itself; linear in its length, no shuffle."""
+    """One pass over each text by itself; linear in its length, no shuffle. What a task holds of chunks is about PIECE characters."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, i, *row) for k, t in zip(pdf.doc_id, pdf.text) for i, row in enumerate(split(t or ""))]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+            rows, size = [], 0
+            for k, t in zip(pdf.doc_id, pdf.text):
+                rows += [(k, i, *row) for i, row in enumerate(split(t or ""))]
+                size += len(t or "")
+                if size > PIECE:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     return docs.select("doc_id", "text").mapInPandas(run, schema)
 
