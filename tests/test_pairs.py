@@ -44,6 +44,25 @@ def test_counts_over_a_bar(small, spark):
     assert got == {q: sum(c > 0.3 + q / 1000 for (p, _), c in cosines.items() if p == q) for q in range(0, 90, 5)}
 
 
+@pytest.mark.parametrize("name", ["best_by", "count_over", "dense"])
+def test_what_is_sent_follows_the_queries(small, spark, monkeypatch, name):
+    """More parts of vectors make no more tasks a block, and so no more figures a query."""
+    queries, vectors, cosines = small
+    monkeypatch.setattr(r, "TASKS", 2, raising=False)
+    apart = vectors.repartition(30)
+    call = {
+        "best_by": lambda: r.best_by(queries, apart, "vec_id", "label"),
+        "count_over": lambda: r.count_over(queries.selectExpr("*", "0.5D AS bar"), apart, "vec_id"),
+        "dense": lambda: r.dense(queries, apart, "vec_id", pool=6),
+    }
+    sent, kind = [], type(vectors)
+    for step in ("groupBy", "withColumn"):
+        monkeypatch.setattr(kind, step, lambda self, *a, f=getattr(kind, step): sent.append(self) or f(self, *a))
+    call[name]()
+    blocks = -(-queries.count() // r.BLOCK)
+    assert sent[0].rdd.getNumPartitions() <= blocks * max(r.TASKS, spark.sparkContext.defaultParallelism)
+
+
 PAIRLESS = ["e2_chunk_mrr", "e4_confusion", "e4_routing_report", "e5_grouped_accuracy", "e8_regression_gate", "j7_scoring_join", "r14_route_nearest", "r15_off_topic", "e1_recall_mrr"]
 
 

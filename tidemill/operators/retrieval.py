@@ -184,8 +184,8 @@ class _Terms:
         return both // nq, both % nq, score[both].astype(float)
 
 
-#: Queries of a block, whose vectors are broadcast together.
-BLOCK = 4_096
+#: Queries of a block, whose vectors are broadcast together, and tasks that a block is sent to at most, if there are not more cores.
+BLOCK, TASKS = 4_096, 16
 
 
 def _blocks(queries: DataFrame, *more: str) -> list[tuple[pa.Table, np.ndarray]]:
@@ -206,6 +206,11 @@ def _units(vectors: DataFrame, key: str, *more: str) -> DataFrame:
     return vectors.where(F.col("embedding").isNotNull()).select(F.col(key).alias("key"), tx.unit(F.col("embedding")).alias("v"), *more)
 
 
+def _in_tasks(units: DataFrame) -> DataFrame:
+    """Vectors in a number of tasks that does not grow with them: as each sends on figures for all queries, what is sent follows the queries alone."""
+    return units.coalesce(max(TASKS, units.sparkSession.sparkContext.defaultParallelism))
+
+
 def _steps(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, apart: bool) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Pieces of vectors (key, v, ...) with their products with all queries; ``apart`` takes out those of equal ids, as -inf."""
     rows = max(1, CELLS // max(1, len(ids)))
@@ -244,6 +249,8 @@ def dense(queries: DataFrame, vectors: DataFrame, key: str, pool: int | None = N
     """
     types = {"query_id": queries.schema["query_id"].dataType.simpleString(), "key": vectors.schema[key].dataType.simpleString()}
     units, spark = _units(vectors, key), queries.sparkSession
+    if pool is not None:
+        units = _in_tasks(units)
 
     def scored(rows: pa.Table, q: np.ndarray) -> DataFrame:
         sent = spark.sparkContext.broadcast((rows.column("query_id").combine_chunks(), q))
@@ -284,11 +291,11 @@ def dense(queries: DataFrame, vectors: DataFrame, key: str, pool: int | None = N
 def best_by(queries: DataFrame, vectors: DataFrame, key: str, group: str) -> DataFrame:
     """(query_id, group, score): each query's largest cosine to the vectors of each group, those with its own id apart.
 
-    A task keeps one figure for each of its groups and a block's queries, so that what is shuffled follows queries x
-    groups x tasks, never pairs.
+    A task keeps one figure for each of its groups and a block's queries, and tasks are bounded (_in_tasks), so that what is
+    shuffled follows queries x groups, never pairs or the vectors.
     """
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {group} {vectors.schema[group].dataType.simpleString()}, score double"
-    units, spark = _units(vectors, key, group), queries.sparkSession
+    units, spark = _in_tasks(_units(vectors, key, group)), queries.sparkSession
 
     def scored(rows: pa.Table, q: np.ndarray) -> DataFrame:
         sent = spark.sparkContext.broadcast((rows.column("query_id").combine_chunks(), q))
@@ -316,7 +323,7 @@ def best_by(queries: DataFrame, vectors: DataFrame, key: str, group: str) -> Dat
 
 def count_over(queries: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     """(query_id, n): of queries (query_id, vector, bar), how many vectors, those of its own id apart, have a larger cosine than the bar."""
-    units, spark = _units(vectors, key), queries.sparkSession
+    units, spark = _in_tasks(_units(vectors, key)), queries.sparkSession
 
     def scored(rows: pa.Table, q: np.ndarray) -> DataFrame:
         sent = spark.sparkContext.broadcast((rows.column("query_id").combine_chunks(), rows.column("bar").to_numpy(), q))
