@@ -564,6 +564,25 @@ def test_gradients_against_finite_differences():
             assert abs((up - down) / (2 * e) - own[i]) < 1e-6 + 1e-4 * abs(own[i]), name
 
 
+def test_shortcuts_of_the_model_keep_its_values():
+    """Softmaxes of moderate, large and far apart values, and a step whose inputs' rows and room are given."""
+    rng = np.random.default_rng(4)
+    for scale, shift in ((1, 0), (50, 0), (1, 300), (1, -300), (200, 0)):
+        x = (rng.normal(0, scale, (9, 48)) + shift).astype(np.float32)
+        want = np.exp(x.astype(float) - x.max(-1, keepdims=True))
+        want /= want.sum(-1, keepdims=True)
+        at = rng.integers(0, 48, 9)
+        assert np.allclose(language_model._softmax(x.copy()), want, rtol=1e-4, atol=1e-30)
+        assert np.allclose(language_model._chosen(x.copy(), at), want[np.arange(9), at], rtol=1e-4, atol=1e-30)
+    p, codes = even(), np.array([0, 5, 900])
+    p["x"][5], h = 500, rng.normal(size=(3, language_model.HIDDEN)).astype(np.float32)
+    gates, n = np.empty((3, 2 * language_model.HIDDEN), np.float32), np.empty_like(h)
+    with np.errstate(over="ignore"):
+        plain, (_, *parts) = language_model._step(p, codes, h)
+        given, _ = language_model._step(p, codes, h, p["x"][codes], gates, n)
+    assert np.isfinite(plain).all() and (plain == given).all() and (parts[0] == gates).all() and (parts[1] == n).all()
+
+
 def test_training_learns_an_order():
     p = even()
     documents = [np.r_[np.tile([5, 9, 7, 300, 2], 60), 0] for _ in range(40)]

@@ -75,22 +75,21 @@ def _ending(kind: int) -> bytes:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place; what is too large for exp in float32 is cut first."""
-    np.maximum(x, -80, out=x)
+    """In place; where exp is too large for float32 it is infinite, and this 0: callers ignore that overflow."""
     np.negative(x, out=x)
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
-def _step(p: dict, codes: np.ndarray, h: np.ndarray) -> tuple:
-    """(new state, what backpropagation needs) after one input of each lane."""
-    x, size, u = p["x"][codes], HIDDEN, p["u"]
-    gates = h @ u[:, : 2 * size]
+def _step(p: dict, codes: np.ndarray, h: np.ndarray, x: np.ndarray | None = None, gates: np.ndarray | None = None, n: np.ndarray | None = None) -> tuple:
+    """(new state, what backpropagation needs) after one input of each lane; x are the inputs' rows, if they are known, and gates and n are written to."""
+    x, size, u = p["x"].take(codes, axis=0) if x is None else x, HIDDEN, p["u"]
+    gates = np.matmul(h, u[:, : 2 * size], out=gates)
     gates += x[:, : 2 * size]
     _sigmoid(gates)
     z, r = gates[:, :size], gates[:, size:]
-    n = (r * h) @ u[:, 2 * size :]
+    n = np.matmul(r * h, u[:, 2 * size :], out=n)
     n += x[:, 2 * size :]
     n *= 2  # tanh(x) is 2 / (1 + exp(-2x)) - 1
     _sigmoid(n)
@@ -102,14 +101,27 @@ def _step(p: dict, codes: np.ndarray, h: np.ndarray) -> tuple:
     return new, (h, gates, n)
 
 
+def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exp, its sums along the last axis), in place and up to a factor of each row, which keeps it in what float32 can hold."""
+    if x.size and not (x.max() < 60 and x.min() > -60):
+        x -= x.max(-1, keepdims=True)
+    np.exp(x, out=x)
+    return x, x @ np.ones(x.shape[-1], x.dtype)
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     """In place, along the last axis."""
-    x -= x.max(-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
+    x, sums = _exp(x)
+    x /= sums[:, None]
     return x
 
 
+def _chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One value of each row's softmax; x is overwritten."""
+    x, sums = _exp(x)
+    return x[np.arange(len(x)), at] / sums
+
+
 def _classes(codes: np.ndarray) -> np.ndarray:
     return np.where(codes < HEAD, codes // WIDTH, CLASSES + codes - HEAD)
 
@@ -135,25 +147,26 @@ def log_probabilities(p: dict, states: np.ndarray, codes: np.ndarray) -> np.ndar
     for part in _runs(len(codes)):
         own = states[part] @ p["c"]
         own += p["cb"]
-        out[part] = _softmax(own)[np.arange(len(own)), kinds[part]]
+        out[part] = _chosen(own, kinds[part])
     order, runs = _by_class(kinds)
     own, words, inside = states[order], codes[order] % WIDTH, np.empty(len(order), out.dtype)
     for k, part in runs:
         inner = own[part] @ p["w"][k]
         inner += p["wb"][k]
-        inside[part] = _softmax(inner)[np.arange(len(inner)), words[part]]
+        inside[part] = _chosen(inner, words[part])
     out[order] *= inside
     return np.log(np.maximum(out, 1e-38))
 
 
+@np.errstate(over="ignore")
 def _gradients(p: dict, inputs: np.ndarray, outputs: np.ndarray, fresh: np.ndarray, used: np.ndarray, h: np.ndarray) -> tuple:
     """Gradients of the mean loss over one window (time, lane), and the state after it."""
     steps, lanes, size, u, kind = len(inputs), inputs.shape[1], HIDDEN, p["u"], h.dtype
     before, states, nears = (np.empty((steps, lanes, size), kind) for _ in range(3))
-    gates = np.empty((steps, lanes, 2 * size), kind)
+    gates, x = np.empty((steps, lanes, 2 * size), kind), p["x"].take(inputs, axis=0)
     for t in range(steps):
         before[t] = h * ~fresh[t][:, None] if fresh[t].any() else h
-        h, (_, gates[t], nears[t]) = _step(p, inputs[t], before[t])
+        h, _ = _step(p, inputs[t], before[t], x[t], gates[t], nears[t])
         states[t] = h
     flat, codes = states.reshape(-1, size), outputs.ravel()
     share = (used.ravel() / max(1, used.sum())).astype(kind)[:, None]
@@ -317,6 +330,7 @@ def train_on_all(weights: dict, blocks: DataFrame) -> dict:
     return weights
 
 
+@np.errstate(over="ignore")
 def neural_scores(p: dict, documents: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each document's codes, its end included; the longest run together."""
     total = np.zeros(len(documents))
