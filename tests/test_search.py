@@ -126,3 +126,13 @@ def test_lists_are_no_nested_loop(spark):
     asked = df.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     plan = s.probe(s.build_lists(df, "vec_id"), asked, 5, 2)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_texts_are_folded_once(spark):
+    """A plan has each way of tokenizing once, and texts without words, null ones included, have no tokens."""
+    texts = spark.createDataFrame([(x,) for x in ("", " ", "?!", None, "A b_1, c", " Đà  nẵng! ", "–")], "t string")
+    tokens = texts.select(tx.index_tokens(F.col("t")).alias("index"), tx.search_tokens(F.col("t")).alias("search"))
+    want = [[], [], [], [], ["a", "b_1", "c"], ["da", "nang"], []]
+    assert [(x.index, x.search) for x in tokens.collect()] == [(w, w) for w in want]
+    plan = texts.select(tx.index_tokens(F.col("t")).alias("index"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^a-z0-9_]+") == 1 and plan.count("translate(") == 1

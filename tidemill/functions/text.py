@@ -33,14 +33,18 @@ def fold(c: Column) -> Column:
 def search_tokens(c: Column) -> Column:
     """Words of the folded text, punctuation apart; an empty array for null."""
     spaced = F.trim(F.regexp_replace(F.coalesce(fold(c), F.lit("")), r"(?U)[^\w]+", " "))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+    return _words(spaced)
+
+
+def _words(spaced: Column) -> Column:
+    """Words between single spaces; the text is named once, so that it is worked out once."""
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def index_tokens(c: Column) -> Column:
     """What search_tokens gives, by a shorter way for ASCII texts, which have no accents to take off."""
     spaced = F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9_]+", " "))
-    short = F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
-    return F.when(F.octet_length(c) == F.char_length(c), short).otherwise(search_tokens(c))
+    return F.when(F.octet_length(c) == F.char_length(c), _words(spaced)).otherwise(search_tokens(c))
 
 
 def normalized_key(c: Column) -> Column:
