@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.operators import evaluation as e
 from tidemill.operators import retrieval as r
@@ -125,3 +126,24 @@ def test_fused_pairs_are_all_pairs(small, spark):
     want = r.rrf(r.dense(queries, vectors, "vec_id", apart=True), hits, "vec_id").select("query_id", "vec_id", "fused")
     got = r.fused_pairs(queries, vectors, hits, "vec_id")
     assert sorted((a, b, round(c, 12)) for a, b, c in got.collect()) == sorted((a, b, round(c, 12)) for a, b, c in want.collect())
+
+
+def test_cosines_are_all_pairs(small):
+    """In pieces of more than one step, with equal vectors, a zero and one that holds a NaN."""
+    queries, vectors, _ = small
+    odd = vectors.sparkSession.createDataFrame([(100, [0.0] * 4, "g"), (101, [float("nan"), 1.0, 1.0, 1.0], "g"), (102, None, "g")], vectors.schema)
+    queries, vectors = queries.unionByName(odd.selectExpr("vec_id AS query_id", "embedding AS vector")), vectors.unionByName(odd)
+    want = r.dense(queries, vectors, "vec_id", apart=True).withColumn("cosine", F.round("cosine", 6))
+    rows = [sorted((x.query_id, x.vec_id, str(x.cosine)) for x in df.collect()) for df in (r.cosines(queries, vectors, "vec_id"), want)]
+    assert rows[0] == rows[1] and len(rows[0]) == 20 * 92 - 20
+
+
+def test_cosines_round_halves_away_from_zero(spark):
+    halves = np.array([0.1234565, -0.1234565, 0.1234564999996, -4e-7, 5e-7, 1.0, -1.0, np.nan, -np.inf])
+    assert r._half_up(halves, 6).tolist() == [123457, -123457, 123457, 0, 1, 1000000, -1000000, r.NAN, r.APART]
+
+
+def test_all_pairs_leave_in_order(spark, sf_dir):
+    """Equal cosines of a piece follow each other, so that columns of them are small."""
+    out = [x.cosine for x in registry.queries()["r3_dense"](spark, sf_dir).collect()]  # one block, one piece
+    assert len(out) > 1000 and out == sorted(out)

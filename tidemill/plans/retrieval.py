@@ -32,11 +32,6 @@ def benchmark_queries(t):
     return t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def dense_hits(t):
-    asked = t.v_queries.select("query_id", "vector")
-    return r.dense(asked, t.embeddings, "vec_id", apart=True)
-
-
 def text_hits(t):
     """BM25 of the documents for the queries' texts: the benchmark passage of each query vector's number."""
     asked = t.benchmark.select((F.col("item_id") * 25).alias("query_id"), F.col("text").alias("query"))
@@ -84,7 +79,7 @@ def r2(t):
 
 @query("r3_dense", f"WITH {DENSE} SELECT query_id, vec_id, round(cosine, 6) AS cosine FROM den")
 def r3(t):
-    return dense_hits(t).withColumn("cosine", F.round("cosine", 6))
+    return r.cosines(t.v_queries.select("query_id", "vector"), t.embeddings, "vec_id")
 
 
 @query("j7_scoring_join", f"WITH {DENSE} SELECT query_id, max(round(cosine, 6)) AS best FROM den GROUP BY 1")
