@@ -79,6 +79,16 @@ def test_sends_on_no_pairs(spark, sf_dir, monkeypatch, name):
     assert registry.queries()[name](spark, sf_dir).count()
 
 
+def test_ridges_send_on_a_pool_a_query(spark, sf_dir, monkeypatch):
+    """However many pieces a task has: what is sorted in one task for the ranks does not follow the pairs."""
+    monkeypatch.setattr(r, "CELLS", 1 << 10)
+    sent, kind = [], type(spark.range(1))
+    monkeypatch.setattr(kind, "withColumn", lambda self, name, *a, f=kind.withColumn: (name == "rank" and "cosine" in self.columns and sent.append(self)) or f(self, name, *a))
+    asked = 4 * spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 25 = 0").count()  # three ridges and none
+    registry.queries()["r13_select_lambda"](spark, sf_dir)
+    assert 0 < sent[0].count() <= 11 * asked * sent[0].rdd.getNumPartitions()
+
+
 def test_gate_works_the_pairs_out_once(spark, sf_dir, monkeypatch):
     calls = []
     best_by = r.best_by
