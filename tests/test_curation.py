@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as tx
@@ -99,3 +102,21 @@ def test_no_ridge_is_chosen_where_none_is_better(spark):
     queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("expected"))
     report = adapter.ridge_report(df, queries, vectors, (1.0, 10.0))
     assert not report.where("chosen").count() and adapter.chosen_adapter(df, report) is None
+
+
+def test_adapters_are_not_copied_for_each_query(spark, monkeypatch):
+    """However many queries a batch has: a task holds vectors, not a matrix for each of them."""
+    tasks, kind = [], type(spark.range(1))
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, schema: tasks.append(f) or self)
+    queries = spark.createDataFrame([], "query_id long, fold int, vector array<double>")
+    rng = np.random.default_rng(3)
+    matrices, x, fold = rng.normal(size=(5, 2, 32, 32)), rng.normal(size=(2000, 32)), rng.integers(0, 5, 2000).astype(np.int32)
+    adapter._adapted(queries, matrices, (adapter.NONE, 1.0))
+    batch = pa.record_batch([pa.array(np.arange(2000)), pa.array(fold), pa.array(x.tolist())], ["query_id", "fold", "vector"])
+    tracemalloc.start()
+    out = list(tasks[0](iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 6 * x.nbytes
+    for part, want in zip(out, (x, np.einsum("nd,nde->ne", x, matrices[fold, 1])), strict=True):
+        assert np.allclose(np.array(part.column("vector").to_pylist()), want)

@@ -57,6 +57,14 @@ def solved(qq: np.ndarray, qp: np.ndarray, ridge: float) -> np.ndarray:
     return np.linalg.solve(qq + ridge * np.eye(len(qq)), qp)
 
 
+def _by_fold(x: np.ndarray, fold: np.ndarray, matrices: np.ndarray) -> np.ndarray:
+    """Each row of x times the matrix of its fold; no matrix is copied for a row."""
+    out = np.empty((len(x), matrices.shape[2]))
+    for f in np.unique(fold).tolist():
+        out[fold == f] = x[fold == f] @ matrices[f]
+    return out
+
+
 def _adapted(queries: DataFrame, matrices: np.ndarray, ridges: Sequence[float]) -> DataFrame:
     """queries once for each ridge, with the vector as the adapter of the query's own fold makes it; matrices: (fold, ridge, d, d)."""
     sent = queries.sparkSession.sparkContext.broadcast(matrices)
@@ -65,9 +73,9 @@ def _adapted(queries: DataFrame, matrices: np.ndarray, ridges: Sequence[float])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
-            own = sent.value[batch.column(1).to_numpy(zero_copy_only=False)]
+            fold = batch.column(1).to_numpy(zero_copy_only=False)
             for k, ridge in enumerate(ridges):
-                y = x if ridge == NONE else np.einsum("nd,nde->ne", x, own[:, k])
+                y = x if ridge == NONE else _by_fold(x, fold, sent.value[:, k])
                 ends = pa.array(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32))
                 yield pa.record_batch([pa.array(np.full(len(batch), ridge)), batch.column(0), pa.ListArray.from_arrays(ends, pa.array(y.ravel()))], ["ridge", "of", "vector"])
 
