@@ -138,6 +138,43 @@ def test_fused_pairs_are_all_pairs(small, spark):
     assert sorted((a, b, round(c, 12)) for a, b, c in got.collect()) == sorted((a, b, round(c, 12)) for a, b, c in want.collect())
 
 
+@pytest.mark.parametrize("figures", [1, 200, 1 << 20])
+def test_fused_pairs_keep_every_row(small, spark, monkeypatch, figures):
+    """Keys and query ids that repeat, equal vectors, one that holds a NaN, and hits without a vector or a query; groups of one query, of two, and as many as there are."""
+    monkeypatch.setattr(r, "FIGURES", figures, raising=False)
+    queries, vectors, _ = small
+    odd = [(3, [0.5, 0.1, -0.2, 0.3], "g"), (3, [0.1, 0.1, 0.1, -0.9], "g"), (25, [1.0, 2.0, 3.0, 4.0], "g"), (200, [float("nan"), 1.0, 1.0, 1.0], "g"), (201, None, "g")]
+    vectors = vectors.unionByName(spark.createDataFrame(odd, vectors.schema))
+    queries = queries.unionByName(spark.createDataFrame([(25, [0.3, 0.2, -0.4, 0.9]), (30, [0.1, 0.2, 0.3, 0.4]), (40, None)], queries.schema))
+    hits = spark.createDataFrame([(q, v, float((v * 7 + q) % 5 - 1)) for q in (0, 25, 50, 999) for v in range(0, 220, 3)], "query_id long, vec_id long, bm25 double")
+    want = r.rrf(r.dense(queries, vectors, "vec_id", apart=True), hits, "vec_id").select("query_id", "vec_id", "fused")
+    got = r.fused_pairs(queries, vectors, hits, "vec_id")
+    assert sorted((a, b, round(c, 12)) for a, b, c in got.collect()) == sorted((a, b, round(c, 12)) for a, b, c in want.collect())
+
+
+def test_fused_pairs_without_hits_are_not_shuffled(spark):
+    """Only the pairs of queries with text hits are; the others leave vector by vector, with all queries of a group."""
+    x = np.random.default_rng(11).normal(size=(2_000, 4))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    queries = vectors.where("vec_id < 80").selectExpr("vec_id AS query_id", "embedding AS vector")
+    hits = spark.createDataFrame([(7, v, float(v)) for v in range(10, 50)], "query_id long, vec_id long, bm25 double")
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = shuffled()
+    rows = r.fused_pairs(queries, vectors, hits, "vec_id").toPandas()
+    assert len(rows) == 80 * 1_999 and shuffled() - before < len(rows)
+    plain = rows[rows.query_id != 7].vec_id.to_numpy()
+    assert (plain[1:] != plain[:-1]).sum() < len(plain) / 4
+
+
+def test_cosines_of_ranks_are_rounded_once():
+    scores = np.array([[0.1234567865000004, -0.1584539904997648], [np.nan, -np.inf], [1.0, -1.0]])
+    assert r._places_of(scores).tolist() == [[-123456787, 1 - r.OWN, -1_000_000_000], [158453990, r.OWN, 1_000_000_000]]
+
+
 def test_cosines_are_all_pairs(small):
     """In pieces of more than one step, with equal vectors, a zero and one that holds a NaN."""
     queries, vectors, _ = small
